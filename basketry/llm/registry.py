@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     }
