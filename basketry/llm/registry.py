@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, toxicity
+from . import exact_dedup, html_extract, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_html": html_extract.op5_html,
+        "op6_warc": warc.op6_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_warc": warc.OP6_SQL}
