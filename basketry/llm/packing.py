@@ -14,11 +14,15 @@ A rank then names pattern, sequence and slot by arithmetic.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,14 +31,17 @@ from .common import cut, over_batches, partitions, ready, table
 
 LENGTH, UNIT, END = 4096, 16, 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers, and the longest of them.
-CACHE, CACHED = 400_000, 64
+#: Words, and parts of words, that a worker remembers; the longest word remembered; letters and closing marks.
+CACHE, PARTS, CACHED = 700_000, 800_000, 64
+MARKED = re.compile(r"([^\W\d_]+)([^\w\s']*)").fullmatch
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, with a bounded memory of words.
+    """Little-endian unsigned 32-bit ids of texts, with a bounded memory of words and of their parts.
 
-    The tokenizer drops white space and never joins across it, so words can be encoded apart.
+    The tokenizer drops white space and never joins across it, so words can be encoded apart. It also
+    parts letters from marks and lower-cases, so a word of letters and closing marks has the ids of its
+    letters, then those of its marks; Latin-1 letters are looked up in lower case.
     """
 
     def __init__(self, path: str):
@@ -43,18 +50,50 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            new = list({w for w, i in zip(words, ids, strict=True) if i is None})
-            made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True)}
-            ids = [made[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            if len(self.known) < CACHE:
-                self.known.update((w, i) for w, i in made.items() if len(w) <= CACHED)
-        return b"".join(ids)
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _split(self, word: str) -> tuple[str, str]:
+        m = MARKED(word)
+        core, marks = m.groups() if m else (word, "")
+        return (core.lower() if m and max(core) < "\u0100" else core), marks
+
+    def _learn(self, words: set[str]) -> None:
+        split = {w: self._split(w) for w in words}
+        new = list(set(chain.from_iterable(split.values())).difference(self.parts))
+        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True)}
+        self.parts.update(made)
+        parts = self.parts
+        self.known.update((w, parts[core] + parts[marks]) for w, (core, marks) in split.items())
+        if len(parts) > PARTS:
+            for p in new:
+                del parts[p]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Words are told apart by Arrow, so that only a batch's distinct words are handled here."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := set(words).difference(self.known):
+            self._learn(new)
+        ids = [self.known[w] for w in words]
+        for w in new if len(self.known) > CACHE else [w for w in new if len(w) > CACHED]:
+            del self.known[w]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat(begins[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+        marks = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [flat[i:j] for i, j in zip(marks, marks[1:], strict=False)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -63,15 +102,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
+
     last = np.array([end], "<u4").tobytes()
 
     def make():
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + last
+            for i, found in enumerate(encode(batch.column(1))):
+                ids = found.tobytes() + last
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     part = ids[4 * start : 4 * (start + length)]
