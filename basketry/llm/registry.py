@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, packing, simhash, toxicity, warc
+from . import exact_dedup, html_extract, language, line_dedup, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_html": html_extract.op5_html,
         "op6_warc": warc.op6_warc,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op10_language": language.op10_language,
     }
 
 
