@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language, line_dedup, packing, simhash, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, html_extract, language, line_dedup, packing, simhash, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_warc": warc.op6_warc,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
     }
 
