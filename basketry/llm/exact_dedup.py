@@ -93,7 +93,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = identities(docs, block).withColumnRenamed("doc_id", "id").withColumnRenamed("sha", "of")
     named = cut(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of"))).select("doc_id", "sha", "height", "name"))
     groups = named.groupBy("height", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["height", "name"]).select(
+    return named.join(cut(groups), ["height", "name"]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, exact_dedup, html_extract, language, line_dedup, packing, simhash, substring_dedup, toxicity, warc
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 
