@@ -1,26 +1,140 @@
-"""Reach, rank, top-list and distribution statistics of items and owners over baskets."""
+"""Reach, rank, top-list and distribution statistics of items and owners over baskets.
+
+Windows without a partition stand only after an aggregation to one row per owner or term, never over facts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def reach_rank(joined: DataFrame, owner: str, basket: str) -> DataFrame:
-    """Distinct baskets per owner, their share of all baskets, and the rank (ties by owner; null owners left out).
+def share(part: Column, whole: Column, digits: int) -> Column:
+    """part / whole as a percentage; integers first, so that both engines round the same value."""
+    return F.round(part * 100.0 / whole, digits)
 
-    The rank window sees one row per owner, after the distinct count.
-    """
+
+def ordered_list(order: list[Column], value: str, k: int | None = None) -> Column:
+    """Aggregate: the values in the given order (plain columns ascending), at most k."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    values = F.transform(rows, lambda r: r["_v"])
+    return F.slice(values, 1, k) if k else values
+
+
+def reach(joined: DataFrame, owner: str, basket: str) -> DataFrame:
+    """(owner, basket_count): distinct baskets per owner; null owners are left out."""
+    return joined.where(F.col(owner).isNotNull()).groupBy(F.col(owner).alias("owner")).agg(F.countDistinct(basket).alias("basket_count"))
+
+
+def reach_rank(joined: DataFrame, owner: str, basket: str) -> DataFrame:
+    """Distinct baskets per owner, their share of all baskets, and the rank (ties by owner)."""
     total = joined.select(F.countDistinct(basket).alias("total"))
-    counted = (
-        joined.where(F.col(owner).isNotNull())
-        .groupBy(F.col(owner).alias("owner"))
-        .agg(F.countDistinct(basket).alias("basket_count"))
-    )
-    return counted.join(F.broadcast(total)).select(
+    return reach(joined, owner, basket).crossJoin(F.broadcast(total)).select(
         "owner",
         "basket_count",
-        F.round(F.col("basket_count") * 100.0 / F.col("total"), 3).alias("basket_pct"),
+        share(F.col("basket_count"), F.col("total"), 3).alias("basket_pct"),
         F.row_number().over(W.orderBy(F.desc("basket_count"), "owner")).cast("bigint").alias("rank"),
     )
+
+
+def top_items(joined: DataFrame, owner: str, basket: str, item: str, title: str, k: int = 5) -> DataFrame:
+    """(owner, top_items): the titles of an owner's k items in most baskets (ties by item)."""
+    counts = joined.groupBy(owner, item, title).agg(F.countDistinct(basket).alias("n"))
+    rank = F.row_number().over(W.partitionBy(owner).orderBy(F.desc("n"), item))
+    best = counts.withColumn("r", rank).where(F.col("r") <= k)
+    return best.groupBy(F.col(owner).alias("owner")).agg(ordered_list([F.col("r")], title).alias("top_items"))
+
+
+def top_neighbours(edges: DataFrame, counts: DataFrame, k: int = 8) -> DataFrame:
+    """(owner, neighbours): the k strongest neighbours with overlap_pct, the shared baskets' share of the owner's own."""
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    best = edges.withColumn("r", rank).where(F.col("r") <= k).join(counts, F.col("src") == F.col("owner"))
+    best = best.withColumn("s", F.struct(F.col("dst").alias("neighbour"), share(F.col("weight"), F.col("basket_count"), 1).alias("overlap_pct")))
+    return best.groupBy("owner").agg(ordered_list([F.col("r")], "s").alias("neighbours"))
+
+
+def item_stats(rows: DataFrame, names: DataFrame, item: str, basket: str, k: int = 10) -> DataFrame:
+    """(item, basket_count, top_names): distinct named baskets, and the first k of their names in order, repeats included."""
+    named = rows.join(names.where(F.length(F.trim("name")) > 0), basket)
+    return named.groupBy(item).agg(
+        F.countDistinct(basket).alias("basket_count"),
+        F.slice(F.array_sort(F.collect_list("name")), 1, k).alias("top_names"),
+    )
+
+
+def two_level_flags(rows: DataFrame, owner: str, basket: str, flags: list[str]) -> DataFrame:
+    """Per owner: baskets, and for each flag the baskets that have it and their share; a basket counts once however many rows it has."""
+    per_basket = rows.groupBy(owner, basket).agg(*(F.max(F.col(f).cast("int")).alias(f) for f in flags))
+    out = per_basket.groupBy(owner).agg(F.count(F.lit(1)).alias("basket_count"), *(F.sum(f).alias(f) for f in flags))
+    whole = F.greatest("basket_count", F.lit(1))
+    return out.select(F.col(owner).alias("owner"), "basket_count", *flags, *(share(F.col(f), whole, 2).alias(f"{f}_pct") for f in flags))
+
+
+def conditional_ratio(rows: DataFrame, keys: list[str], yes: str, no: str, k: int) -> DataFrame:
+    """The k groups with most rows where no holds, of those with both kinds, and the ratio of no to yes."""
+    counts = rows.groupBy(*keys).agg(F.sum(F.col(yes).cast("long")).alias("yes_count"), F.sum(F.col(no).cast("long")).alias("no_count"))
+    both = counts.where("yes_count > 0 AND no_count > 0")
+    return both.orderBy(F.desc("no_count"), F.desc("yes_count"), *keys).limit(k).select(
+        *keys, "yes_count", "no_count", F.round(F.col("no_count") / F.greatest("yes_count", F.lit(1)), 3).alias("score")
+    )
+
+
+def repeat_ratio(rows: DataFrame, item: str, user: str) -> DataFrame:
+    """Per item: plays, users, and the share of users with more than one play."""
+    per_user = rows.groupBy(item, user).agg(F.count(F.lit(1)).alias("n"))
+    return per_user.groupBy(item).agg(
+        F.sum("n").alias("plays"),
+        F.count(F.lit(1)).alias("users"),
+        F.round(F.sum((F.col("n") > 1).cast("int")) * 1.0 / F.count(F.lit(1)), 4).alias("repeat_ratio"),
+    )
+
+
+def signal_rank(signals: dict[str, DataFrame], name: str) -> DataFrame:
+    """Sources outer-joined on name; each signal's percent rank among positive values, their mean, and the rank by it.
+
+    A null or zero signal is outside its own population and outside the mean.
+    """
+    out = None
+    for s, df in signals.items():
+        one = df.select(F.col(name), F.col(s))
+        out = one if out is None else out.join(one, name, "full")
+    for s in signals:
+        has = F.coalesce(F.col(s) > 0, F.lit(False))
+        out = out.withColumn(f"{s}_pr", F.when(has, F.percent_rank().over(W.partitionBy(has).orderBy(s))))
+    count = sum((F.col(f"{s}_pr").isNotNull().cast("int") for s in signals), F.lit(0))
+    mean = sum((F.coalesce(F.col(f"{s}_pr"), F.lit(0.0)) for s in signals), F.lit(0.0)) / F.nullif(F.col("signal_count"), F.lit(0))
+    out = out.withColumn("signal_count", count).withColumn("current_pct", F.round(mean * 100, 3))
+    rank = F.row_number().over(W.orderBy(F.desc_nulls_last("current_pct"), name)).cast("bigint")
+    return out.select(name, *signals, "signal_count", "current_pct", rank.alias("current_rank"))
+
+
+def rank_percentile(ranked: DataFrame) -> DataFrame:
+    """basicness = (1 - (rank - 1) / N) * 100, with a verdict."""
+    n = ranked.select(F.count(F.lit(1)).alias("n"))
+    p = F.round((1 - (F.col("rank") - 1) * 1.0 / F.col("n")) * 100, 1)
+    status = F.when(F.col("basicness") >= 90, "main character").when(F.col("basicness") >= 75, "supporting lead").when(F.col("basicness") >= 50, "recurring").otherwise("extra")
+    return ranked.crossJoin(F.broadcast(n)).select("owner", "rank", p.alias("basicness")).withColumn("status", status)
+
+
+def cdf_scores(terms: DataFrame) -> DataFrame:
+    """Each term's score: the share of terms that are as common or rarer, in percent."""
+    return terms.select("term", "n", F.round(F.cume_dist().over(W.orderBy("n")) * 100, 1).alias("score"))
+
+
+def middle_half(terms: DataFrame, least: int = 10) -> DataFrame:
+    """The terms whose count lies between the quartiles (linear interpolation); all of them where those are fewer than least."""
+    q = terms.select(F.percentile("n", F.lit(0.25)).alias("p25"), F.percentile("n", F.lit(0.75)).alias("p75"))
+    marked = terms.crossJoin(F.broadcast(q)).withColumn("mid", F.col("n").between(F.col("p25"), F.col("p75")))
+    inside = marked.select(F.count_if("mid").alias("inside"))
+    return marked.crossJoin(F.broadcast(inside)).where((F.col("inside") < least) | F.col("mid")).select("term", "n", "p25", "p75")
+
+
+def region_rollup(points: DataFrame, label: str, value: str) -> DataFrame:
+    """Per label: rows, sum, mean, and the name of the first row by id."""
+    return points.groupBy(label).agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum(value).alias("total"),
+        F.round(F.avg(value), 4).alias("mean"),
+        F.min_by("name", "id").alias("first_name"),
+    )
