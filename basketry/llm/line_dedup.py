@@ -23,32 +23,44 @@ DOCS, DEPTH, CONSTANT = 10, 3, 0.7
 VARIABLE = "<*>"
 
 
+def _masked(line: F.Column) -> F.Column:
+    """A line with its variable tokens masked, without space at its ends."""
+    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", VARIABLE)).otherwise(line))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, idx, tokens, h, leaf): the lines that hold anything; tk tells texts of a repeated doc_id apart."""
+    """(doc_id, tk, idx, n, h, leaf) of the lines that hold anything, no text; tk tells texts of a repeated doc_id apart."""
     split = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", VARIABLE)).otherwise(F.col("line"))
-    tokens = split.select("doc_id", "tk", "idx", F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ").alias("tokens"))
-    tokens = tokens.where(F.element_at("tokens", 1) != "")
-    return tokens.select("doc_id", "tk", "idx", "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
+    rows = split.select("doc_id", "tk", "idx", _masked(F.col("line")).alias("line")).where("line <> ''")
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    rows = rows.select("doc_id", "tk", "idx", n.alias("n"), F.xxhash64("line").alias("h"), F.substring_index("line", " ", DEPTH).alias("lead"))
+    return rows.select("doc_id", "tk", "idx", "n", "h", F.xxhash64("n", "lead").alias("leaf"))
 
 
 def _recurring(lines: DataFrame, key: str, docs: int) -> DataFrame:
     """The keys found in at least so many documents."""
-    return cut(lines.select(key, "doc_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= docs).select(key))
+    return cut(lines.select(key, "doc_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= docs).select(key))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTANT) -> DataFrame:
-    """(doc_id, tk, idx) of the lines whose template recurs in at least min_docs documents."""
-    lines = _lines(docs)
+    """(doc_id, tk, idx) of the lines whose template recurs in at least min_docs documents.
+
+    Texts are parsed once; only the lines of leaves that may hold a template are gone back to for their tokens.
+    """
+    lines = cut(_lines(docs))
     exact = _recurring(lines, "h", min_docs)
-    same = lines.select("doc_id", "tk", "idx", "h").join(exact, "h", "left_semi").select("doc_id", "tk", "idx")
-    longer = lines.where(F.size("tokens") > DEPTH)
-    leaves = _recurring(longer, "leaf", min_docs)
-    inner = longer.join(leaves, "leaf", "left_semi").join(exact, "h", "left_anti")
-    placed = cut(
-        inner.select("doc_id", "tk", "idx", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
-        .select("doc_id", "tk", "idx", "leaf", "n", F.xxhash64("pos", "token").alias("token"))
-    )
+    lines = cut(lines.join(exact.withColumn("same", F.lit(True)), "h", "left").drop("h"))
+    same = lines.where("same").select("doc_id", "tk", "idx")
+    rest = lines.where(F.col("same").isNull() & (F.col("n") > DEPTH)).drop("same")
+    leaves = _recurring(rest, "leaf", min_docs)
+    wanted = rest.join(leaves, "leaf", "left_semi").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("idx", "n", "leaf")).alias("wanted"))
+    wanted = cut(wanted.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "wanted"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    on = texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["tk"] == wanted["_tk"])
+    inner = texts.join(wanted, on).select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    inner = inner.select("doc_id", "tk", "w.*", F.split(_masked(F.get("lines", F.col("w.idx"))), " ").alias("tokens"))
+    placed = inner.select("doc_id", "tk", "idx", "leaf", "n", F.posexplode("tokens").alias("pos", "token"))
+    placed = cut(placed.select("doc_id", "tk", "idx", "leaf", "n", F.xxhash64("pos", "token").alias("token")))
     common = cut(placed.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf", "token"))
     templates = (
         placed.join(common, ["leaf", "token"], "left_semi")
@@ -65,7 +77,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONST
 def clean_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTANT) -> DataFrame:
     """docs with text replaced by the lines that stay, and the columns n_lines and n_dropped.
 
-    Blank lines always stay and are not counted. A null text stays null, with no lines. Rows that repeat a
+    Lines of nothing but spaces always stay and are not counted. A null text stays null, with no lines. Rows that repeat a
     doc_id are told apart by their text; a document counts once for a template however often it has it.
     """
     ready(docs.sparkSession)
@@ -81,7 +93,7 @@ def clean_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTAN
     flags = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
     kept = F.filter(lines, lambda line, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
     out = joined.withColumn("_flags", flags)
-    size = F.size(F.filter(lines, lambda line: F.length(F.trim(F.regexp_replace(line, r"\s+", " "))) > 0))
+    size = F.size(F.filter(lines, lambda line: F.trim(line) != ""))
     return out.select(
         *[c for c in docs.columns if c != "text"],
         F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text"),
