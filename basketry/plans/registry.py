@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, reach
+from . import graphs, history, matches, reach
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict = {}
-    for part in (reach, graphs):
+    for part in (reach, graphs, matches, history):
         out |= part.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict = {}
-    for part in (reach, graphs):
+    for part in (reach, graphs, matches, history):
         out |= part.ORACLE
     return out
