@@ -43,10 +43,31 @@ def raw_text(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """mapInArrow with a function that is made once per task; batches that it answers with None vanish."""
+_KEPT: dict[str, object] = {}
+
+
+def of_worker(name: str, make: Callable[[], object]) -> object:
+    """What make makes, kept for the later tasks of this Python worker until a task asks for another name."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Drop what this Python worker keeps."""
+    _KEPT.clear()
+
+
+def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], keeps: bool = False) -> DataFrame:
+    """mapInArrow with a function that is made once per task; batches that it answers with None vanish.
+
+    Unless it keeps something of_worker, what others kept in the worker is let go first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         each = make()
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:

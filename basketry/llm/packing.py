@@ -17,8 +17,6 @@ import os
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, over_batches, partitions, ready, table
+from .common import cut, of_worker, over_batches, partitions, ready, table
 
 LENGTH, UNIT, END = 4096, 16, 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and parts of words, that a worker remembers; the longest word remembered; letters and closing marks.
-CACHE, PARTS, CACHED = 700_000, 800_000, 64
-MARKED = re.compile(r"([^\W\d_]+)([^\w\s']*)").fullmatch
+#: Words that a worker remembers, the longest of them, and marks that are parted from the end of a word (no apostrophe: it may begin a suffix).
+CACHE, CACHED = 700_000, 64
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, with a bounded memory of words and of their parts.
+    """Little-endian unsigned 32-bit ids of texts, with a bounded memory of words.
 
     The tokenizer drops white space and never joins across it, so words can be encoded apart. It also
     parts letters from marks and lower-cases, so a word of letters and closing marks has the ids of its
-    letters, then those of its marks; Latin-1 letters are looked up in lower case.
+    letters, with A-Z in lower case, then those of its marks. Arrow tells words apart and parts them, and
+    only what is new among a batch's distinct words goes to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,35 +49,31 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _split(self, word: str) -> tuple[str, str]:
-        m = MARKED(word)
-        core, marks = m.groups() if m else (word, "")
-        return (core.lower() if m and max(core) < "\u0100" else core), marks
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: self._split(w) for w in words}
-        new = list(set(chain.from_iterable(split.values())).difference(self.parts))
-        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True)}
-        self.parts.update(made)
-        parts = self.parts
-        self.known.update((w, parts[core] + parts[marks]) for w, (core, marks) in split.items())
-        if len(parts) > PARTS:
-            for p in new:
-                del parts[p]
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of some words."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        if new := [w for w in distinct if w not in known]:
+            for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        ids = [known[w] for w in distinct]
+        for w in new if len(known) > CACHE else [w for w in new if len(w) > CACHED]:
+            del known[w]
+        return [ids[i] for i in coded.indices.to_numpy().tolist()]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text. Words are told apart by Arrow, so that only a batch's distinct words are handled here."""
+        """The ids of each text."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if new := set(words).difference(self.known):
-            self._learn(new)
-        ids = [self.known[w] for w in words]
-        for w in new if len(self.known) > CACHE else [w for w in new if len(w) > CACHED]:
-            del self.known[w]
+        words = coded.dictionary
+        core = pc.utf8_rtrim(words, MARKS)
+        letters = pc.utf8_is_alpha(core)
+        core = pc.if_else(letters, pc.ascii_lower(core), words)
+        marks = pc.if_else(letters, pc.replace_substring_regex(words, r"^.*?([" + re.escape(MARKS) + "]*)$", r"\1"), "")
+        ids = [a + b for a, b in zip(self._ids(core), self._ids(marks), strict=True)]
         pool = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
@@ -86,14 +81,8 @@ class Encoder:
         each = sizes[at]
         ends = np.cumsum(each)
         flat = pool[np.repeat(begins[at] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-        marks = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return [flat[i:j] for i, j in zip(marks, marks[1:], strict=False)]
-
-
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One for all tasks of a Python worker."""
-    return Encoder(path)
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [flat[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -106,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     last = np.array([end], "<u4").tobytes()
 
     def make():
-        encode = encoder(tokenizer)
+        encode = of_worker(tokenizer, lambda: Encoder(tokenizer))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, rows = [], []
@@ -124,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return over_batches(rows, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long", make)
+    return over_batches(rows, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long", make, keeps=True)
 
 
 def _price(sizes: np.ndarray, duals: np.ndarray, room: int) -> tuple[float, np.ndarray]:
