@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut, over_batches, partitions, ready, table
 
 WINDOW, GRAM = 50, 16
-#: Windows in a bundle, suffixes in memory at a time, documents from which a name gets the longer prefix, and bytes of a word in a subtree.
-BUNDLE, HELD, HOT, WIDE = 35, 40_000, 400, 5
+#: Windows in a bundle, suffixes in memory at a time, documents that a name may have before it gets the longer prefix
+#: (their suffixes take some 20 MB), and bytes of a word in a subtree.
+BUNDLE, HELD, HOT, WIDE = 35, 40_000, 2000, 5
 P, Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -240,8 +241,11 @@ def _long_prefixes(joined: DataFrame, kind: str) -> DataFrame:
     return over_batches(joined, f"doc_id {kind}, tk long, start long, one long, two long", make)
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, tk, lo, hi): spans of words, lo to hi - 1, that windows of smaller doc_ids cover; tk is the xxhash64 of the text."""
+def repeated_spans(docs: DataFrame, hot: int = HOT, dealt: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tk, lo, hi): spans of words, lo to hi - 1, that windows of smaller doc_ids cover; tk is the xxhash64 of the text.
+
+    dealt: the rows of _docs(docs) with a doc_id, already partitioned by it, if the caller has use for them too.
+    """
     spark = ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = cut(_names(docs, kind))
@@ -253,7 +257,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list(F.when(~common, F.col("name"))).alias("few"), F.collect_list(F.when(common, F.col("name"))).alias("many"))
     )
-    rows = _docs(docs)
+    rows = _docs(docs).where(F.col("doc_id").isNotNull()) if dealt is None else dealt
     some = rows.join(lists.where(F.size("few") > 0).select("doc_id", "few"), "doc_id")
     bundles = _bundles(some, kind).repartition(partitions(spark), "name").sortWithinPartitions("name")
     found = bundles.mapInArrow(_search, f"doc_id {kind}, tk long, lo long, hi long")
@@ -274,10 +278,15 @@ def drop_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lose nothing, nor do rows without doc_id. Rows that repeat a doc_id don't repeat one another. An
     empty table gives no rows.
     """
-    spans = repeated_spans(docs, hot).groupBy("doc_id", "tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "lo", "hi")
+    spark = ready(docs.sparkSession)
     rows = _docs(docs)
-    joined = rows.join(spans, (rows["doc_id"] == spans["_id"]) & (rows["tk"] == spans["_tk"]), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "lo", "hi")
+    # Texts are dealt out by doc_id once, for the search and for the removal.
+    dealt = rows.where(F.col("doc_id").isNotNull()).repartition(partitions(spark), "doc_id")
+    spans = repeated_spans(docs, hot, dealt).groupBy("doc_id").agg(F.collect_list(F.struct("tk", "lo", "hi")).alias("spans"))
+    of_text = F.filter("spans", lambda x: x["tk"] == F.col("tk"))
+    joined = dealt.join(spans, "doc_id", "left").select("doc_id", F.col("text").cast("binary").alias("text"), of_text["lo"].alias("lo"), of_text["hi"].alias("hi"))
+    none = F.lit(None).cast("array<bigint>")
+    joined = joined.unionAll(rows.where(F.col("doc_id").isNull()).select("doc_id", F.col("text").cast("binary"), none, none))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
