@@ -131,7 +131,7 @@ def url_to_uri(url: Column) -> Column:
 
 def unfence(c: Column) -> Column:
     """JSON text without the code fences around it."""
-    return F.trim(F.regexp_replace(c, r"^\s*```(?:json)?|```\s*$", ""))
+    return F.regexp_replace(c, r"^\s*(?:```(?:json)?)?\s*|\s*(?:```)?\s*$", "")
 
 
 def title_terms(titles: DataFrame, min_count: int = 50, top: int = 500) -> DataFrame:

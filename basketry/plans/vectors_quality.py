@@ -93,7 +93,7 @@ ORACLE = {
         p AS (SELECT owner, avg(s) FILTER (r <= 3) AS e, count(*) AS support FROM r GROUP BY 1),
         tg0 AS (SELECT DISTINCT CAST(p_partkey % 10 AS INT) AS owner, unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size < 4),
         tg AS (SELECT owner, list(tag ORDER BY tag)[1:8] AS tags FROM tg0 GROUP BY 1), mine AS (SELECT tags AS m FROM tg WHERE owner = 3),
-        j AS (SELECT p.owner, e, support, CASE WHEN len(list_distinct(tags || m)) = 0 THEN 0.0 ELSE len(list_intersect(tags, m)) / len(list_distinct(tags || m)) END AS g FROM p LEFT JOIN tg ON tg.owner = p.owner, mine)
+        j AS (SELECT p.owner, e, support, CASE WHEN len(list_distinct(coalesce(tags, []) || m)) = 0 THEN 0.0 ELSE len(list_intersect(coalesce(tags, []), m)) / len(list_distinct(coalesce(tags, []) || m)) END AS g FROM p LEFT JOIN tg ON tg.owner = p.owner, mine)
         SELECT owner, round(e * CAST(0.72 AS DOUBLE) + g * (1 - CAST(0.72 AS DOUBLE)), 4) AS similarity, round(e, 4) AS embedding_similarity, round(g, 4) AS tag_similarity, support
         FROM j ORDER BY similarity DESC, support DESC, owner LIMIT 5""",
     "quality_manifest": """WITH l AS (SELECT source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))

@@ -68,7 +68,8 @@ def playlist_slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def _uri(url: F.Column) -> F.Column:
-    return F.concat_ws(":", F.regexp_extract(url, r"//[^/]*?([^./]+)\.[^./]+/", 1), F.regexp_extract(url, r"/([^/]+)/[^/?#]+[^/]*$", 1), F.regexp_extract(url, r"/([^/?#]+)[^/]*$", 1))
+    found = F.concat_ws(":", F.regexp_extract(url, r"//[^/]*?([^./]+)\.[^./]+/", 1), F.regexp_extract(url, r"/([^/]+)/[^/?#]+[^/]*$", 1), F.regexp_extract(url, r"/([^/?#]+)[^/]*$", 1))
+    return F.when(found != "::", found)
 
 
 def archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
