@@ -140,3 +140,47 @@ def passport(stats: DataFrame, title: str) -> DataFrame:
     found = stats.where(F.lower("title") == title.lower())
     owners = found.select(F.countDistinct("owner").alias("owners"))
     return found.crossJoin(F.broadcast(owners)).withColumn("ambiguous", F.col("owners") > 1).drop("owners")
+
+
+def fill_empty_lists(base: DataFrame, source: DataFrame, name: str, column: str) -> DataFrame:
+    """base with null or empty lists of column taken from source by name without regard to case; source's first row of a name counts."""
+    once = keep_first(source.select(F.lower(name).alias("_key"), F.col(column).alias("_new")), ["_key"], [F.size("_new").desc(), F.col("_new")])
+    joined = base.join(once, F.lower(base[name]) == once["_key"], "left")
+    empty = F.size(F.coalesce(F.col(column), F.array().cast(base.schema[column].dataType))) == 0
+    return joined.select(*(F.when(empty, F.coalesce("_new", column)).otherwise(F.col(column)).alias(column) if c == column else F.col(c) for c in base.columns))
+
+
+def patch_dates(base: DataFrame, log: DataFrame, key: str, column: str) -> DataFrame:
+    """base with dates from a log whose key has another type; both become whole numbers where they can, a new date wins, and its year goes along."""
+    right = log.select(F.col(key).try_cast("double").try_cast("bigint").alias("_key"), F.col(column).alias("_new")).where("_key IS NOT NULL AND _new IS NOT NULL")
+    once = right.groupBy("_key").agg(F.max("_new").alias("_new"))
+    joined = base.join(once, base[key].try_cast("double").try_cast("bigint") == once["_key"], "left")
+    value = F.coalesce("_new", column)
+    return joined.select(*(value.alias(c) if c == column else F.col(c) for c in base.columns), F.year(F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).alias("year"))
+
+
+def two_hop(base: DataFrame, first: DataFrame, second: DataFrame, counts: DataFrame) -> DataFrame:
+    """base (code, ...) with the recording that its code leads to over two tables, the smallest of several, and the recording's count, 0 without one.
+
+    first: (code, recording); second: (recording, target); counts: (target, listen_count).
+    """
+    one = first.join(second, "recording").groupBy("code").agg(F.min("target").alias("target"))
+    return base.join(one, "code", "left").join(counts, "target", "left").select(*base.columns, "target", F.coalesce("listen_count", F.lit(0)).alias("listen_count"))
+
+
+def by_id_else_name(rows: DataFrame, lookup: DataFrame, value: str) -> DataFrame:
+    """rows (id, title, artist) with lookup's value for the id, else for title and artist without regard to case and space at the ends."""
+    norm = lambda c: F.lower(F.trim(c))
+    ids = keep_first(lookup, ["id"], [F.col(value)]).select("id", F.col(value).alias("_by_id"))
+    keyed = lookup.select(norm("title").alias("_t"), norm("artist").alias("_a"), F.col(value).alias("_by_name"), F.col("id").alias("_i"))
+    names = keep_first(keyed, ["_t", "_a"], [F.col("_i"), F.col("_by_name")]).drop("_i")
+    joined = rows.join(ids, "id", "left").join(names, (norm(rows["title"]) == F.col("_t")) & (norm(rows["artist"]) == F.col("_a")), "left")
+    return joined.select(*rows.columns, F.coalesce("_by_id", "_by_name").alias(value))
+
+
+def best_of_sources(sources: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
+    """The rows of several sources, with columns that one lacks as null, and of a key the first in the given order."""
+    whole = sources[0]
+    for s in sources[1:]:
+        whole = whole.unionByName(s, allowMissingColumns=True)
+    return keep_first(whole, [key], order)

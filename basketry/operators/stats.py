@@ -138,3 +138,35 @@ def region_rollup(points: DataFrame, label: str, value: str) -> DataFrame:
         F.round(F.avg(value), 4).alias("mean"),
         F.min_by("name", "id").alias("first_name"),
     )
+
+
+def most_common(rows: DataFrame, value: str, k: int = 10) -> DataFrame:
+    """The k values that come most often (ties by value), how often, and their share of all rows."""
+    total = rows.select(F.count(F.lit(1)).alias("total"))
+    best = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(k)
+    return best.crossJoin(F.broadcast(total)).select(value, "n", share(F.col("n"), F.col("total"), 1).alias("pct"))
+
+
+def frequent_without(rows: DataFrame, key: str, known: DataFrame, least: int) -> DataFrame:
+    """(key, n): keys in at least least rows that known lacks."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counts.join(known.select(key), key, "left_anti")
+
+
+def large_groups(rows: DataFrame, group: str, least: int) -> DataFrame:
+    """The rows of groups that have at least least of them."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return rows.join(sizes.select(group), group, "left_semi")
+
+
+def title_score(titles: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, words, known, genericness): the mean score of a title's words, 0 for those that are no terms, with a verdict.
+
+    titles: (id, words array); terms: (term, n). A title without words has no row.
+    """
+    scores = cdf_scores(terms).select("term", "score")
+    words = titles.select("id", F.size("words").alias("words"), F.explode("words").alias("term"))
+    joined = words.join(scores, "term", "left").groupBy("id", "words").agg(F.count("score").alias("known"), F.round(F.sum(F.coalesce("score", F.lit(0.0))) / F.max("words"), 1).alias("genericness"))
+    g = F.col("genericness")
+    verdict = F.when(g >= 90, "indistinguishable").when(g >= 70, "common").when(g >= 50, "generic").when(g >= 30, "some originality").otherwise("rare")
+    return joined.withColumn("verdict", verdict)
