@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a task thins out at a time.
+SHARE = 100_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of a task's edges (u, v), SHARE at a time, that connects what they connect."""
+
+    def thinned(edges: np.ndarray) -> pa.RecordBatch:
+        nodes, ends = np.unique(edges, return_inverse=True)
+        root = list(range(len(nodes)))
+        kept = []
+        for i, (a, b) in enumerate(ends.reshape(edges.shape).tolist()):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append(i)
+        return pa.RecordBatch.from_arrays([pa.array(edges[kept, 0]), pa.array(edges[kept, 1])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
+        n += batch.num_rows
+        if n >= SHARE:
+            yield thinned(np.concatenate(held))
+            held, n = [], 0
+    if n:
+        yield thinned(np.concatenate(held))
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has an edge, with the smallest node it can reach.
 
     Loops and repeated edges are allowed. A node with very many edges is no bottleneck: labels are
     joined to edges by a sort-merge join that can split, and minima are combined before they are shuffled.
-    Each round halves the pointer chains, and its result is cut with a checkpoint.
+    Edges are thinned out to forests first, in shares of a bounded size, so that a dense group keeps few of
+    its many. Each round halves the pointer chains, and its result is cut with a checkpoint.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    pairs = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
+    tasks = -(-pairs.count() // SHARE)
+    pairs = pairs.repartition(max(1, tasks)).mapInArrow(_forest, "u long, v long")
     both = cut(pairs.union(pairs.select("v", "u")).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
