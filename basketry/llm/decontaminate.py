@@ -24,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, raw_text, ready, table
+from .common import over_batches, ready, table
 
 K1, B = 1.2, 0.75
 #: Items in an index and in a block of it, the share of its own score that retrieves an item, and the least share of runs found.
 ITEMS, BLOCK, SHARE, FOUND = 20_000, 8, 0.6, 0.8
 #: Words in a run that question and answer are verified by.
 RUN = 5
-#: ASCII letters in lower case; ASCII marks become spaces.
-PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: ASCII marks become spaces.
+PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def words(text: bytes) -> list[bytes]:
-    """Lower-cased words without ASCII marks."""
-    return text.translate(PLAIN).split()
+def words(text: str) -> list[bytes]:
+    """Case-folded words without ASCII marks, in UTF-8."""
+    return text.casefold().encode("utf-8", "replace").translate(PLAIN).split()
 
 
 def runs(of: list[bytes], size: int = RUN) -> set[tuple]:
@@ -51,7 +51,7 @@ def runs(of: list[bytes], size: int = RUN) -> set[tuple]:
 
 def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item: its last sentence answers, or the last third of its words if it has but one."""
-    parts = [p for p in (words(s.encode()) for s in SENTENCE.split(text)) if p]
+    parts = [p for p in (words(s) for s in SENTENCE.split(text)) if p]
     if len(parts) > 1:
         return [w for p in parts[:-1] for w in p], parts[-1]
     whole = parts[0] if parts else []
@@ -63,7 +63,7 @@ class Index:
     """The inverted index of some items, (item_id, text); items without words are left out."""
 
     def __init__(self, items: list[tuple]):
-        texts = [(i, t, words(t.encode())) for i, t in items]
+        texts = [(i, t, words(t)) for i, t in items]
         texts = [x for x in texts if x[2]]
         self.ids = [i for i, _, _ in texts]
         self.parts = [tuple(map(runs, split_item(t))) for _, t, _ in texts]
@@ -82,13 +82,13 @@ class Index:
                 postings[self.terms[t]].append((i, impact))
                 own[i] += impact
         self.threshold = SHARE * own
-        # Common terms: from the longest list on, as long as no item could pass its threshold with them alone.
+        # Common terms, from the longest list on: those that keep every item well below its threshold with them alone.
         common, sums = np.zeros(len(postings), bool), np.zeros(n)
         for j in sorted(range(len(postings)), key=lambda j: -len(postings[j])):
             at = np.array([i for i, _ in postings[j]])
             more = np.array([w for _, w in postings[j]])
             if (sums[at] + more >= 0.8 * self.threshold[at]).any():
-                break
+                continue
             sums[at] += more
             common[j] = True
         self.rare = ~common
@@ -113,8 +113,10 @@ class Index:
 
     def retrieve(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
         """(passage, item, score) of all pairs at or above the threshold; ids: a document's terms, -1 where not in the index."""
+        if not len(self.ids) or not len(ids):
+            return []
         step = self.length // 2
-        at = np.nonzero((ids >= 0) & self.rare[ids])[0] if len(ids) else np.empty(0, np.int64)
+        at = np.nonzero((ids >= 0) & self.rare[ids])[0]
         if not len(at):
             return []
         last = max(0, -(-(len(ids) - self.length) // step))
@@ -146,7 +148,7 @@ class Index:
                 out.append((p, i, score))
         return out
 
-    def matches(self, text: bytes) -> list[tuple]:
+    def matches(self, text: str) -> list[tuple]:
         """(item_id, passage_start, score, question_overlap, answer_overlap) of the items that a document holds, each at its best passage."""
         found = words(text)
         ids = np.fromiter((self.terms.get(w, -1) for w in found), np.int64, len(found))
@@ -199,14 +201,14 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
 
         return each
 
-    return over_batches(docs.select("doc_id", raw_text().alias("b")), schema, make)
+    return over_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("b")), schema, make)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns; each is judged where it lies."""
     ready(docs.sparkSession)
     shared = indexes(items, size)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), raw_text().alias("b"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("b"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

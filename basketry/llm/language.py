@@ -71,6 +71,8 @@ class Model:
         rows_below = None
         self.ids: list[np.ndarray] = []
         self.bits: list[np.ndarray] = []
+        if not n:
+            return
         for order in range(ORDER + 1):
             seen: list[dict] = [defaultdict(int) for _ in range(n)]
             for (lang, code), c in counts.items():
@@ -95,16 +97,16 @@ class Model:
             escaped = kinds / np.maximum(whole + kinds, 1) * left / np.where(rest > 0, rest, 1)
             p = np.where(whole > 0, np.where(table_ > 0, table_ / np.maximum(whole + kinds, 1), escaped), back)
             below, rows_below = p, ids
-            if order:
+            if not order:
+                zero = -np.log2(p[0])
+            else:
                 self.ids.append(ids)
                 self.bits.append(-np.log2(np.maximum(p, 1e-30)).astype(np.float32).reshape(-1, n))
-        # A context of one byte that no text has: that of order zero would do, but texts begin anywhere.
-        if len(self.ids):
-            missing = self.ids[0] < 0
-            if missing.any():
-                flat = np.full((int(missing.sum()) * k, n), np.log2(k), np.float32)
-                self.ids[0][missing] = len(self.bits[0]) // k + np.arange(int(missing.sum()))
-                self.bits[0] = np.concatenate([self.bits[0], flat])
+        # After a byte that no text has, the empty context tells what follows.
+        missing = self.ids[0] < 0
+        flat = np.tile(zero, (int(missing.sum()), 1)).astype(np.float32)
+        self.ids[0][missing] = len(self.bits[0]) // k + np.arange(int(missing.sum()))
+        self.bits[0] = np.concatenate([self.bits[0], flat])
 
     def lengths(self, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
