@@ -114,7 +114,8 @@ def _search(fps: np.ndarray, k: int, guards: np.ndarray | None = None, guard_bit
         else:
             near = np.bitwise_count(fps[x.lo : x.hi, None] ^ fps[None, y.lo : y.hi]) <= k
             if guards is not None:
-                near &= np.bitwise_count(guards[x.lo : x.hi, None] ^ guards[None, y.lo : y.hi]) <= guard_bits
+                i, j = np.nonzero(near)
+                near[i, j] = np.bitwise_count(guards[x.lo + i] ^ guards[y.lo + j]).sum(axis=1, dtype=np.int64) <= guard_bits
             for i, j in zip(*np.nonzero(near), strict=True):
                 a, b = find(x.lo + int(i)), find(y.lo + int(j))
                 if a != b:
@@ -126,16 +127,15 @@ def _search_groups(k: int, guard_bits: int | None):
     """For mapInArrow over (key, block, id, fp, guard) sorted by key, block and rank: the links of every upper node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         key = None
 
         def links(out: list) -> None:
-            rows = np.concatenate(held) if held else np.empty((0, 3), np.int64)
-            if len(rows) > 1:
-                fps, guards = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
-                if found := _search(fps, k, *(() if guard_bits is None else (guards, guard_bits))):
+            ids, fps, guards = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0),) * 3
+            if len(ids) > 1:
+                if found := _search(fps.view(np.uint64), k, *(() if guard_bits is None else (guards.view(np.uint64), guard_bits))):
                     i, j = np.array(found).T
-                    out.append((rows[i, 0], rows[j, 0]))
+                    out.append((ids[i], ids[j]))
 
         def batch_of(out: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
@@ -143,14 +143,16 @@ def _search_groups(k: int, guard_bits: int | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1).astype(np.int64)
-            cuts = [0, *(np.nonzero((cols[1:, :2] != cols[:-1, :2]).any(axis=1))[0] + 1).tolist(), len(cols)]
+            keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)
+            ids, fps = (batch.column(i).to_numpy() for i in (2, 3))
+            guards = batch.column(4).flatten().to_numpy().reshape(len(ids), -1)
+            cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(ids)]
             out: list = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if (now := tuple(cols[a, :2])) != key:
+                if (now := tuple(keys[a])) != key:
                     links(out)
                     held, key = [], now
-                held.append(cols[a:b, 2:])
+                held.append((ids[a:b], fps[a:b], guards[a:b]))
             if out:
                 yield batch_of(out)
         out = []
@@ -162,31 +164,35 @@ def _search_groups(k: int, guard_bits: int | None):
 
 
 def links(rows: DataFrame, k: int = 2, guard_bits: int | None = None, node: int = NODE) -> DataFrame:
-    """(a, b): links between the ids of rows (seed, id, fp, guard) that connect those of a seed whose fps lie within k bits of each other.
+    """(a, b): links between the ids of rows (seed, id, fp, and guard if there are guard_bits) that connect those of a seed whose fps lie within k bits of each other.
 
     Ids with the same fp are not linked through it unless guards are given: an id stands for its fp. With
-    guard_bits a link also takes guards within so many bits, but in nodes so dense that hubs serve them.
+    guard_bits a link also takes guards (arrays of longs) within so many bits, but in nodes so dense that hubs serve them.
     A node counts as dense beyond node rows, or beyond a task's fair share of all rows where that is more.
     """
     if not 0 <= k <= 2:
         raise ValueError("the hubs for dense nodes reach 2 differing bits")
     n = partitions(rows.sparkSession)
     turned = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(by).alias("by"), F.lit(w).alias("width")) for i, (by, w) in enumerate(blocks_of(k))))
-    dealt = rows.select("seed", "id", "fp", "guard", F.explode(turned).alias("t")).select(
+    dealt = rows.select("seed", "id", "fp", F.explode(turned).alias("t")).select(
         (F.col("seed") * 8 + F.col("t.turn")).cast("long").alias("key"),
         F.expr("shiftleft(fp, t.by) | IF(t.by = 0, 0L, shiftrightunsigned(fp, 64 - t.by))").alias("code"),
         F.col("t.width").alias("width"),
         "seed",
         "id",
         "fp",
-        "guard",
     )
-    dealt = dealt.select("key", F.expr("shiftrightunsigned(code, 64 - width)").alias("block"), _gray_rank(F.col("code")).alias("rank"), "seed", "id", "fp", "guard")
+    dealt = dealt.select("key", F.expr("shiftrightunsigned(code, 64 - width)").alias("block"), _gray_rank(F.col("code")).alias("rank"), "seed", "id", "fp")
     sizes = cut(dealt.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     dealt = cut(dealt.join(sizes, ["key", "block"]))
     total = dealt.count()
     most = max(node, total // n)
-    small = dealt.where(F.col("n") <= most).repartition(n, "key", "block").sortWithinPartitions("key", "block", "rank", "id")
+    small = dealt.where(F.col("n") <= most)
+    if guard_bits is None:
+        small = small.withColumn("guard", F.array().cast("array<long>"))
+    else:  # guards travel only with the rows that share a node with others
+        small = small.join(rows.where("seed = 0").select("id", "guard").dropDuplicates(["id"]), "id")
+    small = small.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rank", "id")
     found = small.select("key", "block", "id", "fp", "guard").mapInArrow(_search_groups(k, guard_bits), "a long, b long")
     dense = dealt.where(F.col("n") > most).select("seed", "id", "fp").distinct()
     if dense.isEmpty():
@@ -216,62 +222,74 @@ def near_groups(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
     prints = cut(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = cut(distinct)
-    roots = components(links(distinct.select(F.lit(0).alias("seed"), F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("guard")), k))
+    roots = components(links(distinct.select(F.lit(0).alias("seed"), F.col("fp").alias("id"), "fp"), k))
     named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
     of = cut(named.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For near_copies: independent fingerprints of a text's words, differing bits in one of them, and in that of its five-word
-#: shingles, where 0.8 of the shingles in common give 10 bits on average with a deviation of 3.
-SEEDS, WORD_BITS, SHINGLE, SHINGLE_BITS = 16, 2, 5, 14
+#: For near_copies: independent fingerprints of a text's words, differing bits in one of them, and, of WIDE independent
+#: fingerprints of its five-word shingles together, the bits that may differ: 0.8 of the shingles in common give 39 of 256
+#: on average with a deviation of 6, 0.7 of them 49, 0.6 of them 59.
+SEEDS, WORD_BITS, SHINGLE, WIDE, SHINGLE_BITS = 16, 2, 5, 4, 45
 LONG, FEW = 5, 8
 
 
-def word_fingerprints(text: bytes, seeds: int = SEEDS) -> np.ndarray:
-    """Fingerprints of the set of a text's words of LONG bytes or more (all words where those are few), one a seed."""
-    words = set(text.lower().split())
-    if len(large := [w for w in words if len(w) >= LONG]) >= FEW:
-        words = large
-    if not words:
-        return np.zeros(seeds, np.uint64)
-    base = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+def _majorities(base: np.ndarray, seeds: int) -> np.ndarray:
+    """Fingerprints of a set of hashed features, one for each way of mixing the hashes."""
     out = np.empty(seeds, np.uint64)
     for s in range(seeds):
-        x = base * np.uint64(2 * s + 0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[s] = np.packbits(2 * ones > len(x), bitorder="little").view(np.uint64)[0]
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(base), CHUNK):
+            x = base[at : at + CHUNK] * np.uint64(2 * s + 0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out[s] = np.packbits(2 * ones > len(base), bitorder="little").view(np.uint64)[0]
     return out
 
 
+def copy_fingerprints(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """SEEDS fingerprints of the set of a text's words of LONG bytes or more (all words where those are few), and WIDE of the set of its shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(SEEDS, np.uint64), np.zeros(WIDE, np.uint64)
+    hashed = dict(zip(words, map(xxhash.xxh64_intdigest, words, repeat(SEED)), strict=True)) if len(words) < 64 else {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    large = [h for w, h in hashed.items() if len(w) >= LONG]
+    row = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(row) - SHINGLE + 1)
+    grams = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(row))):
+        grams = (grams * np.uint64(0x9E3779B97F4A7C15)) ^ (row[i : i + n] + (row[i : i + n] >> np.uint64(29)))
+    return _majorities(np.array(large if len(large) >= FEW else list(hashed.values()), np.uint64), SEEDS), _majorities(np.unique(grams), WIDE)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(id, root): the texts (id: the xxhash64 of the text) that are near copies of others, with a name for their group.
 
     Two texts are linked when one of SEEDS fingerprints of their words differs in at most WORD_BITS bits and
-    that of their five-word shingles in at most SHINGLE_BITS. Changing one word in fifty, which leaves 0.8 of
+    those of their five-word shingles together in at most SHINGLE_BITS. Changing one word in fifty, which leaves 0.8 of
     the five-word shingles, moves a word fingerprint by some 4 bits and is found by one of the seeds in most cases,
-    fewer changes nearly always; the shingles' fingerprint holds off texts of the same words in another order.
+    fewer changes nearly always; the shingles' fingerprints hold off texts that have fewer shingles in common.
     """
     ready(docs.sparkSession)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
-            fps = np.stack([word_fingerprints(t) for t in texts])
-            guards = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts))
-            n = len(texts)
+            both = [copy_fingerprints(t) for t in batch.column(1).to_pylist()]
+            n = len(both)
+            fps, guards = (np.concatenate(x).view(np.int64) for x in zip(*both, strict=True))
+            each_guard = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WIDE), pa.array(guards))
+            places = pa.array(np.repeat(np.arange(n), SEEDS))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(SEEDS, dtype=np.int32), n)), batch.column(0).take(pa.array(np.repeat(np.arange(n), SEEDS))), pa.array(fps.ravel().view(np.int64)), pa.array(np.repeat(guards, SEEDS).view(np.int64))],
-                ["seed", "id", "fp", "guard"],
+                [pa.array(np.tile(np.arange(SEEDS, dtype=np.int32), n)), batch.column(0).take(places), pa.array(fps), each_guard.take(places)], ["seed", "id", "fp", "guard"]
             )
 
         return each
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), raw_text().alias("b"))
-    prints = cut(over_batches(texts, "seed int, id long, fp long, guard long", make))
+    prints = cut(over_batches(texts, "seed int, id long, fp long, guard array<long>", make))
     return components(links(prints, WORD_BITS, SHINGLE_BITS)).withColumnRenamed("node", "id")
 
 
