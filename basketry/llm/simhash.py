@@ -232,7 +232,7 @@ def near_groups(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
 #: For near_copies: independent fingerprints of a text's words, differing bits in one of them, and, of WIDE independent
 #: fingerprints of its five-word shingles together, the bits that may differ: 0.8 of the shingles in common give 39 of 256
 #: on average with a deviation of 6, 0.7 of them 49, 0.6 of them 59.
-SEEDS, WORD_BITS, SHINGLE, WIDE, SHINGLE_BITS = 16, 2, 5, 4, 45
+SEEDS, WORD_BITS, SHINGLE, WIDE, SHINGLE_BITS = 24, 2, 5, 4, 48
 LONG, FEW = 5, 8
 
 
