@@ -156,3 +156,15 @@ def title_terms(titles: DataFrame, min_count: int = 50, top: int = 500) -> DataF
     return best.join(examples, "term", "left").crossJoin(F.broadcast(total)).select(
         "term", "count", F.round(F.col("count") * 100.0 / F.col("total"), 3).alias("pct"), theme(F.col("term")).alias("theme"), "examples"
     )
+
+
+def initials(c: Column, k: int = 2) -> Column:
+    """The first letters of a name's first k words in upper case, ? without any."""
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    return F.when(F.size(F.coalesce(words, F.array().cast("array<string>"))) == 0, "?").otherwise(F.upper(F.array_join(F.transform(F.slice(words, 1, k), lambda w: F.substring(w, 1, 1)), "")))
+
+
+def parsed_choice(c: Column, choices: dict[str, list[str]]) -> Column:
+    """A struct of the given fields from JSON text, fenced or not; a field whose value is none of its choices is null."""
+    parsed = F.from_json(unfence(c), ", ".join(f"{name} string" for name in choices))
+    return F.struct(*(F.when(parsed[name].isin(allowed), parsed[name]).alias(name) for name, allowed in choices.items()))

@@ -184,3 +184,12 @@ def best_of_sources(sources: list[DataFrame], key: str, order: list[Column]) ->
     for s in sources[1:]:
         whole = whole.unionByName(s, allowMissingColumns=True)
     return keep_first(whole, [key], order)
+
+
+def with_images(names: DataFrame, images: DataFrame, most: int = 50) -> DataFrame:
+    """(name, image_url, placeholder) of at most so many names: the known image, or the name's initials to show instead."""
+    from ..functions.text import initials
+
+    known = images.groupBy(F.lower("name").alias("_key")).agg(F.min("image_url").alias("image_url"))
+    some = names.select("name").distinct().orderBy("name").limit(most)
+    return some.join(known, F.lower("name") == F.col("_key"), "left").select("name", "image_url", F.when(F.col("image_url").isNull(), initials(F.col("name"))).alias("placeholder"))

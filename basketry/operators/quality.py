@@ -60,3 +60,8 @@ def search(index: DataFrame, ranks: DataFrame, query: str, k: int = 10) -> DataF
     words = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
     hits = index.where(F.col("token").isin(words)).groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("score"))
     return hits.where(F.col("words") == len(words)).join(ranks, "id", "left").orderBy(F.desc("score"), F.col("rank").asc_nulls_last(), "id").limit(k).select("id", "score", "rank")
+
+
+def sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """k rows without replacement, the same for the same key, seed and rows: those first by hash (ties by key)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)

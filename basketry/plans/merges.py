@@ -86,7 +86,14 @@ def _context(s, d):
     return t.baskets(s, d).select("pid", flags[0].alias("is_mood"), flags[1].alias("is_contrary")).groupBy("is_mood", "is_contrary").agg(F.count(F.lit(1)).alias("baskets"))
 
 
+def _images(s, d):
+    names = t.table(s, d, "part").where("p_size = 3").select(F.initcap("p_name").alias("name"))
+    images = t.table(s, d, "part").where("p_name LIKE 'r%'").select(F.col("p_name").alias("name"), F.concat(F.lit("http://img/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("image_url"))
+    return m.with_images(names, images)
+
+
 QUERIES = {
+    "artist_images": _images,
     "fill_empty_lists": _fill,
     "coerced_key_patch": _dates,
     "two_hop_counts": _hops,
@@ -104,6 +111,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "artist_images": """WITH n AS (SELECT DISTINCT array_to_string([upper(x[1]) || x[2:] for x in string_split(p_name, ' ')], ' ') AS name FROM part WHERE p_size = 3 ORDER BY 1 LIMIT 50)
+        SELECT name, CASE WHEN name LIKE 'R%' THEN 'http://img/' || replace(lower(name), ' ', '-') END AS image_url,
+               CASE WHEN name NOT LIKE 'R%' THEN upper(string_split(name, ' ')[1][1] || string_split(name, ' ')[2][1]) END AS placeholder FROM n""",
     "fill_empty_lists": """WITH b AS (SELECT p_partkey, upper(p_name) AS name, CASE WHEN p_partkey % 3 = 2 THEN [p_type] WHEN p_partkey % 3 = 1 THEN []::VARCHAR[] END AS tags FROM part WHERE p_partkey < 300),
         s AS (SELECT DISTINCT lower(p_name) AS k, string_split(p_name, ' ') AS new FROM part WHERE p_partkey < 300 AND p_size > 10)
         SELECT p_partkey, name, CASE WHEN len(coalesce(tags, [])) = 0 THEN coalesce(new, tags) ELSE tags END AS tags FROM b LEFT JOIN s ON k = lower(name)""",

@@ -124,3 +124,26 @@ def track_list(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.posexplode(_pairs("html", row)).alias("pos", "x"))
     plain = lambda c: F.replace(F.trim(F.regexp_replace(c, "<[^>]+>", "")), F.lit("&amp;"), F.lit("&"))
     return rows.select("page_id", "pos", plain(F.col("x.a")).alias("title"), plain(F.col("x.b")).alias("artist"))
+
+
+def matrix(spark: SparkSession, path: str, block: int = 25_000) -> DataFrame:
+    """(idx, vector): the rows of a .npy matrix in a folder that executors can open, mapped block by block and never loaded whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, width = np.load(path, mmap_mode="r").shape
+
+    def run(batches):
+        rows = np.load(path, mmap_mode="r")
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                part = np.ascontiguousarray(rows[i * block : (i + 1) * block], np.float32)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i * block, i * block + len(part))), vectors], ["idx", "vector"])
+
+    return spark.range(-(-n // block)).mapInArrow(run, "idx long, vector array<float>")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of a JSON manifest; no rows where the file holds none."""
+    return spark.read.json(path, multiLine=True, mode="DROPMALFORMED")

@@ -193,3 +193,17 @@ def test_streaming_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["plays"] for r in spark.table("streamed_sessions").collect()) == [1, 2]
+
+
+def test_small_forms(spark, tmp_path):
+    import numpy as np
+
+    row = spark.createDataFrame([("frida  kahlo x", "", '```json\n{"mood": "sad", "energy": "huge"}```')], "n string, e string, j string")
+    got = row.select(text.initials(F.col("n")), text.initials(F.col("e")), text.parsed_choice(F.col("j"), {"mood": ["sad"], "energy": ["low"]}).alias("c")).first()
+    assert (got[0], got[1], got["c"]["mood"], got["c"]["energy"]) == ("FK", "?", "sad", None)
+    np.save(tmp_path / "m.npy", np.arange(12, dtype=np.float32).reshape(4, 3))
+    assert [(r["idx"], r["vector"]) for r in readers.matrix(spark, str(tmp_path / "m.npy"), 3).orderBy("idx").collect()][3] == (3, [9.0, 10.0, 11.0])
+    (tmp_path / "x.json").write_text('{"rows": 3}')
+    assert readers.manifest(spark, str(tmp_path / "x.json")).first()["rows"] == 3
+    ids = spark.range(100)
+    assert quality.sample(ids, "id", 7).collect() == quality.sample(ids.repartition(5), "id", 7).collect() and quality.sample(ids, "id", 200).count() == 100
