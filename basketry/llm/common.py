@@ -72,5 +72,6 @@ def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Rec
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from .common import cut, of_worker, over_batches, partitions, ready, table
 LENGTH, UNIT, END = 4096, 16, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers, the longest of them, and marks that are parted from the end of a word (no apostrophe: it may begin a suffix).
-CACHE, CACHED = 500_000, 64
+CACHE, CACHED = 300_000, 64
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters that stay one letter each when lower-cased and composed; others might leave a combining mark that joins what follows.
 LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}]+$"
