@@ -45,8 +45,8 @@ def _lookup(s, d):
 def _best_source(s, d):
     p = t.table(s, d, "part")
     a = p.where("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") > 20).alias("matched"), F.col("p_brand").alias("isrc"))
-    b = p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") > 40).alias("matched"), F.col("p_type").alias("deezer"))
-    order = [F.desc("matched"), F.desc(F.col("isrc").isNotNull()), F.desc(F.col("deezer").isNotNull())]
+    b = p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") > 40).alias("matched"), F.col("p_type").alias("second_id"))
+    order = [F.desc("matched"), F.desc(F.col("isrc").isNotNull()), F.desc(F.col("second_id").isNotNull())]
     return m.best_of_sources([a, b], "p_partkey", order)
 
 
@@ -125,9 +125,9 @@ ORACLE = {
     "lookup_by_id_else_name": """WITH n AS (SELECT p_name, p_brand, p_size AS by_name FROM part WHERE p_partkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey, p_size) = 1)
         SELECT p_partkey AS id, ' ' || upper(p.p_name) AS title, p.p_brand AS artist, CASE WHEN p_partkey % 7 = 0 THEN p_size ELSE by_name END AS peak
         FROM part p LEFT JOIN n ON n.p_name = p.p_name AND n.p_brand = p.p_brand""",
-    "best_of_sources": """WITH u AS (SELECT p_partkey, p_size > 20 AS matched, p_brand AS isrc, NULL::VARCHAR AS deezer FROM part WHERE p_partkey % 2 = 0 UNION ALL
+    "best_of_sources": """WITH u AS (SELECT p_partkey, p_size > 20 AS matched, p_brand AS isrc, NULL::VARCHAR AS second_id FROM part WHERE p_partkey % 2 = 0 UNION ALL
               SELECT p_partkey, p_size > 40, NULL, p_type FROM part WHERE p_partkey % 3 = 0)
-        SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY matched DESC, isrc IS NOT NULL DESC, deezer IS NOT NULL DESC) = 1""",
+        SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY matched DESC, isrc IS NOT NULL DESC, second_id IS NOT NULL DESC) = 1""",
     "artist_standing": f"""WITH {ROWS}, r AS (SELECT owner, count(DISTINCT pid) AS basket_count FROM rows WHERE owner IS NOT NULL GROUP BY 1),
         c AS (SELECT owner, item, title, count(DISTINCT pid) AS n FROM rows GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY n DESC, item) AS r FROM c),
         tp AS (SELECT owner, string_agg(title, '; ' ORDER BY r) AS top_items FROM k WHERE r <= 3 GROUP BY 1),
