@@ -94,9 +94,12 @@ def substring_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
     n = queries.count()
     parts = max(1, -(-n // 50_000))
     found = None
+    # Lower-cased before the join, once a row and not once a pair.
+    texts = texts.select("id", F.lower("text").alias("low"))
+    queries = queries.select("query_id", F.lower("query").alias("query"))
     for i in range(parts):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).where("query <> ''")
-        hit = texts.join(F.broadcast(block), F.expr("contains(lower(text), lower(query))")).groupBy("query_id").agg(F.countDistinct("id").alias("hits"))
+        hit = texts.join(F.broadcast(block), F.expr("contains(low, query)")).groupBy("query_id").agg(F.countDistinct("id").alias("hits"))
         found = hit if found is None else found.unionAll(hit)
     return found
 
@@ -106,9 +109,10 @@ def forensics(submission: DataFrame, reference: DataFrame) -> DataFrame:
 
     An empty artist matches any. The submission is a short list and is broadcast.
     """
-    on = F.expr("contains(lower(r_title), lower(title)) AND (artist = '' OR contains(lower(r_artist), lower(artist)))")
+    on = F.expr("contains(r_title, title) AND (artist = '' OR contains(r_artist, artist))")
     total = submission.select(F.count(F.lit(1)).alias("total"))
-    hits = reference.join(F.broadcast(submission), on).agg(F.countDistinct("query_id").alias("hits"))
+    low = lambda *names: [F.lower(n).alias(n) for n in names]
+    hits = reference.select(*low("r_title", "r_artist")).join(F.broadcast(submission.select("query_id", *low("title", "artist"))), on).agg(F.countDistinct("query_id").alias("hits"))
     pct = F.round(F.col("hits") * 100.0 / F.greatest("total", F.lit(1)), 0)
     verdict = F.when(F.col("pct") >= 70, "editorial").when(F.col("pct") >= 40, "influenced").when(F.col("pct") >= 20, "adjacent").otherwise("original")
     return hits.crossJoin(total).select("hits", "total", pct.alias("pct")).withColumn("verdict", verdict)
