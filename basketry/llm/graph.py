@@ -53,7 +53,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
     tasks = -(-pairs.count() // SHARE)
-    pairs = pairs.repartition(max(1, tasks)).mapInArrow(_forest, "u long, v long")
+    # Which forest it is depends on the order in which edges arrive, so it is kept before both directions are taken from it.
+    pairs = cut(pairs.repartition(max(1, tasks)).mapInArrow(_forest, "u long, v long"))
     both = cut(pairs.union(pairs.select("v", "u")).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
