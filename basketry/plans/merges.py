@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,24 +14,24 @@ from .reach import TERMS
 from .tables import BASKETS, ROWS
 
 
-def _fill(s, d):
-    parts = t.table(s, d, "part").where("p_partkey < 300")
+def _fill(s, d, keep="p_partkey < 300"):
+    parts = t.table(s, d, "part").where(keep)
     base = parts.select("p_partkey", F.upper("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, None).when(F.col("p_partkey") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("tags"))
     source = parts.where("p_size > 10").select(F.col("p_name").alias("name"), F.split("p_name", " ").alias("tags"))
     return m.fill_empty_lists(base, source, "name", "tags")
 
 
-def _dates(s, d):
-    orders = t.table(s, d, "orders").where("o_orderkey < 2000")
+def _dates(s, d, keep="o_orderkey < 2000"):
+    orders = t.table(s, d, "orders").where(keep)
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
     base = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, iso).alias("released"))
     log = orders.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + 0.0).alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "not a date").otherwise(F.lit("2001-02-03")).alias("released"))
     return m.patch_dates(base, log, "id", "released")
 
 
-def _hops(s, d):
+def _hops(s, d, keep="o_orderkey < 500"):
     lines = t.table(s, d, "lineitem")
-    base = t.table(s, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("code"))
+    base = t.table(s, d, "orders").where(keep).select(F.col("o_orderkey").alias("code"))
     first = lines.select(F.col("l_orderkey").alias("code"), F.col("l_partkey").alias("recording"))
     second = t.table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("recording"), (F.col("p_partkey") % 50).alias("target"))
     counts = lines.groupBy((F.col("l_suppkey") % 40).alias("target")).agg(F.count(F.lit(1)).alias("listen_count"))
@@ -57,21 +59,21 @@ def _standing(s, d):
     return ranked.join(top, "owner").join(current, "owner", "left").select("owner", "basket_count", "rank", F.concat_ws("; ", "top_items").alias("top_items"), "current")
 
 
-def _passport(s, d):
+def _passport(s, d, keep="item < 50"):
     named = stats.item_stats(t.basket_items(s, d), t.baskets(s, d), "item", "pid", 3)
     extra = t.table(s, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("listens"), F.slice(F.split("p_name", " "), 1, 8).alias("genres"), F.round("p_retailprice", 4).alias("energy"))
-    return named.join(extra, "item", "left").where("item < 50").select("item", "basket_count", F.concat_ws("|", "top_names").alias("top_names"), "listens", F.concat_ws("|", "genres").alias("genres"), "energy")
+    return named.join(extra, "item", "left").where(keep).select("item", "basket_count", F.concat_ws("|", "top_names").alias("top_names"), "listens", F.concat_ws("|", "genres").alias("genres"), "energy")
 
 
-def _profile(s, d):
+def _profile(s, d, keep="id < 20"):
     terms = text.title_terms(t.part_titles(s, d), 1, 500).select("term", F.col("count").alias("n"))
-    words = t.part_titles(s, d).where("id < 20").select("id", F.explode(text.profile_words(F.concat("name", F.lit("'s zebra")))).alias("term"))
+    words = t.part_titles(s, d).where(keep).select("id", F.explode(text.profile_words(F.concat("name", F.lit("'s zebra")))).alias("term"))
     return words.join(terms, "term", "left").select("id", "term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _titles(s, d):
+def _titles(s, d, keep="id < 200"):
     terms = text.title_terms(t.part_titles(s, d), 1, 500).select("term", F.col("count").alias("n"))
-    asked = t.part_titles(s, d).where("id < 200").select("id", text.roast_words(F.concat("name", F.when(F.col("id") % 2 == 0, ", zebra").otherwise(""))).alias("words"))
+    asked = t.part_titles(s, d).where(keep).select("id", text.roast_words(F.concat("name", F.when(F.col("id") % 2 == 0, ", zebra").otherwise(""))).alias("words"))
     return stats.title_score(asked, terms)
 
 
@@ -92,6 +94,10 @@ def _images(s, d):
     return m.with_images(names, images)
 
 
+def _share(s, d, keep="pid % 5 = 0"):
+    return stats.most_common(t.rows(s, d).where(keep), "owner")
+
+
 QUERIES = {
     "artist_images": _images,
     "fill_empty_lists": _fill,
@@ -105,7 +111,7 @@ QUERIES = {
     "title_roast": _titles,
     "cluster_mode_labels": _mode,
     "unknown_mood": _context,
-    "most_common_share": lambda s, d: stats.most_common(t.rows(s, d).where("pid % 5 = 0"), "owner"),
+    "most_common_share": _share,
     "frequent_unmatched": lambda s, d: stats.frequent_without(t.basket_items(s, d), "item", t.items(s, d).where("owner < 'Brand#3'"), 3),
     "large_groups": lambda s, d: stats.large_groups(t.items(s, d), "title", 4).select("item", "title"),
 }
@@ -151,3 +157,16 @@ ORACLE = {
     "frequent_unmatched": """SELECT l_partkey AS item, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand < 'Brand#3') GROUP BY 1 HAVING count(*) >= 3""",
     "large_groups": """SELECT p_partkey AS item, p_name AS title FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) >= 4)""",
 }
+
+#: Queries whose SQL asks for some rows alone, with that filter; each is registered over all rows too, under its name with _whole.
+SLICES = {
+    "fill_empty_lists": "p_partkey < 300",
+    "coerced_key_patch": "o_orderkey < 2000",
+    "two_hop_counts": "o_orderkey < 500",
+    "song_passport": "item < 50",
+    "playlist_profile": "p_partkey < 20",
+    "title_roast": "p_partkey < 200",
+    "most_common_share": "pid % 5 = 0",
+}
+QUERIES |= {f"{name}_whole": partial(QUERIES[name], keep="true") for name in SLICES}
+ORACLE |= {f"{name}_whole": ORACLE[name].replace(kept, "true") for name, kept in SLICES.items()}

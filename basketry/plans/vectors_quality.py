@@ -14,9 +14,9 @@ def _vectors(s, d):
     return t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), F.col("embedding").alias("vector"))
 
 
-def _top(s, d):
+def _top(s, d, asked="id < 5"):
     vectors = _vectors(s, d).select("id", "vector")
-    return v.top_k(vectors, vectors.where("id < 5").toDF("query_id", "query"), 10)
+    return v.top_k(vectors, vectors.where(asked).toDF("query_id", "query"), 10)
 
 
 def _doppelganger(s, d):
@@ -28,7 +28,7 @@ def _doppelganger(s, d):
 def _soundtrack(s, d):
     p = t.table(s, d, "part")
     c = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), (F.col("p_size") / 50).alias("energy"), ((F.col("p_retailprice") - 900) / 100).alias("valence"), (F.col("p_partkey") % 17).cast("double").alias("fit"))
-    return v.soundtrack(s, c, "a rainy late-night drive", pool=500)
+    return v.soundtrack(s, c, "a rainy late-night drive")
 
 
 def _clusters(s, d):
@@ -62,6 +62,7 @@ def _guard(s, d):
 
 QUERIES = {
     "vector_topk_cosine": _top,
+    "vector_topk_cosine_whole": lambda s, d: _top(s, d, "id % 100 = 0"),
     "vector_centroids": lambda s, d: v.centroids(_vectors(s, d), "owner").select("owner", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid")),
     "doppelganger_hybrid": _doppelganger,
     "transition_beam": lambda s, d: v.transition(s, _vectors(s, d).select("id", "vector"), 0, 7),
@@ -106,3 +107,4 @@ ORACLE = {
     "table_audit": "SELECT p_type, count(*) AS rows, count(*) FILTER (p_size > 25) AS flagged, round(avg(p_size), 3) AS mean, min(p_size) AS least, max(p_size) AS most FROM part GROUP BY 1",
     "inverted_index_search": """SELECT p_partkey AS id, CAST(2 AS BIGINT) AS score, p_partkey * 7919 % 1009 AS rank FROM part WHERE p_name = 'red widget' ORDER BY rank, id LIMIT 10""",
 }
+ORACLE["vector_topk_cosine_whole"] = ORACLE["vector_topk_cosine"].replace("q.vec_id < 5", "q.vec_id % 100 = 0")

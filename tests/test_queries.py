@@ -2,7 +2,7 @@
 
 import pytest
 
-from basketry.plans import registry
+from basketry.plans import merges, registry, vectors_quality
 
 from .oracle import connect, differences
 
@@ -52,3 +52,24 @@ def test_routes_and_names_are_stable(spark):
 def test_clusters_cover_all_vectors(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert sum(r["size"] for r in registry.queries()["umap_substitute_clusters"](spark, SF).collect()) == n
+
+
+def test_whole_queries_leave_no_rows_out(spark):
+    q = registry.queries()
+    parts, orders, items = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("part", "orders", "lineitem"))
+    assert q["fill_empty_lists_whole"](spark, SF).count() == parts.count()
+    assert q["coerced_key_patch_whole"](spark, SF).count() == q["two_hop_counts_whole"](spark, SF).count() == orders.count()
+    assert q["song_passport_whole"](spark, SF).count() == items.select("l_partkey").distinct().count()
+    for name in ("playlist_profile_whole", "title_roast_whole"):
+        assert q[name](spark, SF).select("id").distinct().count() == parts.count()
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert q["vector_topk_cosine_whole"](spark, SF).count() == 10 * asked
+    for name in merges.SLICES:
+        assert "true" in registry.oracle_sql()[f"{name}_whole"] and merges.SLICES[name] not in registry.oracle_sql()[f"{name}_whole"]
+
+
+def test_soundtrack_takes_the_whole_pool(spark, monkeypatch):
+    pools = []
+    monkeypatch.setattr(vectors_quality.v, "soundtrack", lambda s, c, prompt, pool=10_000: pools.append(pool))
+    registry.queries()["soundtrack_beam"](spark, SF)
+    assert pools == [10_000]
