@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, over_batches, partitions, raw_text, ready, table
@@ -229,68 +229,120 @@ def near_groups(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For near_copies: independent fingerprints of a text's words, differing bits in one of them, and, of WIDE independent
-#: fingerprints of its five-word shingles together, the bits that may differ: 0.8 of the shingles in common give 39 of 256
-#: on average with a deviation of 6, 0.7 of them 49, 0.6 of them 59.
-SEEDS, WORD_BITS, SHINGLE, WIDE, SHINGLE_BITS = 24, 2, 5, 4, 48
-LONG, FEW = 5, 8
+#: For near_copies: the words of a shingle, bands of a text's shingles, least hashes in a band, and the similarity that makes
+#: near copies. Two texts at similarity s share a band with probability 1 - (1 - s ** WIDTH) ** BANDS: 0.99993 at 0.8.
+SHINGLE, BANDS, WIDTH, SIMILAR = 5, 24, 5, 0.8
+#: Neighbours in a band that a text is compared with before all that is left is, and texts kept by a task.
+NEXT, HELD = 4, 64
+_MIX, _TURN = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+_WAYS = np.random.default_rng(SEED).integers(1, 2**63, BANDS * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _majorities(base: np.ndarray, seeds: int) -> np.ndarray:
-    """Fingerprints of a set of hashed features, one for each way of mixing the hashes."""
-    out = np.empty(seeds, np.uint64)
-    for s in range(seeds):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(base), CHUNK):
-            x = base[at : at + CHUNK] * np.uint64(2 * s + 0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[s] = np.packbits(2 * ones > len(base), bitorder="little").view(np.uint64)[0]
-    return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _TURN)) * _MIX
+    return x ^ (x >> _TURN)
 
 
-def copy_fingerprints(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """SEEDS fingerprints of the set of a text's words of LONG bytes or more (all words where those are few), and WIDE of the set of its shingles."""
+def _shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The word shingles of a text (A-Z lower-cased); all its words where those are fewer than a shingle takes, none without words."""
     words = text.lower().split()
-    if not words:
-        return np.zeros(SEEDS, np.uint64), np.zeros(WIDE, np.uint64)
-    hashed = dict(zip(words, map(xxhash.xxh64_intdigest, words, repeat(SEED)), strict=True)) if len(words) < 64 else {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    large = [h for w, h in hashed.items() if len(w) >= LONG]
-    row = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(row) - SHINGLE + 1)
+    if len(words) < SHINGLE:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+
+
+def bands(text: bytes) -> tuple[np.ndarray, int]:
+    """The names of a text's BANDS bands, each made of the WIDTH least hashes of its shingles under other ways of mixing, and the number of its shingles."""
+    words = text.lower().split()
+    row = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    n = max(1, len(row) - SHINGLE + 1) if words else 0
     grams = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(row))):
         grams = (grams * np.uint64(0x9E3779B97F4A7C15)) ^ (row[i : i + n] + (row[i : i + n] >> np.uint64(29)))
-    return _majorities(np.array(large if len(large) >= FEW else list(hashed.values()), np.uint64), SEEDS), _majorities(np.unique(grams), WIDE)
+    grams = np.unique(grams)
+    least = np.full(BANDS * WIDTH, 2**64 - 1, np.uint64)
+    for at in range(0, len(grams), CHUNK // 128):
+        least = np.minimum(least, _mixed(grams[at : at + CHUNK // 128, None] * _WAYS).min(axis=0))
+    names = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, WIDTH).T:
+        names = _mixed(names * np.uint64(0x9E3779B97F4A7C15) + part)
+    return names, len(grams)
+
+
+def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts have SIMILAR or more of their shingles in common, by the shingles themselves."""
+
+    def make():
+        held: dict[int, set] = {}
+
+        def of(key: int, text: bytes) -> set:
+            if key not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[key] = _shingles(text)
+            return held[key]
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = of(a, x), of(b, y)
+                both = len(x & y)
+                every = len(x) + len(y) - both
+                near.append(both == every or both / every >= SIMILAR)
+            return batch.select(["a", "b"]).filter(pa.array(near))
+
+        return each
+
+    first, second = (bodies.select(F.col("id").alias(c), F.col("b").alias(f"text_{c}")) for c in "ab")
+    return over_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b"), "a long, b long", make)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(id, root): the texts (id: the xxhash64 of the text) that are near copies of others, with a name for their group.
 
-    Two texts are linked when one of SEEDS fingerprints of their words differs in at most WORD_BITS bits and
-    those of their five-word shingles together in at most SHINGLE_BITS. Changing one word in fifty, which leaves 0.8 of
-    the five-word shingles, moves a word fingerprint by some 4 bits and is found by one of the seeds in most cases,
-    fewer changes nearly always; the shingles' fingerprints hold off texts that have fewer shingles in common.
+    Texts that share a band are candidates, and two are linked only if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, counted exactly. Within each band texts are first compared with a few neighbours, then
+    with every text of the band that links do not yet tie to the same text, so that a pair of candidates that is not
+    compared is already linked through others. Texts without words are near copies of each other.
     """
     ready(docs.sparkSession)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            both = [copy_fingerprints(t) for t in batch.column(1).to_pylist()]
-            n = len(both)
-            fps, guards = (np.concatenate(x).view(np.int64) for x in zip(*both, strict=True))
-            each_guard = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WIDE), pa.array(guards))
-            places = pa.array(np.repeat(np.arange(n), SEEDS))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(SEEDS, dtype=np.int32), n)), batch.column(0).take(places), pa.array(fps), each_guard.take(places)], ["seed", "id", "fp", "guard"]
-            )
+            names, sizes = zip(*map(bands, batch.column(1).to_pylist()), strict=True)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(names).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), BANDS))], ["id", "band", "n"])
 
         return each
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), raw_text().alias("b"))
-    prints = cut(over_batches(texts, "seed int, id long, fp long, guard array<long>", make))
-    return components(links(prints, WORD_BITS, SHINGLE_BITS)).withColumnRenamed("node", "id")
+    dealt = cut(over_batches(texts, "id long, band long, n int", make))
+    shared = dealt.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
+    members = cut(dealt.join(shared, "band").distinct())
+    bodies = cut(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    sizes_fit = f"least(n, m) >= {SIMILAR} * greatest(n, m)"
+
+    def compared(found: DataFrame) -> DataFrame:
+        pairs = found.where(sizes_fit).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        return cut(_similar(pairs, bodies))
+
+    order = Window.partitionBy("band").orderBy(F.xxhash64("id"), "id")
+    after = F.array(*(F.lead(F.struct("id", "n"), i).over(order) for i in range(1, NEXT + 1)))
+    found = members.select("id", "n", after.alias("after")).select("id", "n", F.explode("after").alias("o")).where("o IS NOT NULL")
+    some = compared(found.select("id", "n", F.col("o.id").alias("other"), F.col("o.n").alias("m")))
+    # Texts with the same root are linked through it; that not all linked texts have the same costs comparisons only.
+    both = some.union(some.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    roots = cut(both.select("id", F.least("id", "root").alias("root")))
+    for _ in range(2):
+        ends = roots.select(F.col("id").alias("root"), F.col("root").alias("end"))
+        roots = cut(roots.join(ends, "root").select("id", F.col("end").alias("root")))
+    now = cut(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    whole = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
+    whole = whole.where("groups > 1").select("band", F.col("most.root").alias("most"))
+    # All of a band against those outside its largest group.
+    few = now.join(whole, "band").where("root <> most").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("group"))
+    rest = compared(now.join(few, "band").where("root <> group"))
+    return components(some.union(rest)).withColumnRenamed("node", "id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -142,6 +142,24 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [*range(30), *range(40, 50)]
 
 
+def test_near_copies_of_every_kind_of_edit(spark):
+    rng = random.Random(11)
+    words = ["w" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    texts, near = [], []
+    for n in (10, 60, 200, 1000):
+        for extra in (n // 10, n // 5, n // 3):
+            for _ in range(6):
+                t = rng.sample(words, n)
+                new = [f"new{rng.random()}" for _ in range(extra)]
+                at = rng.randrange(n)
+                near += [(len(texts), len(texts) + i) for i in range(1, 5)]
+                texts += [t, t + new, t[: n - extra], t[:at] + new + t[at:], [f"x{i}" if i % 40 == 7 else w for i, w in enumerate(t)]]
+    grams = [set(zip(*(t[i:] for i in range(5)), strict=False)) for t in texts]
+    wanted = brute_components(list(range(len(texts))), lambda a, b: 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b]))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == sorted(set(wanted.values()))
+
+
 @pytest.mark.parametrize("block", [7, 8192])
 def test_block_names(docs, texts, block):
     groups = defaultdict(list)
