@@ -88,8 +88,8 @@ class _Node:
             self.kids = [_Node(fps, lo, mid), _Node(fps, mid, hi)]
 
 
-def _search(fps: np.ndarray, k: int, guards: np.ndarray | None = None, guard_bits: int = 64) -> list[tuple[int, int]]:
-    """Links (i, root of i) that join all fingerprints of one upper node that lie within k bits, and guards within guard_bits, through others there."""
+def _search(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Links (i, root of i) that join all fingerprints of one upper node that lie within k bits, through others there."""
     root = list(range(len(fps)))
 
     def find(i: int) -> int:
@@ -113,9 +113,6 @@ def _search(fps: np.ndarray, k: int, guards: np.ndarray | None = None, guard_bit
             todo += [(x, kid) for kid in y.kids]
         else:
             near = np.bitwise_count(fps[x.lo : x.hi, None] ^ fps[None, y.lo : y.hi]) <= k
-            if guards is not None:
-                i, j = np.nonzero(near)
-                near[i, j] = np.bitwise_count(guards[x.lo + i] ^ guards[y.lo + j]).sum(axis=1, dtype=np.int64) <= guard_bits
             for i, j in zip(*np.nonzero(near), strict=True):
                 a, b = find(x.lo + int(i)), find(y.lo + int(j))
                 if a != b:
@@ -123,17 +120,17 @@ def _search(fps: np.ndarray, k: int, guards: np.ndarray | None = None, guard_bit
     return [(i, find(i)) for i in range(len(fps)) if find(i) != i]
 
 
-def _search_groups(k: int, guard_bits: int | None):
-    """For mapInArrow over (key, block, id, fp, guard) sorted by key, block and rank: the links of every upper node."""
+def _search_groups(k: int):
+    """For mapInArrow over (key, block, id, fp) sorted by key, block and rank: the links of every upper node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         key = None
 
         def links(out: list) -> None:
-            ids, fps, guards = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0),) * 3
+            ids, fps = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0),) * 2
             if len(ids) > 1:
-                if found := _search(fps.view(np.uint64), k, *(() if guard_bits is None else (guards.view(np.uint64), guard_bits))):
+                if found := _search(fps.view(np.uint64), k):
                     i, j = np.array(found).T
                     out.append((ids[i], ids[j]))
 
@@ -145,14 +142,13 @@ def _search_groups(k: int, guard_bits: int | None):
                 continue
             keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)
             ids, fps = (batch.column(i).to_numpy() for i in (2, 3))
-            guards = batch.column(4).flatten().to_numpy().reshape(len(ids), -1)
             cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(ids)]
             out: list = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if (now := tuple(keys[a])) != key:
                     links(out)
                     held, key = [], now
-                held.append((ids[a:b], fps[a:b], guards[a:b]))
+                held.append((ids[a:b], fps[a:b]))
             if out:
                 yield batch_of(out)
         out = []
@@ -163,16 +159,15 @@ def _search_groups(k: int, guard_bits: int | None):
     return run
 
 
-def links(rows: DataFrame, k: int = 2, guard_bits: int | None = None, node: int = NODE) -> DataFrame:
-    """(a, b): links between the ids of rows (seed, id, fp, and guard if there are guard_bits) that connect those of a seed whose fps lie within k bits of each other.
+def links(rows: DataFrame, k: int = 2, n: int | None = None, node: int = NODE) -> DataFrame:
+    """(a, b): links between the ids of rows (seed, id, fp) that connect those of a seed whose fps lie within k bits of each other.
 
-    Ids with the same fp are not linked through it unless guards are given: an id stands for its fp. With
-    guard_bits a link also takes guards (arrays of longs) within so many bits, but in nodes so dense that hubs serve them.
-    A node counts as dense beyond node rows, or beyond a task's fair share of all rows where that is more.
+    Ids with the same fp are not linked through it: an id stands for its fp. A node counts as dense beyond node rows,
+    or beyond a task's fair share (of n tasks, by default the shuffle partitions) of all rows where that is more.
     """
     if not 0 <= k <= 2:
         raise ValueError("the hubs for dense nodes reach 2 differing bits")
-    n = partitions(rows.sparkSession)
+    n = n or partitions(rows.sparkSession)
     turned = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(by).alias("by"), F.lit(w).alias("width")) for i, (by, w) in enumerate(blocks_of(k))))
     dealt = rows.select("seed", "id", "fp", F.explode(turned).alias("t")).select(
         (F.col("seed") * 8 + F.col("t.turn")).cast("long").alias("key"),
@@ -188,12 +183,8 @@ def links(rows: DataFrame, k: int = 2, guard_bits: int | None = None, node: int
     total = dealt.count()
     most = max(node, total // n)
     small = dealt.where(F.col("n") <= most)
-    if guard_bits is None:
-        small = small.withColumn("guard", F.array().cast("array<long>"))
-    else:  # guards travel only with the rows that share a node with others
-        small = small.join(rows.where("seed = 0").select("id", "guard").dropDuplicates(["id"]), "id")
     small = small.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rank", "id")
-    found = small.select("key", "block", "id", "fp", "guard").mapInArrow(_search_groups(k, guard_bits), "a long, b long")
+    found = small.select("key", "block", "id", "fp").mapInArrow(_search_groups(k), "a long, b long")
     dense = dealt.where(F.col("n") > most).select("seed", "id", "fp").distinct()
     if dense.isEmpty():
         return found.distinct()

@@ -142,6 +142,13 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [*range(30), *range(40, 50)]
 
 
+def test_many_texts_of_one_vocabulary_stay(spark):
+    rng = random.Random(3)
+    words = ["w" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(words, 60))) for i in range(1500)], "doc_id long, text string")
+    assert simhash.drop_near_copies(df).count() == 1500
+
+
 def test_near_copies_of_every_kind_of_edit(spark):
     rng = random.Random(11)
     words = ["w" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
