@@ -2,12 +2,14 @@
 
 Lines are parsed to a fixed depth: a first level by the number of tokens, then one level for each of the
 leading tokens (those with a digit count as variable). Lines that recur word for word, variables aside,
-need no more. The others of a leaf are generalised: at each place a token that enough of the leaf's lines
-share is constant, any other is variable, and lines with the same constants at the same places have the
-same template. A line is dropped if its template recurs in at least min_docs documents and most of it is constant.
+need no more. The lines of a leaf, those included, are generalised: a line's tokens are ordered by how much of
+the leaf has them at their place, and wherever that number falls, the tokens before are taken as constant and
+the others as variable. Lines with the same constants at the same places have the same template. No number of
+occurrences makes a token constant, so a template is found at every size of the leaf. A line is dropped if one
+of its templates recurs in at least min_docs documents and most of it is constant.
 
 Every count is combined before it is shuffled, leaves and templates that cannot recur are pruned before
-tokens are looked at, and the joins that bring counts back to lines are plain sort-merge joins that
+tokens are looked at (once for each distinct line), and the joins that bring counts back to lines are plain sort-merge joins that
 can split a very common line.
 """
 
@@ -49,29 +51,34 @@ def dropped_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONST
     """
     lines = cut(_lines(docs))
     exact = _recurring(lines, "h", min_docs)
-    lines = cut(lines.join(exact.withColumn("same", F.lit(True)), "h", "left").drop("h"))
-    same = lines.where("same").select("doc_id", "tk", "idx")
-    rest = lines.where(F.col("same").isNull() & (F.col("n") > DEPTH)).drop("same")
-    leaves = _recurring(rest, "leaf", min_docs)
-    wanted = rest.join(leaves, "leaf", "left_semi").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("idx", "n", "leaf")).alias("wanted"))
-    wanted = cut(wanted.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "wanted"))
+    long = lines.where(F.col("n") > DEPTH)
+    leaves = _recurring(long, "leaf", min_docs)
+    held = long.join(leaves, "leaf", "left_semi").groupBy("h", "leaf", "n", "doc_id").agg(F.min(F.struct("tk", "idx")).alias("at"))
+    held = cut(held.groupBy("h", "leaf", "n").agg(F.min(F.struct("doc_id", "at.tk", "at.idx")).alias("at"), F.count(F.lit(1)).alias("c")))
+    held = held.join(held.where(F.col("c") < min_docs).select("leaf").distinct(), "leaf", "left_semi")
+    wanted = held.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.tk").alias("_tk")).agg(F.collect_list(F.struct("at.idx", "h", "leaf", "n", "c")).alias("wanted"))
+    wanted = cut(wanted)
     texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     on = texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["tk"] == wanted["_tk"])
-    inner = texts.join(wanted, on).select("doc_id", "tk", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    inner = inner.select("doc_id", "tk", "w.*", F.split(_masked(F.get("lines", F.col("w.idx"))), " ").alias("tokens"))
-    placed = inner.select("doc_id", "tk", "idx", "leaf", "n", F.posexplode("tokens").alias("pos", "token"))
-    placed = cut(placed.select("doc_id", "tk", "idx", "leaf", "n", F.xxhash64("pos", "token").alias("token")))
-    common = cut(placed.groupBy("leaf", "token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf", "token"))
-    templates = (
-        placed.join(common, ["leaf", "token"], "left_semi")
-        .groupBy("doc_id", "tk", "idx", "leaf", "n")
-        .agg(F.bit_xor("token").alias("template"), F.count(F.lit(1)).alias("constants"))
-        .where(F.col("constants") >= constant * F.col("n"))
-        .withColumn("template", F.xxhash64("leaf", "template", "constants"))
-    )
-    templates = cut(templates.select("doc_id", "tk", "idx", "template"))
-    general = templates.join(_recurring(templates, "template", min_docs), "template", "left_semi").select("doc_id", "tk", "idx")
-    return same.unionByName(general)
+    inner = texts.join(wanted, on).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    inner = inner.select("w.*", F.get("lines", F.col("w.idx")).alias("line")).dropDuplicates(["h"])
+    placed = inner.select("h", "leaf", "n", "c", F.posexplode(F.split(_masked(F.col("line")), " ")).alias("pos", "token"))
+    placed = cut(placed.select("h", "leaf", "n", "c", F.xxhash64("pos", "token").alias("token")))
+    common = cut(placed.groupBy("leaf", "token").agg(F.sum("c").alias("weight")).where(F.col("weight") >= min_docs))
+    by_weight = placed.join(common, ["leaf", "token"]).groupBy("h", "leaf", "n", "c").agg(F.sort_array(F.collect_list(F.struct("weight", "token")), False).alias("t"))
+    least = F.greatest(F.ceil(constant * F.col("n")), F.lit(1)).cast("int")
+    levels = F.array_distinct(F.transform(F.slice("t", least, F.size("t")), lambda x: x["weight"]))
+    levels = by_weight.where(F.size("t") >= least).select("h", "leaf", "c", "t", F.explode(levels).alias("level"))
+    levels = levels.select("h", "leaf", "c", F.filter("t", lambda x: x["weight"] >= F.col("level")).alias("t"))
+    xor = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["token"]))
+    templates = cut(levels.select("h", "c", F.xxhash64("leaf", xor, F.size("t")).alias("template")))
+    # A template's documents are told apart only where their numbers by line leave open whether it recurs.
+    sums = cut(templates.groupBy("template").agg(F.sum("c").alias("most"), F.max("c").alias("least")).where(F.col("most") >= min_docs))
+    open_ = templates.join(sums.where(F.col("least") < min_docs), "template", "left_semi").select("h", "template")
+    found = _recurring(lines.select("h", "doc_id").join(open_, "h"), "template", min_docs)
+    found = found.union(sums.where(F.col("least") >= min_docs).select("template"))
+    general = templates.join(found, "template", "left_semi").select("h")
+    return lines.join(exact.union(general).distinct(), "h", "left_semi").select("doc_id", "tk", "idx")
 
 
 def clean_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTANT) -> DataFrame:

@@ -106,6 +106,14 @@ def test_line_dedup(docs, none):
     assert line_dedup.clean_lines(none).count() == 0
 
 
+def test_templates_are_found_at_every_size(spark):
+    line = "please send your letter to name{} in city{} before noon today"
+    letters = "abcdefghijklmnopqrst"
+    df = spark.createDataFrame([(20 * i + j, line.format(a, b)) for i, a in enumerate(letters) for j, b in enumerate(letters)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.clean_lines(df).collect()} == {1}
+    assert {r["n_dropped"] for r in line_dedup.clean_lines(df.where("doc_id < 9")).collect()} == {0}
+
+
 def test_substring_dedup(docs, none, spark):
     rows = substring_dedup.drop_repeats(docs).collect()
     assert len(rows) == len(ROWS) and all(r["n_removed"] == 0 for r in rows)
