@@ -114,6 +114,12 @@ def test_templates_are_found_at_every_size(spark):
     assert {r["n_dropped"] for r in line_dedup.clean_lines(df.where("doc_id < 9")).collect()} == {0}
 
 
+def test_exact_lines_count_for_their_template(spark):
+    sections = ["news"] * 30 + "art food law film chess opera radio rugby yoga".split()
+    df = spark.createDataFrame([(i, f"posted by the team in {x} section today") for i, x in enumerate(sections)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.clean_lines(df).collect()} == {1}
+
+
 def test_substring_dedup(docs, none, spark):
     rows = substring_dedup.drop_repeats(docs).collect()
     assert len(rows) == len(ROWS) and all(r["n_removed"] == 0 for r in rows)
