@@ -355,6 +355,23 @@ def test_wrapper_drops_constants_without_article():
     assert html_extract.extract(page.format("x", "y")) == "Welcome to the site\n\nx\n\ny\n\nAll rights kept"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><p>By <b>Ann</b> unique text {}</p></div>", "unique text 9"),
+        ("<div><p>Welcome</p><h2>{}</h2><p>unique body {}</p></div>", "9\n\nunique body 9"),
+        ("<div><p>Welcome</p><h2>Title</h2><p>{}</p></div>", "9"),
+    ],
+)
+def test_texts_are_aligned_with_the_wrapper(page, want):
+    wrapper = None
+    for i in range(4):
+        wrapper = html_extract.join_wrappers(wrapper, html_extract.wrapper_of(html_extract.parse(page.format(i, i))))
+    assert html_extract.extract(page.format(9, 9), wrapper) == want
+    changed = page.format(9, 9).replace("Welcome", "Goodbye").replace("By ", "Of ")
+    assert html_extract.extract(changed, wrapper).startswith(("Goodbye", "Of"))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
