@@ -192,8 +192,7 @@ def test_blocks_that_share_a_digest(spark, monkeypatch):
     assert got == {(1, 3), (2, 2), (3, 3), (4, 4)}
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeats(docs, texts, hot):
+def brute_repeats(texts: dict) -> set:
     first: dict = {}
     words = {d: t.encode().split() for d, t in texts.items()}
     for d in sorted(words):
@@ -203,20 +202,48 @@ def test_repeats(docs, texts, hot):
     for d, w in words.items():
         gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
         want.add((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
-    assert {tuple(r) for r in substring_dedup.drop_repeats(docs, hot).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("held", [40_000, 60, 1])
+def test_repeats(docs, texts, held):
+    assert {tuple(r) for r in substring_dedup.drop_repeats(docs, held).collect()} == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("held", [40_000, 300, 1])
+def test_repeats_of_few_words(spark, held):
+    rng = random.Random(held)
+    base = [rng.choice("abc") for _ in range(400)]
+    texts = {i: " ".join(rng.choice("ab") if rng.random() < 0.02 else w for w in base[rng.randrange(200) :]) for i in range(25)}
+    texts |= {30: "alpha beta gamma delta " * 300, 31: "beta gamma delta alpha " * 200, 32: "\u3000x \x1cy\tz" * 60, 33: "\u3000x \x1cy\tz" * 60 + " end"}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in substring_dedup.drop_repeats(df, held).collect()} == brute_repeats(texts)
 
 
 @given(st.lists(st.sampled_from(["a", "b"]), max_size=160))
 @settings(max_examples=60, deadline=None)
-def test_window_names_are_least_hashes(words):
+def test_equal_windows_have_equal_prefixes(words):
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    names = substring_dedup.names_of(hashes)
+    names, at = substring_dedup.prefixes(hashes)
     assert len(names) == max(0, len(words) - 49)
+    longer = substring_dedup.longer_prefixes(hashes, at) if len(names) else names
     seen: dict = {}
-    for i, n in enumerate(names.tolist()):
+    for i, n in enumerate(zip(names.tolist(), longer.tolist(), (at - np.arange(len(at))).tolist(), strict=True)):
         assert seen.setdefault(tuple(words[i : i + 50]), n) == n
 
 
+@given(st.lists(st.tuples(st.integers(0, 5), st.lists(st.integers(0, 1), min_size=52, max_size=52)), min_size=1, max_size=12), st.integers(0, 3))
+@settings(max_examples=60, deadline=None)
+def test_nodes_of_a_tree(rows, same):
+    rows = sorted(((d, [0] * (49 - same) + w[: 3 + same]) for d, w in rows), key=lambda r: r[1])
+    depth = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    common = [0, *(depth(a, b) for (_, a), (_, b) in zip(rows, rows[1:], strict=False))]
+    got = substring_dedup._nodes(np.array([d for d, _ in rows]), np.array(common))
+    for (d, w), covered in zip(rows, got.tolist(), strict=True):
+        most = max((depth(w, v) for e, v in rows if e < d), default=0)
+        assert covered == (most if most >= 50 else 0)
+
+
 def test_retrieval(spark, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     index = decontaminate.Index(items)
