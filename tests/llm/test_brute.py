@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,6 +367,65 @@ def test_line_templates(spark, docs):
     assert got[99]["n_dropped"] == 0 and got[100]["text"] == "quiet\n\nquiet" and got[100]["n_lines"] == 2
 
 
+def brute_lines(docs: list[tuple], min_docs: int, constant: float = line_dedup.CONSTANT) -> dict:
+    """Numbers of the dropped lines of each document, by the definition: every path of every line, every level of constants."""
+    lines = [(d, i, x.strip(" ")) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+    having = defaultdict(set)
+    for d, _, x in lines:
+        having[x].add(d)
+    leaves = defaultdict(set)
+    for x in having:
+        tokens = x.split(" ")
+        plain = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+        for s in range(line_dedup.SKIPS + 1):
+            if len(tokens) > line_dedup.DEPTH + s:
+                leaves[(len(tokens), s, *plain[s : s + line_dedup.DEPTH])].add(x)
+    gone = {x for x, ds in having.items() if len(ds) >= min_docs}
+    for leaf, members in leaves.items():
+        weight = Counter()
+        for x in members:
+            for place in enumerate(x.split(" ")):
+                weight[place] += len(having[x])
+        found = defaultdict(set)
+        for x in members:
+            tokens = sorted(((weight[p], p) for p in enumerate(x.split(" ")) if weight[p] >= min_docs), reverse=True)
+            least = max(1, math.ceil(constant * leaf[0] - 1e-9))
+            for level in {w for w, _ in tokens[least - 1 :]}:
+                found[frozenset(p for w, p in tokens if w >= level)].add(x)
+        for same in found.values():
+            if len(set().union(*(having[x] for x in same))) >= min_docs:
+                gone |= same
+    out = defaultdict(set)
+    for d, i, x in lines:
+        if x in gone:
+            out[d].add(i)
+    return out
+
+
+@pytest.mark.parametrize("min_docs", [3, 10])
+def test_lines_are_those_of_the_definition(spark, docs, min_docs):
+    rng = random.Random(min_docs)
+    forms = ["{} has joined the group chat now", "error {} in module {} at line {}", "{} {} {}", "{}", "total {} of the day is {} units sold", "see you at {} on the old {} bridge", "{} and {} went home to rest early today"]
+    word = lambda: rng.choice([str(rng.randrange(50)), rng.choice("anna bert carl dora".split()), f"x{rng.randrange(9)}"])
+    rows = [(i, "\n".join(rng.choice(forms).format(word(), word(), word()) for _ in range(rng.randrange(6)))) for i in range(60)]
+    rows += [(100 + r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_lines(rows, min_docs)
+    got = {r["doc_id"]: r for r in line_dedup.clean_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs).collect()}
+    assert sum(map(len, want.values())) > 30
+    for d, t in rows:
+        kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
+        assert (got[d]["text"], got[d]["n_dropped"]) == (kept, len(want[d])), d
+
+
+def test_numbers_and_leading_fields(spark):
+    numbers = [(i, f"{1000 + 37 * i}\n{i}.5 {2 * i + 1} {7 * i}\n{i} {i * i} {i + 3} {i - 4} {5 * i}") for i in range(12)]
+    got = line_dedup.clean_lines(spark.createDataFrame(numbers, "doc_id long, text string")).collect()
+    assert {r["n_dropped"] for r in got} == {0}
+    names = "anna berta carla dora emma frida greta hanna ines jana klara lena".split()
+    first = spark.createDataFrame([(i, f"{n} has joined the group\n{n} {names[i - 3]} has left the large group chat") for i, n in enumerate(names)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.clean_lines(first).collect()} == {2}
+
+
 def test_variable_words_are_generalised(spark):
     names = "anna berta carla dora emma frida greta hanna ines jana klara lena".split()
     df = spark.createDataFrame([(i, f"please send your letter to {n} at our office before noon today") for i, n in enumerate(names)], "doc_id long, text string")
