@@ -38,11 +38,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A computed df, marked to be broadcast if it has at most so many rows; beyond that it is joined like any other."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def raw_text(col: str = "text") -> F.Column:
     """The UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, mark): each row as one column, so that none of its names meets an operator's own; mark tells rows that repeat doc_id and text apart."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*cols).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(*cols).alias("mark"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that packed() made one column of."""
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
 _KEPT: dict[str, object] = {}
 
 

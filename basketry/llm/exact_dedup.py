@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ready, table
+from .common import cut, packed, partitions, ready, table, unpacked
 
 #: Code points in a block.
 BLOCK = 8192
@@ -23,12 +23,12 @@ BLOCK = 8192
 
 def _named_blocks(blocks: DataFrame) -> DataFrame:
     """(digest, size, block, name, shared): the distinct blocks in sorted order with their integer names."""
-    return (
-        blocks.select("digest", "size", "block")
-        .distinct()
-        .sortWithinPartitions("digest", "size", "block")
-        .withColumn("name", F.monotonically_increasing_id())
-    )
+    n = partitions(blocks.sparkSession)
+    # By ranges of the digest, which is in equal use everywhere, so that blocks are in sorted order from the first partition to the last.
+    distinct = blocks.select("digest", "size", "block").distinct()
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    dealt = distinct.withColumn("range", (first * n / F.lit(1 << 32)).cast("int")).repartitionById(n, "range")
+    return dealt.sortWithinPartitions("digest", "size", "block").withColumn("name", F.monotonically_increasing_id())
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
@@ -103,15 +103,22 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of docs that exact_groups keeps, one of each text; all columns stay."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = exact_groups(docs, block).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", sha)
-    on = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_sha"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of docs that exact_groups keeps, one of each text; all columns stay.
+
+    Null and empty texts are one text. Of equal texts the largest doc_id stays, a null one only where there is no other; of rows
+    that repeat doc_id and text, the one with the least hash of all its columns (those that differ in nothing are one). Texts of any
+    length are compared whole. An empty table gives no rows.
+    """
+    kept = exact_groups(docs, block).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("of")).distinct()
+    rows = packed(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).drop("text")
+    mine = rows["doc_id"].eqNullSafe(kept["id"]) & (rows["sha"] == kept["of"])
+    one = cut(rows.select("doc_id", "sha", "mark").join(kept, mine, "left_semi").groupBy("sha").agg(F.min("mark").alias("mark")))
+    return unpacked(rows.join(one, ["sha", "mark"], "left_semi").dropDuplicates(["sha"]), docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir):
+    """Each document's group of equal texts (null: empty) and whether it stays, the largest doc_id doing so. Repeated rows are each answered;
+    very long texts are compared whole; an empty table gives no rows."""
     return exact_groups(table(ready(spark), sf_dir, "documents"))
 
 
