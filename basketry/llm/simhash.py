@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, partitions, raw_text, ready, table
+from .common import cut, over_batches, packed, partitions, raw_text, ready, table, unpacked
 from .graph import components
 
 #: Shingles counted at a time, fingerprints in a leaf, and in an upper node that one task searches.
@@ -288,15 +288,31 @@ def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return over_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b"), "a long, b long", make)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(id, root): the texts (id: the xxhash64 of the text) that are near copies of others, with a name for their group.
+def named_texts(docs: DataFrame, name=lambda sha: F.xxhash64(sha)) -> DataFrame:
+    """packed(docs) with sha, the SHA-256 of the text (null: empty), and id: a long that two different texts never share.
+
+    The id is a hash of sha; where two texts' ids are alike, all texts with that id get others, until none are.
+    """
+    rows = packed(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("id", name(F.col("sha")))
+    salt = 0
+    while True:
+        clash = rows.select("id", "sha").groupBy("id").agg((F.min("sha") != F.max("sha")).alias("two")).where("two").select("id")
+        if (clash := cut(clash)).isEmpty():
+            return rows
+        salt += 1
+        rows = rows.join(clash.withColumn("two", F.lit(True)), "id", "left")
+        rows = rows.withColumn("id", F.when(F.col("two"), F.xxhash64(F.lit(salt), "sha")).otherwise(F.col("id"))).drop("two")
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(id, root): those of the texts (id, text), each id the name of one text, that are near copies of others, with a name for their group.
 
     Texts that share a band are candidates, and two are linked only if their sets of five-word shingles have a Jaccard
     similarity of 0.8 or more, counted exactly. Within each band texts are first compared with a few neighbours, then
     with every text of the band that links do not yet tie to the same text, so that a pair of candidates that is not
     compared is already linked through others. Texts without words are near copies of each other.
     """
-    ready(docs.sparkSession)
+    ready(texts.sparkSession)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -306,7 +322,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
         return each
 
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), raw_text().alias("b"))
+    texts = texts.select("id", raw_text().alias("b"))
     dealt = cut(over_batches(texts, "id long, band long, n int", make))
     shared = dealt.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
     members = cut(dealt.join(shared, "band").distinct())
@@ -339,16 +355,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id, and all other rows; all columns stay.
 
-    Rows with equal texts are near copies; null counts as empty. A null doc_id comes last in its group.
+    Rows with equal texts are near copies; null counts as empty, and texts without words are near copies of each other. A null doc_id
+    comes last in its group; of rows that repeat the doc_id, that with the least text digest stays, then that with the least hash of all
+    its columns (those that differ in nothing are one). Texts of any length are compared whole. An empty table gives no rows.
     """
-    groups = cut(near_copies(docs))
-    keyed = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.select("_id", "doc_id").join(groups.withColumnRenamed("id", "_id"), "_id", "left")
-    rows = rows.select("_id", "doc_id", F.coalesce("root", "_id").alias("root"))
-    stays = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_id")).alias("s")).select(F.col("s._id").alias("_id")))
-    return keyed.join(stays, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    ready(docs.sparkSession)
+    rows = named_texts(docs)
+    groups = cut(near_copies(rows.select("id", "text")))
+    marks = rows.select("id", "sha", "doc_id", "mark").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "mark", "id")).alias("s")
+    stays = cut(marks.groupBy("root").agg(least).select("s.id", "s.mark", F.col("s.doc_id").alias("of")))
+    mine = (rows["id"] == stays["id"]) & (rows["mark"] == stays["mark"]) & rows["doc_id"].eqNullSafe(stays["of"])
+    return unpacked(rows.drop("text").join(stays, mine, "left_semi").dropDuplicates(["id"]), docs.columns)
 
 
 def op3_simhash(spark, sf_dir):
+    """Each document's fingerprint and component. Null and empty texts have fingerprint zero and are linked like any others; repeated
+    rows are each answered; ties don't arise, as a component is named by its smallest doc_id; an empty table gives no rows."""
     groups = near_groups(table(ready(spark), sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
