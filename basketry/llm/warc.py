@@ -6,9 +6,10 @@ header first and passes over the payload of a record that it does not want: by s
 files, and without keeping or decoding it in compressed ones. With the option payload=false no payload
 is decoded at all. Files are plain (.warc) or compressed record by record (.warc.gz).
 
-Writing: each task writes a file under a name of its own; the driver lists the files of the tasks
-that count in a manifest when all are done, and readers go by the manifest. What lost or repeated
-tasks leave is never read.
+Writing: each task writes a file under a name of its own; when all are done the driver lists the files of the tasks
+that count in a manifest of this write, and readers go by the manifests of all writes. What lost or repeated
+tasks leave is never read. Mode overwrite takes away the files of earlier writes once its own manifest is there. Records without an id
+get one, and all have a WARC-Date: that of the option "date", or of the write's begin.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,7 +32,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..session import checkpoint_dir
 from .common import cut, ready, table
 
-MANIFEST, SPLIT, CHUNK, ROWS = "_warc_files.json", 128 << 20, 1 << 16, 500
+MANIFEST, SPLIT, CHUNK, ROWS = re.compile(r"_warc_files-[0-9a-f]+\.json"), 128 << 20, 1 << 16, 500
+#: What a revisit with the payload of an earlier record conforms to.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Result columns that a filter may be pushed down on, and the header of each.
 PUSHED = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 READ = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, headers map<string,string>, payload binary"
@@ -44,6 +48,16 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
+def manifests(fs: pafs.FileSystem, path: str) -> list[str]:
+    """The manifests of all writes to a folder."""
+    return [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if MANIFEST.fullmatch(f.base_name)]
+
+
+def listed(fs: pafs.FileSystem, manifest: str) -> list[str]:
+    with fs.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Files(InputPartition):
     paths: tuple[str, ...]
@@ -181,9 +195,8 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(path)
         if info.type == pafs.FileType.File:
             found = [info]
-        elif fs.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = json.loads(f.read())
+        elif lists := manifests(fs, path):
+            names = sorted({n for m in lists for n in listed(fs, m)})
             found = fs.get_file_info([f"{path}/{n}" for n in names]) if names else []
         else:
             found = [f for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if re.search(r"\.warc(\.gz)?$", f.path)]
@@ -230,8 +243,9 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path, self.zipped = options["path"], str(options.get("compression", "gzip")).lower() == "gzip"
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.zipped, self.overwrite = options["path"], str(options.get("compression", "gzip")).lower() == "gzip", overwrite
+        self.date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator):
         fs, path = store(self.path)
@@ -252,10 +266,12 @@ class WarcWriter(DataSourceArrowWriter):
         body = HTTP + body if response else body
         fields = {
             "WARC-Type": row["record_type"],
-            "WARC-Record-ID": row["record_id"],
+            "WARC-Record-ID": row["record_id"] or f"<urn:uuid:{uuid.uuid4()}>",
+            "WARC-Date": self.date,
             "WARC-Target-URI": row["target_uri"],
             "WARC-Refers-To": row["refers_to"],
             "WARC-Payload-Digest": row["payload_digest"],
+            "WARC-Profile": PROFILE if row["record_type"] == "revisit" else None,
             "Content-Type": "application/http; msgtype=response" if response else None,
         } | dict(row["headers"] or [])
         lines = [f"{k}: {re.sub(r'[\r\n]+', ' ', v)}" for k, v in fields.items() if v is not None]
@@ -268,8 +284,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, path = store(self.path)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{MANIFEST}") as f:
+        earlier = manifests(fs, path) if self.overwrite else []
+        with fs.open_output_stream(f"{path}/_warc_files-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.name for m in messages if m and m.name)).encode())
+        for m in earlier:
+            names = listed(fs, m)
+            fs.delete_file(m)
+            for n in names:
+                fs.delete_file(f"{path}/{n}")
 
     def abort(self, messages):
         fs, path = store(self.path)
@@ -292,7 +314,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -303,8 +325,10 @@ def register(spark) -> None:
 def archive(pages: DataFrame, path: str, least: int = 100) -> None:
     """Write a record per page under path: of equal payloads of at least least bytes the smallest page_id's is a response, others revisit it.
 
-    A null html is an empty payload. Smaller payloads are all responses. The payload's size and the
-    url go into header fields, so that a revisit tells them without a payload.
+    A null html is an empty payload. Smaller payloads are all responses, as are all of pages without a page_id, which get a
+    record id of their own. Rows that repeat a page_id each give a record, none of them revisits its own. The payload's size and the
+    url go into header fields, so that a revisit tells them without a payload. Payloads of any length are kept whole. An empty
+    table writes an archive without records. Other columns are passed over.
     """
     register(ready(pages.sparkSession))
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -325,7 +349,11 @@ def archive(pages: DataFrame, path: str, least: int = 100) -> None:
 
 
 def op6_warc(spark, sf_dir):
-    """Archives pages, reads the archive back (responses with, revisits without decoding payloads) and tells what it holds."""
+    """Archives pages, reads the archive back (responses with, revisits without decoding payloads) and tells what it holds.
+
+    A null html is an empty payload; of equal payloads the smallest page_id's is the response; a page without page_id has a null one and is a
+    response; repeated rows are each told; an empty table gives no rows.
+    """
     pages = table(ready(spark), sf_dir, "pages")
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive(pages, path)
@@ -333,18 +361,18 @@ def op6_warc(spark, sf_dir):
     page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1)
     load = spark.read.format("warc")
     whole = load.load(path).where("record_type = 'response'").select(
-        page("record_id").cast(kind).alias("page_id"),
+        page("record_id").try_cast(kind).alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
         "record_type",
         F.lit(None).cast(kind).alias("refers_to"),
     )
     again = load.option("payload", "false").load(path).where("record_type = 'revisit'").select(
-        page("record_id").cast(kind).alias("page_id"),
+        page("record_id").try_cast(kind).alias("page_id"),
         F.element_at("headers", "warc-payload-length").cast("long").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
         "record_type",
-        page("refers_to").cast(kind).alias("refers_to"),
+        page("refers_to").try_cast(kind).alias("refers_to"),
     )
     out = cut(whole.unionByName(again))
     fs, plain = store(path)
