@@ -1,7 +1,8 @@
 """Benchmark decontamination: every training passage is a query against a BM25 inverted index of the test items.
 
 The index holds at most ITEMS items at a time and is broadcast; a larger benchmark is searched block of
-items by block, which the bound keeps small whatever the benchmark's size. A document's words are cut
+items by block, one index in memory at a time, under the statistics (items, their mean and greatest length, documents of a
+term) of the whole benchmark, so that blocks change no score. A document's words are cut
 into passages twice as long as the longest item, each half over the last, so that every item that
 occurs lies whole in some passage. All pairs that reach SHARE of the item's score against itself
 are retrieved, in the manner of block-max WAND, done for all passages of a batch at once: terms that
@@ -18,13 +19,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, ready, table
+from .common import cut, over_batches, packed, ready, table, unpacked
 
 K1, B = 1.2, 0.75
 #: Items in an index and in a block of it, the share of its own score that retrieves an item, and the least share of runs found.
@@ -60,25 +62,30 @@ def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """The inverted index of some items, (item_id, text); items without words are left out."""
+    """The inverted index of some items, (item_id, text); items without words are left out.
 
-    def __init__(self, items: list[tuple]):
+    whole: (items with words, mean and greatest number of words, items that hold each of these items' terms) of the benchmark that
+    they are a block of; without it they are all of it.
+    """
+
+    def __init__(self, items: list[tuple], whole: tuple[int, float, int, dict[bytes, int]] | None = None):
         texts = [(i, t, words(t)) for i, t in items]
         texts = [x for x in texts if x[2]]
         self.ids = [i for i, _, _ in texts]
         self.parts = [tuple(map(runs, split_item(t))) for _, t, _ in texts]
         n = len(texts)
-        self.length = max(32, 2 * max((len(w) for _, _, w in texts), default=0))
         counts = [Counter(w) for _, _, w in texts]
-        df = Counter(t for c in counts for t in c)
-        self.terms = {t: j for j, t in enumerate(sorted(df))}
-        mean = sum(len(w) for _, _, w in texts) / max(n, 1)
+        own_df = Counter(t for c in counts for t in c)
+        lengths = [len(w) for _, _, w in texts]
+        total, mean, longest, df = whole or (n, sum(lengths) / max(n, 1), max(lengths, default=0), own_df)
+        self.length = max(32, 2 * longest)
+        self.terms = {t: j for j, t in enumerate(sorted(own_df))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         own = np.zeros(n)
         for i, c in enumerate(counts):
             norm = K1 * (1 - B + B * len(texts[i][2]) / mean)
             for t, f in c.items():
-                impact = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm)
+                impact = math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm)
                 postings[self.terms[t]].append((i, impact))
                 own[i] += impact
         self.threshold = SHARE * own
@@ -163,62 +170,117 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-def indexes(items: DataFrame, size: int = ITEMS) -> list:
-    """Broadcast indexes of at most about size items each, which together hold all items; null texts are in none."""
-    spark = items.sparkSession
+def _counted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words) of each item that has any, and (term, df)."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = [w for w in map(words, batch.column(0).to_pylist()) if w]
+            df = Counter(t for w in found for t in set(w))
+            rows = [(None, n, None) for n in map(len, found)] + [(t, None, n) for t, n in df.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["term", "words", "df"]) if rows else None
+
+        return each
+
+    counted = cut(over_batches(texts.select("text"), "term binary, words long, df long", make))
+    return counted.where("term IS NULL").select("words"), cut(counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")))
+
+
+def indexes(items: DataFrame, size: int = ITEMS) -> Iterator[Index]:
+    """Indexes of at most about size items each, made one after another, which together hold all items; null texts are in none."""
     texts = items.where(F.col("text").isNotNull()).select("item_id", "text")
+    rows = lambda block: sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     total = texts.count()
-    if total > size:  # twice the blocks that would do, for hashing deals them out unevenly
-        parts = 2 * -(-total // size)
-        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-        blocks = [texts.where(part == i) for i in range(parts)]
-    else:
-        blocks = [texts]
-    order = lambda r: (r[0] is None, r[0] or 0, r[1])
-    return [spark.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in block.collect()), key=order))) for block in blocks]
+    if total <= size:
+        yield Index(rows(texts))
+        return
+    lengths, df = _counted(texts)
+    n, mean, longest = lengths.agg(F.count("words"), F.sum("words") / F.count("words"), F.max("words")).first()
+    if not n:
+        return
+    # Twice the blocks that would do, for hashing deals items out unevenly.
+    parts = 2 * -(-total // size)
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for i in range(parts):
+        block = rows(texts.where(block_of == i))
+        terms = {t for _, text in block for t in words(text)}
+        known = items.sparkSession.createDataFrame([(t,) for t in terms], "term binary")
+        yield Index(block, (n, mean, longest, {bytes(r["term"]): r["df"] for r in df.join(known, "term").collect()}))
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap): one row for each item that a document holds.
 
-    passage_start is the place of the passage's first word. Null and empty texts hold nothing, items that
-    are null or have no words are in no document, and an item that comes twice is found twice. An empty
+    passage_start is the place of the passage's first word, of the best passage or, of equal ones, the first. Null and empty texts
+    hold nothing, items that are null or have no words are in no document, and an item that comes twice is found twice, as are
+    items of repeated rows of docs. Texts of any length are read whole; other columns are passed over. An empty
     table, of documents or of items, gives no rows.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, passage_start long, score double, question_overlap double, answer_overlap double"
-    shared = indexes(items, size)
+    types = (None, pa.int64(), pa.float64(), pa.float64(), pa.float64())
+
+    def of(shared) -> DataFrame:
+        def make():
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                found = [(i, m) for i, t in enumerate(batch.column(1).to_pylist()) for m in shared.value.matches(t)]
+                if not found:
+                    return None
+                cols = zip(*(m for _, m in found), strict=True)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found])), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
+
+            return each
+
+        return over_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("b")), schema, make)
+
+    out = None
+    for shared, last in _broadcast_in_turn(spark, items, size):
+        found = of(shared) if last else cut(of(shared))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _broadcast_in_turn(spark, items: DataFrame, size: int) -> Iterator[tuple]:
+    """(broadcast index, whether it is the only one): each is let go when the next is asked for."""
+    made = indexes(items, size)
+    first = next(made, None)
+    if first is None:
+        return
+    index = next(made, None)
+    shared = spark.sparkContext.broadcast(first)
+    yield shared, index is None
+    while index is not None:
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+        yield shared, False
+        index = next(made, None)
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = [(i, m) for i, t in enumerate(batch.column(1).to_pylist()) for x in shared for m in x.value.matches(t)]
-            if not found:
-                return None
-            cols = zip(*(m for _, m in found), strict=True)
-            types = (None, pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found])), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
 
-        return each
-
-    return over_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("b")), schema, make)
+def drop_leaks(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
+    """The rows of docs whose text holds no item, with all their columns; each is judged where it lies.
 
+    Null and empty texts hold nothing; repeated rows are each judged; an empty table, of documents or of items, loses no rows.
+    """
+    spark = ready(docs.sparkSession)
+    rows = packed(docs).select("row", "text")
+    schema = rows.schema
 
-def drop_leaks(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
-    """The rows of docs whose text holds no item, with all their columns; each is judged where it lies."""
-    ready(docs.sparkSession)
-    shared = indexes(items, size)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("b"))
+    def of(rows: DataFrame, shared) -> DataFrame:
+        def make():
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array([not shared.value.matches(t) for t in batch.column(1).to_pylist()], pa.bool_()))
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            clean = [not any(x.value.matches(t) for x in shared) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(clean, pa.bool_()))], ["row"])
+            return each
 
-        return each
+        return over_batches(rows, schema, make)
 
-    return over_batches(rows, f"row {rows.schema['row'].dataType.simpleString()}", make).select("row.*")
+    for shared, last in _broadcast_in_turn(spark, items, size):
+        rows = of(rows, shared) if last else cut(of(rows, shared))
+    return unpacked(rows, docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir):
+    """One row for each benchmark item that a document holds, at its best passage. Null texts hold nothing; repeated rows of either table
+    are each found; of equal passages the first is told; an empty table gives no rows."""
     return leaks(*(table(ready(spark), sf_dir, t) for t in ("documents", "benchmark")))
