@@ -4,50 +4,37 @@ Each language has a tree of byte contexts of up to three bytes with the counts o
 taken from a bounded sample of labelled texts and frozen. A byte's probability comes from the longest
 context that the language has seen; a byte new there escapes, with the probability q / (n + q) that n
 occurrences of q different bytes give, to the next shorter context, without the bytes already ruled out
-(method C with exclusion), down to equal chances. As statistics are frozen, the code length of every byte
-after every known context is worked out once, and a text's exact length is a sum of look-ups. The
-language with the shortest code wins.
+(method C with exclusion), down to equal chances. What a byte costs after it escaped from a context is what it costs
+in the shorter one and an amount that the context alone decides, so only what was seen is tabulated, and a text's exact
+length is a sum of look-ups. The language with the shortest code wins.
 
-ASCII letters count in lower case; white space, digits and other ASCII characters are a symbol each.
+The model holds every run of four bytes of the sample, whose bytes are bounded (BYTES), and for each the
+bits of every language: 4 * languages + 8 bytes a run.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, over_batches, raw_text, ready, table
 
-SYMBOLS = 26 + 3 + 128
-SPACE = 26
-ORDER = 3
-#: Bytes scored at a time; occurrences from which a context of three bytes is kept.
-CHUNK, KEPT = 1 << 18, 8
-
-
-def _symbols() -> np.ndarray:
-    out = np.full(256, 28, np.int64)
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = i
-    out[[32, *range(9, 14)]] = SPACE
-    out[ord("0") : ord("9") + 1] = 27
-    out[128:] = np.arange(29, 157)
-    return out
-
-
-SYMBOL = _symbols()
+ORDER, SPACE = 3, 32
+#: Labelled rows of a language that it is learned from at most, and bytes of texts of all languages together.
+ROWS, BYTES = 1000, 16 << 20
+#: Bytes scored at a time.
+CHUNK = 1 << 18
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 
 
 def _laid_out(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of adjoining texts (text i ends before ends[i]) with ORDER spaces before each, and each byte's place there."""
+    """Adjoining texts (text i ends before ends[i]) with ORDER spaces before each, and each byte's place there."""
     sizes = np.diff(ends, prepend=0)
     at = np.arange(len(values)) + np.repeat(ORDER * (1 + np.arange(len(ends))), sizes)
     line = np.full(len(values) + ORDER * len(ends), SPACE, np.int64)
-    line[at] = SYMBOL[values]
+    line[at] = values
     return line, at
 
 
@@ -60,75 +47,70 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets[1:] - offsets[0]
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among sorted keys, -1 where it is not there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class Model:
-    """Code lengths in bits of every symbol after every known context, for all languages at once."""
-
-    def __init__(self, counts: dict[tuple[str, int], int]):
-        """counts: how often each run of four symbols, read as a number, occurs in each language's texts."""
-        self.languages = sorted({lang for lang, _ in counts})
-        k, n = SYMBOLS, len(self.languages)
-        below = np.full((1, k, n), 1 / k)
-        rows_below = None
-        self.ids: list[np.ndarray] = []
-        self.bits: list[np.ndarray] = []
-        if not n:
+    """The bits of every byte after every context, for all languages at once.
+
+    bits[o]: by run of o + 1 bytes (runs[o], sorted), what its last byte costs after the others. escapes[o]: by context of o
+    bytes (contexts[o], sorted), what it costs to leave it for the shorter one, 0 where the language has not seen it.
+    """
+
+    def __init__(self, languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray):
+        """How often (n) each run of four bytes (code, read as a number) occurs in the texts of languages[lang]."""
+        self.languages = languages
+        self.runs, self.bits, self.contexts, self.escapes = [], [], [], []
+        count = len(languages)
+        if not count:
             return
         for order in range(ORDER + 1):
-            seen: list[dict] = [defaultdict(int) for _ in range(n)]
-            for (lang, code), c in counts.items():
-                seen[self.languages.index(lang)][code % k ** (order + 1)] += c
-            total: dict[int, int] = defaultdict(int)
-            for each in seen:
-                for code, c in each.items():
-                    total[code // k] += c
-            known = sorted(c for c, t in total.items() if order < ORDER or t >= KEPT)
-            ids = np.full(k**order, -1, np.int32)
-            ids[known] = np.arange(len(known))
-            table_ = np.zeros((len(known), k, n))
-            for i, each in enumerate(seen):
-                codes = np.fromiter(each, np.int64, len(each))
-                keep = ids[codes // k] >= 0
-                table_[ids[codes[keep] // k], codes[keep] % k, i] = np.fromiter(each.values(), float, len(each))[keep]
-            shorter = np.array([c % k ** max(order - 1, 0) for c in known], np.int64)
-            back = below[np.zeros(len(known), int) if order == 0 else rows_below[shorter]]
-            whole, kinds = table_.sum(axis=1, keepdims=True), (table_ > 0).sum(axis=1, keepdims=True)
-            left = np.where(table_ > 0, 0, back)
-            rest = left.sum(axis=1, keepdims=True)
-            escaped = kinds / np.maximum(whole + kinds, 1) * left / np.where(rest > 0, rest, 1)
-            p = np.where(whole > 0, np.where(table_ > 0, table_ / np.maximum(whole + kinds, 1), escaped), back)
-            below, rows_below = p, ids
-            if not order:
-                zero = -np.log2(p[0])
-            else:
-                self.ids.append(ids)
-                self.bits.append(-np.log2(np.maximum(p, 1e-30)).astype(np.float32).reshape(-1, n))
-        # After a byte that no text has, the empty context tells what follows.
-        missing = self.ids[0] < 0
-        flat = np.tile(zero, (int(missing.sum()), 1)).astype(np.float32)
-        self.ids[0][missing] = len(self.bits[0]) // k + np.arange(int(missing.sum()))
-        self.bits[0] = np.concatenate([self.bits[0], flat])
+            runs, at = np.unique(code & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            seen = np.zeros((len(runs), count))
+            np.add.at(seen, (at, lang), n)
+            contexts, of = np.unique(runs >> 8, return_inverse=True)
+            starts = np.nonzero(np.diff(of, prepend=-1))[0]
+            whole, kinds = np.add.reduceat(seen, starts), np.add.reduceat((seen > 0).astype(float), starts)
+            shorter = self._costs(order - 1, runs & ((1 << 8 * order) - 1)) if order else np.full((len(runs), count), 8.0)
+            # What the shorter context leaves to bytes that this one has not seen.
+            rest = 1 - np.add.reduceat(np.where(seen > 0, np.exp2(-shorter), 0), starts)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(whole > 0, np.log2((whole + kinds) / kinds) + np.log2(np.maximum(rest, 1e-12)), 0)
+                own = np.log2(np.repeat(whole + kinds, np.diff([*starts, len(runs)]), axis=0) / seen)
+            self.runs.append(runs)
+            self.contexts.append(contexts)
+            self.escapes.append(escape)
+            self.bits.append(np.where(seen > 0, own, escape[of] + shorter))
+        self.bits = [b.astype(np.float32) for b in self.bits]
+        self.escapes = [e.astype(np.float32) for e in self.escapes]
+
+    def _costs(self, order: int, runs: np.ndarray) -> np.ndarray:
+        """What the last byte of each run of order + 1 bytes costs after the others, in every language."""
+        if order < 0:
+            return np.full((len(runs), len(self.languages)), 8.0, np.float32)
+        at = _find(self.runs[order], runs)
+        out = self.bits[order][at]
+        new = np.nonzero(at < 0)[0]
+        if len(new):
+            shorter = self._costs(order - 1, runs[new] & ((1 << 8 * order) - 1))
+            context = _find(self.contexts[order], runs[new] >> 8)
+            out[new] = shorter + np.where(context[:, None] >= 0, self.escapes[order][context], 0)
+        return out
 
     def lengths(self, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
-        n, k = len(self.languages), SYMBOLS
-        out = np.zeros((len(ends), n))
+        out = np.zeros((len(ends), len(self.languages)))
         line, at = _laid_out(values, ends)
         owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         for lo in range(0, len(at), CHUNK):
             here = at[lo : lo + CHUNK]
-            symbol, code = line[here], line[here - 1]
-            one, two = code, line[here - 2] * k + code
-            three = line[here - 3] * k * k + two
-            ids = self.ids[2][three]
-            cost = np.empty((len(here), n), np.float32)
-            long = ids >= 0
-            cost[long] = self.bits[2][ids[long].astype(np.int64) * k + symbol[long]]
-            rest = np.nonzero(~long)[0]
-            ids = self.ids[1][two[rest]]
-            some = ids >= 0
-            cost[rest[some]] = self.bits[1][ids[some].astype(np.int64) * k + symbol[rest[some]]]
-            rest = rest[~some]
-            cost[rest] = self.bits[0][self.ids[0][one[rest]].astype(np.int64) * k + symbol[rest]]
+            runs = line[here - 3] << 24 | line[here - 2] << 16 | line[here - 1] << 8 | line[here]
+            # A run that occurs often is looked up once.
+            runs, of = np.unique(runs, return_inverse=True)
+            cost = self._costs(ORDER, runs)[of]
             docs = owner[lo : lo + CHUNK]
             starts = np.nonzero(np.diff(docs, prepend=-1))[0]
             out[docs[starts]] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
@@ -136,53 +118,56 @@ class Model:
 
 
 def _held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, rows: int = 6000) -> Model:
-    """The model of at most rows documents that have a lang and are not held out, those first by hash; runs seen once are left out."""
+def learn(docs: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
+    """The model of documents that have a lang and are not held out: of each language the first by hash, at most rows and, of all languages
+    together, size bytes of whole texts. So a rare language is learned from as much as it has."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~_held_out())
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    sample = cut(usable.select("doc_id", "lang", raw_text().alias("b")).join(F.broadcast(chosen), "doc_id").select("lang", "b"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    some = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    some = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    some = cut(some.withColumn("upto", F.sum("size").over(order)))
+    languages = sorted(r["lang"] for r in some.select("lang").distinct().collect())
+    chosen = some.where(F.col("upto") <= size // max(1, len(languages))).select("doc_id", "lang").distinct()
+    sample = cut(usable.select("doc_id", "lang", raw_text().alias("b")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "b"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: dict[str, list] = defaultdict(list)
             values, ends = _bytes_of(batch.column(1))
             line, at = _laid_out(values, ends)
+            runs = line[at - 3] << 24 | line[at - 2] << 16 | line[at - 1] << 8 | line[at]
             owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            code = ((line[at - 3] * SYMBOLS + line[at - 2]) * SYMBOLS + line[at - 1]) * SYMBOLS + line[at]
-            langs = np.array(batch.column(0).to_pylist(), object)
-            for lang in set(langs.tolist()):
-                codes, n = np.unique(code[(langs == lang)[owner]] if len(owner) else code, return_counts=True)
-                found["lang"] += [lang] * len(codes)
-                found["code"].append(codes)
-                found["n"].append(n)
-            return pa.RecordBatch.from_arrays([pa.array(found["lang"], pa.string()), pa.array(np.concatenate(found["code"])), pa.array(np.concatenate(found["n"]))], ["lang", "code", "n"])
+            names = batch.column(0).dictionary_encode()
+            of = names.indices.to_numpy().astype(np.int64)[owner] if len(owner) else owner
+            keys, n = np.unique(of << 32 | runs, return_counts=True)
+            return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["lang", "code", "n"])
 
         return each
 
-    counted = over_batches(sample, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    once = counted.where("n > 1").toPandas()
-    return Model(dict(zip(zip(once["lang"], once["code"].astype(int), strict=True), once["n"].astype(int), strict=True)))
+    counted = over_batches(sample, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(counted["lang"].unique().to_pylist())
+    lang = np.searchsorted(np.array(names, object), counted["lang"].to_numpy()) if names else np.empty(0, int)
+    return Model(names, lang, counted["code"].to_numpy(), counted["n"].to_numpy())
 
 
-def identify(docs: DataFrame, rows: int = 6000) -> DataFrame:
+def identify(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text: the language of the shortest code and its share of the probability.
 
     "und" with score 0 where the text is null or has no letter, or no language could be learned.
-    Equal lengths go to the first language by name. The text alone decides. An empty table gives no rows.
+    Equal lengths go to the first language by name. The text alone decides. Texts of any length are read whole; repeated rows are
+    each answered; an empty table gives no rows; other columns are passed over.
     """
     spark = ready(docs.sparkSession)
-    model = learn(docs, rows)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(learn(docs, rows))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             model = shared.value
             values, ends = _bytes_of(batch.column(1))
             starts = ends - np.diff(ends, prepend=0)
-            letters = np.concatenate([[0], np.cumsum(SYMBOL[values] < 26)])
+            letters = np.concatenate([[0], np.cumsum(LETTER[values])])
             has = letters[ends] > letters[starts]
             for i in np.nonzero(~has & (ends > starts))[0]:
                 has[i] = any(map(str.isalpha, values[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")))
@@ -204,4 +189,6 @@ def identify(docs: DataFrame, rows: int = 6000) -> DataFrame:
 
 
 def op10_language(spark, sf_dir):
+    """Each document's language. Null texts and those without a letter are "und"; equal lengths go to the first language by name; a null
+    doc_id is not held out; repeated rows are each answered; an empty table gives no rows."""
     return identify(table(ready(spark), sf_dir, "documents")).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
