@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import cut, over_batches, ready, table
+from .common import cut, over_batches, packed, ready, table, unpacked
 
 # The words of the grammar.
 INSULTS = "idiot idiots moron morons stupid loser losers scum clown clowns trash pathetic worthless disgusting imbecile dumb dumbass jerk fool bastard bitch asshole shit crap filth filthy vermin freak coward liar garbage ugly retard pig rat dummkopf arschloch idiotisch dumm abschaum wertlos connard imbécile crétin salaud ordure débile idiota estúpido imbécil basura inútil asqueroso cabrón".split()
@@ -146,7 +146,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
-def _featured(docs: DataFrame, extra: dict[str, float], schema: str, finish) -> DataFrame:
+def _featured(docs: DataFrame, extra: dict[str, float], schema: StructType, finish) -> DataFrame:
     """docs' other columns, and what finish makes of the feature matrix of their texts; text comes last."""
 
     def make():
@@ -158,12 +158,12 @@ def _featured(docs: DataFrame, extra: dict[str, float], schema: str, finish) ->
 
         return each
 
-    names = StructType.fromDDL(schema).names
+    names = schema.names
     return over_batches(docs, schema, make)
 
 
 def _held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, words: int = 300) -> tuple[dict[str, float], np.ndarray, float]:
@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, words: int = 3
     )
     extra = {r["word"]: min(3.0, r["lift"] / 2) for r in counted.collect()} if min(bad, good) >= 10 else {}
     names = [f"f{i}" for i in range(len(KINDS) + 1)]
-    found = _featured(sample, extra, "toxic int, " + ", ".join(f"{n} double" for n in names), lambda m: [pa.array(np.ascontiguousarray(c)) for c in m.T]).toPandas()
+    found = _featured(sample, extra, StructType.fromDDL("toxic int, " + ", ".join(f"{n} double" for n in names)), lambda m: [pa.array(np.ascontiguousarray(c)) for c in m.T]).toPandas()
     weights, constant = _fit(found[names].to_numpy(float), found["toxic"].to_numpy(float))
     return extra, weights, constant
 
@@ -220,7 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> DataFrame:
         return [pa.array(1 / (1 + np.exp(-np.clip((m * weights).sum(axis=1) + constant, -30, 30))))]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _featured(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), extra, f"doc_id {kind}, score double", probability)
+    return _featured(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), extra, StructType.fromDDL(f"doc_id {kind}, score double"), probability)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -231,9 +231,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     def below(m: np.ndarray) -> list[pa.Array]:
         return [pa.array((m * weights).sum(axis=1) + constant < math.log(threshold / (1 - threshold)))]
 
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    kept = _featured(packed, extra, f"row {packed.schema['row'].dataType.simpleString()}, clean boolean", below)
-    return kept.where("clean").select("row.*")
+    rows = packed(docs).select("row", "text")
+    kept = _featured(rows, extra, StructType([rows.schema["row"], StructField("clean", BooleanType())]), below)
+    return unpacked(kept.where("clean"), docs.columns)
 
 
 def op2_toxicity(spark, sf_dir):
