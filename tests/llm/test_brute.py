@@ -263,10 +263,42 @@ def test_retrieval(spark, texts):
     assert all(i in {m[0] for m in index.matches("x " * 70 + t.upper() + " y" * 90)} for i, t in items)
 
 
-def test_item_blocks_find_the_same(spark, docs):
+def test_item_blocks_change_nothing(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    few = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items, 5).collect()}
-    assert few == {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} and few
+    whole = sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    assert whole and sorted(tuple(r) for r in decontaminate.leaks(docs, items, 5).collect()) == whole
+    kept = lambda size: sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, items, size).collect())
+    assert kept(5) == kept(1000) == sorted(set(r["doc_id"] for r in docs.collect()) - {r[0] for r in whole})
+
+
+def test_leaks_are_those_of_the_definition(spark, docs, texts):
+    """Every passage of every document against every item, scored and verified one by one."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bags = {i: decontaminate.words(t) for i, t in items}
+    df = Counter(t for w in bags.values() for t in set(w))
+    mean, length = sum(map(len, bags.values())) / len(bags), max(32, 2 * max(map(len, bags.values())))
+    k, b = decontaminate.K1, decontaminate.B
+    impact = {i: {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (k + 1) / (f + k * (1 - b + b * len(w) / mean)) for t, f in Counter(w).items()} for i, w in bags.items()}
+    want = []
+    for d, text in texts.items():
+        found = decontaminate.words(text)
+        passages = [found[s : s + length] for s in range(0, max(1, len(found) - length // 2), length // 2)] if found else []
+        passages = passages[: max(0, -(-(len(found) - length) // (length // 2))) + 1]
+        for i, t in items:
+            question, answer = map(decontaminate.runs, decontaminate.split_item(t))
+            best = None
+            for p, passage in enumerate(passages):
+                score = sum(impact[i][x] for x in set(passage) & set(impact[i]))
+                if score < decontaminate.SHARE * sum(impact[i].values()) - 1e-9:
+                    continue
+                shares = [len(x & decontaminate.runs(passage, len(next(iter(x))))) / len(x) if x else 1.0 for x in (question, answer)]
+                if min(shares) >= decontaminate.FOUND and (best is None or score > best[1] + 1e-9):
+                    best = (p * (length // 2), score, *shares)
+            if best:
+                want.append((d, i, *best))
+    got = sorted(tuple(r) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and len(got) >= 3
+    assert all(a[3:] == pytest.approx(b[3:]) for a, b in zip(got, sorted(want), strict=True))
 
 
 def test_leaks_are_those_that_hold_items(spark, docs, texts):
@@ -275,64 +307,68 @@ def test_leaks_are_those_that_hold_items(spark, docs, texts):
     assert {(d, i) for d, t in texts.items() for i, x in items.items() if x in t} <= got
 
 
-def ppm_bits(train: dict, text: bytes, lang: str) -> float:
+def ppm_bits(texts: list[bytes], text: bytes) -> float:
     """Code length by the definition: longest known context first, escapes with exclusion."""
-    k = language.SYMBOLS
-    tree = [defaultdict(Counter) for _ in range(4)]
-    for (name, code), n in train.items():
-        symbols = [code // k**i % k for i in (3, 2, 1, 0)]
-        if name == lang:
+    tree: dict = defaultdict(Counter)
+    for t in texts:
+        line = b"   " + t
+        for i in range(3, len(line)):
             for order in range(4):
-                tree[order][tuple(symbols[3 - order : 3])][symbols[3]] += n
-    kept = Counter()
-    for (_, code), n in train.items():
-        kept[tuple(code // k**i % k for i in (3, 2, 1))] += n
-    line = [language.SPACE] * 3 + [int(language.SYMBOL[b]) for b in text]
-    bits = 0.0
+                tree[line[i - order : i]][line[i]] += 1
+    line, bits = b"   " + text, 0.0
     for i in range(3, len(line)):
-        out, scale = set(), 1.0
+        out: set = set()
         for order in (3, 2, 1, 0):
-            context = tuple(line[i - order : i])
-            counts = tree[order].get(context)
-            if not counts or (order == 3 and kept[context] < language.KEPT):
+            counts = tree.get(line[i - order : i])
+            if not counts:
                 continue
             n, q = sum(counts.values()), len(counts)
-            # Exclusion: what longer contexts ruled out leaves the shorter one's distribution.
-            dist = shorter(tree, line, i, order, kept)
-            total = 1 - sum(dist.get(x, 0) for x in out)
+            # Probabilities under this context alone, every byte not ruled out by a longer one.
+            chances = ppm_chances(tree, line[i - order : i])
+            left = sum(p for b, p in enumerate(chances) if b not in out)
             if line[i] in counts:
-                bits -= math.log2(scale * dist[line[i]] / total)
+                bits -= math.log2(counts[line[i]] / (n + q) / left)
                 break
-            mass = 1 - sum(dist.get(x, 0) for x in out | set(counts))
-            scale *= mass / total
+            bits -= math.log2(sum(p for b, p in enumerate(chances) if b not in counts and b not in out) / left)
             out |= set(counts)
         else:
-            bits -= math.log2(scale / (k - len(out)))
+            bits += math.log2(256 - len(out))
     return bits
 
 
-def shorter(tree, line, i, order, kept):
-    counts = tree[order].get(tuple(line[i - order : i]), {})
+def ppm_chances(tree: dict, context: bytes) -> list[float]:
+    """The probability of every byte after a context: seen ones by count, the escape shared out as the shorter context has it."""
+    shorter = ppm_chances(tree, context[1:]) if context else [1 / 256] * 256
+    counts = tree.get(context)
+    if not counts:
+        return shorter
     n, q = sum(counts.values()), len(counts)
-    return {x: c / (n + q) for x, c in counts.items()}
+    rest = sum(p for b, p in enumerate(shorter) if b not in counts)
+    return [counts[b] / (n + q) if b in counts else q / (n + q) * p / rest for b, p in enumerate(shorter)]
 
 
 def test_code_lengths_are_exact():
     rng = random.Random(1)
-    train: Counter = Counter()
-    for lang, letters in (("aa", "abcab "), ("bb", "bcdde ")):
-        line = [language.SPACE] * 3 + [int(language.SYMBOL[ord(rng.choice(letters))]) for _ in range(3000)]
-        for i in range(3, len(line)):
-            code = 0
-            for s in line[i - 3 : i + 1]:
-                code = code * language.SYMBOLS + s
-            train[(lang, code)] += 1
-    model = language.Model(dict(train))
-    for text in (b"abc cab", b"dede zq", b"", "abé".encode()):
-        values = np.frombuffer(text, np.uint8)
+    texts = {"aa": ["".join(rng.choices("abcabé ", k=200)) for _ in range(4)], "bb": ["".join(rng.choices("bcdde E1", k=150)) for _ in range(3)], "cc": ["x"]}
+    rows = []
+    for i, (_, some) in enumerate(sorted(texts.items())):
+        for t in some:
+            line = b"   " + t.encode()
+            rows += [(i, int.from_bytes(line[j - 3 : j + 1], "big"), 1) for j in range(3, len(line))]
+    model = language.Model(sorted(texts), *map(np.array, zip(*rows, strict=True)))
+    for text in ("abc cab", "dede zq", "", "abé", "E1 E1 xx", "\u4f60"):
+        values = np.frombuffer(text.encode(), np.uint8)
         got = model.lengths(values, np.array([len(values)]))[0]
         for j, lang in enumerate(model.languages):
-            assert got[j] == pytest.approx(ppm_bits(train, text, lang), rel=1e-4, abs=1e-3)
+            assert got[j] == pytest.approx(ppm_bits([t.encode() for t in texts[lang]], text.encode()), rel=1e-4, abs=1e-3)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("aeiou tn", k=80)), "common") for i in range(300)] + [(900 + i, "".join(rng.choices("xyzwq k", k=80)), "rare") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, 50).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
 
 
 def test_languages_of_held_out_documents(spark):
@@ -377,9 +413,9 @@ def brute_lines(docs: list[tuple], min_docs: int, constant: float = line_dedup.C
     for x in having:
         tokens = x.split(" ")
         plain = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
-        for s in range(line_dedup.SKIPS + 1):
-            if len(tokens) > line_dedup.DEPTH + s:
-                leaves[(len(tokens), s, *plain[s : s + line_dedup.DEPTH])].add(x)
+        for later, s in enumerate((0, min(3, len(tokens) - 3))):
+            if len(tokens) > 3:
+                leaves[(len(tokens), later, *plain[s : s + 3])].add(x)
     gone = {x for x, ds in having.items() if len(ds) >= min_docs}
     for leaf, members in leaves.items():
         weight = Counter()
@@ -402,8 +438,9 @@ def brute_lines(docs: list[tuple], min_docs: int, constant: float = line_dedup.C
     return out
 
 
-@pytest.mark.parametrize("min_docs", [3, 10])
-def test_lines_are_those_of_the_definition(spark, docs, min_docs):
+@pytest.mark.parametrize(("min_docs", "small"), [(3, 300_000), (10, 0)])
+def test_lines_are_those_of_the_definition(spark, docs, min_docs, small, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     rng = random.Random(min_docs)
     forms = ["{} has joined the group chat now", "error {} in module {} at line {}", "{} {} {}", "{}", "total {} of the day is {} units sold", "see you at {} on the old {} bridge", "{} and {} went home to rest early today"]
     word = lambda: rng.choice([str(rng.randrange(50)), rng.choice("anna bert carl dora".split()), f"x{rng.randrange(9)}"])

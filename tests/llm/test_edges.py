@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     # Extra columns with the names that operators use inside.
-    for name in ("row", "idx", "name", "score", "root", "size", "label", "kept"):
+    for name in ("row", "idx", "name", "score", "root", "size", "label", "kept", "id", "_id", "_sha", "sha", "mark", "gone", "flags", "_key", "_tk", "tk", "h", "leaf", "n_lines", "n_dropped", "a.b", "of", "b", "clean", "item_id"):
         df = df.withColumn(name, df["n_chars"])
     return df.repartition(3)
 
@@ -82,6 +82,7 @@ def test_simhash(docs, none):
     assert simhash.near_groups(none).count() == 0
     left = simhash.drop_near_copies(docs)
     assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect() if r["text"] in (None, "", " \n\t ", "one two three")) == [1, 3]
     assert sorted((r["text"] or "") for r in left.collect()) == sorted({"" if (t or "").strip() == "" else t for _, t, *_ in ROWS})
     assert simhash.drop_near_copies(none).count() == 0
 
@@ -93,12 +94,15 @@ def test_exact_dedup(docs, none, block):
     assert {(r["keep_id"], r["group_size"]) for r in rows if r["doc_id"] == 4} == {(4, 3)}
     assert {(r["keep_id"], r["group_size"]) for r in rows if r["doc_id"] == 1} == {(2, 3)}
     left = exact_dedup.drop_copies(docs, block)
+    assert sorted(r["doc_id"] for r in left.collect() if r["text"] in (None, "", "one two three")) == [2, 4]
     assert left.columns == docs.columns and sorted((r["text"] or "") for r in left.collect()) == sorted({t or "" for _, t, *_ in ROWS})
     assert exact_dedup.exact_groups(none, block).count() == 0
 
 
 def test_line_dedup(docs, none):
-    rows = line_dedup.clean_lines(docs, min_docs=2).collect()
+    cleaned = line_dedup.clean_lines(docs, min_docs=2)
+    assert sorted(cleaned.columns) == sorted(docs.columns)
+    rows = cleaned.collect()
     assert len(rows) == len(ROWS)
     assert all(r["text"] is None and r["n_lines"] == 0 for r in rows if r["doc_id"] == 1)
     assert {r["text"] for r in rows if r["doc_id"] == 4} == {""}
@@ -173,13 +177,70 @@ def test_warc(spark, pages, tmp_path, compression):
     assert spark.read.format("warc").load(str(tmp_path / "e")).count() == 0
 
 
+def test_archive_of_pages(spark, pages, tmp_path):
+    path = str(tmp_path / "a")
+    warc.archive(pages, path)
+    read = spark.read.format("warc").load(path)
+    rows = [r.asDict() for r in read.collect()]
+    assert len(rows) == 7 and all(r["record_id"] and r["headers"]["warc-date"] for r in rows)
+    again = [r for r in rows if r["record_type"] == "revisit"]
+    assert [(r["record_id"], r["refers_to"], r["headers"]["warc-profile"]) for r in again] == [("<urn:page:2>", "<urn:page:1>", warc.PROFILE)] or sorted(r["record_id"] for r in again) == ["<urn:page:2>", "<urn:page:3>"]
+    warc.archive(pages.limit(0), path)
+    warc.archive(pages.where("page_id = 1"), path)
+    assert read.count() == 7 and spark.read.format("warc").load(path).count() == 8
+    read.select("record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload", "headers").limit(2).write.format("warc").mode("overwrite").save(str(tmp_path / "b"))
+    read.select("record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload", "headers").limit(3).write.format("warc").mode("overwrite").save(str(tmp_path / "b"))
+    assert spark.read.format("warc").load(str(tmp_path / "b")).count() == 3
+
+
+def test_archive_query_without_page_ids(spark, pages, tmp_path):
+    for name, some in (("all", pages), ("none", pages.limit(0))):
+        some.write.parquet(str(tmp_path / name / "pages.parquet"))
+        rows = warc.op6_warc(spark, str(tmp_path / name)).collect()
+        assert len(rows) == some.count()
+        assert all(r["record_type"] == "response" and r["refers_to"] is None for r in rows if r["page_id"] in (None, 1, 4, 5))
+        assert all(r["record_type"] == "revisit" and r["refers_to"] == 1 for r in rows if r["page_id"] in (2, 3))
+
+
 def test_pipeline_stages_pass_all_columns(spark, docs, labels, items, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.where("item_id = 1").write.parquet(str(tmp_path / "benchmark.parquet"))
-    plain = spark.createDataFrame(ROWS, SCHEMA)
-    df = plain
+    df, empty = docs, docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, df, str(tmp_path))
-        assert df.columns == plain.columns
+        df, empty = stage(spark, df, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert df.columns == docs.columns == empty.columns
+        assert all(r["_id"] == r["n_chars"] == r["gone"] for r in df.collect())
+    assert empty.count() == 0 and corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
     assert sorted((r["text"] or "").strip() for r in df.collect()) == sorted(["", "no id", "another text under a known id", LONG.strip()])
     assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).where("start = 0").count() == 4
+
+
+def test_the_smallest_doc_id_of_near_copies_stays(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    for order in ([9, 7, 5, 3, 1], [9, 1], [None, 4, 2]):
+        df = spark.createDataFrame([(i, text + (" more" if n % 2 else "")) for n, i in enumerate(order)], "doc_id long, text string").repartition(3)
+        assert [r["doc_id"] for r in simhash.drop_near_copies(df).collect()] == [min(i for i in order if i)]
+
+
+def test_texts_that_share_a_name_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"text number {i % 5} here") for i in range(8)], "doc_id long, text string")
+    named = simhash.named_texts(df, lambda sha: F.lit(1).cast("long")).collect()
+    assert len({r["id"] for r in named}) == len({r["text"] for r in named}) == len({(r["id"], r["text"]) for r in named}) == 5
+
+
+def test_near_copies_by_partition_count(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.sample(words, 80))) for i in range(1100)] + [(2000 + i, " ".join(words[:70] + [f"x{i % 3}"])) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df.repartition(n)).collect()) == [*range(1100), 2000]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
