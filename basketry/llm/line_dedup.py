@@ -2,8 +2,8 @@
 
 Lines are parsed to a fixed depth: a first level by the number of tokens, then one level for each of DEPTH
 leading tokens, where a token with a digit counts as variable. As a field may lead the line, a line also
-follows the paths that pass over its first one, two or up to SKIPS tokens. Lines of no more tokens than a path needs
-aren't generalised: with so few tokens, the constants that a template must have are all of them.
+follows a second path, that of the next DEPTH tokens (the last ones, where fewer are left). Lines of no more than
+DEPTH tokens aren't generalised: with so few tokens, the constants that a template must have are all of them.
 
 The lines of a leaf are generalised: a line's tokens are ordered by how much of the leaf has them at their place,
 and wherever that number falls, the tokens before are taken as constant and the others as variable. Lines with the same
@@ -23,23 +23,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, table
+from .common import cut, ready, small, table
 
-#: Documents in which a dropped template is found at least, leading tokens of a path, tokens passed over at most, least share of constants.
-DOCS, DEPTH, SKIPS, CONSTANT = 10, 3, 3, 0.7
+#: Documents in which a dropped template is found at least, tokens of a path, the least share of constants, and
+#: the most rows of leaves and wanted lines (some 10 and 30 MB) that are broadcast; beyond, they are joined by sorting.
+DOCS, DEPTH, CONSTANT, SMALL = 10, 3, 0.7, 300_000
 VARIABLE = "<*>"
-PATHS = [f"leaf{s}" for s in range(SKIPS + 1)]
+PATHS = ["leaf", "later"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, idx, h, leaf0...) of the lines that hold anything, no text; tk tells texts of a repeated doc_id apart."""
+    """(doc_id, tk, idx, h, leaf, later) of the lines that hold anything, no text; tk tells texts of a repeated doc_id apart."""
     split = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     rows = split.select("doc_id", "tk", "idx", F.trim("line").alias("line")).where("line <> ''")
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    lead = F.substring_index("line", " ", DEPTH + SKIPS)
+    lead = F.substring_index("line", " ", 2 * DEPTH)
     lead = F.split(F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"\S*[0-9]\S*", VARIABLE)).otherwise(lead), " ")
     rows = rows.select("doc_id", "tk", "idx", F.xxhash64("line").alias("h"), n.alias("n"), lead.alias("lead"))
-    paths = (F.when(F.col("n") > DEPTH + s, F.xxhash64("n", F.lit(s), *(F.get("lead", F.lit(s + i)) for i in range(DEPTH)))) for s in range(SKIPS + 1))
+    skips = (F.lit(0), F.least(F.lit(DEPTH), F.col("n") - DEPTH))
+    paths = (F.when(F.col("n") > DEPTH, F.xxhash64("n", F.lit(i), *(F.get("lead", s + j) for j in range(DEPTH)))) for i, s in enumerate(skips))
     return rows.select("doc_id", "tk", "idx", "h", *(p.alias(c) for p, c in zip(paths, PATHS, strict=True)))
 
 
@@ -52,9 +54,10 @@ def _in_leaves(held: DataFrame, docs: int) -> DataFrame:
     """(h, leaf, c) of the distinct lines of leaves where a template may recur that is not known already."""
     paths = held.select("h", "c", F.explode(F.array(*PATHS)).alias("leaf")).where("leaf IS NOT NULL")
     # Lines are counted once for each document that has them, which is never less than the leaf's documents.
-    counted = paths.groupBy("leaf").agg(F.sum("c").alias("all"), F.min("c").alias("least"), F.count(F.lit(1)).alias("lines"), F.expr("bit_xor(h)").alias("one"), F.expr("bit_xor(xxhash64(h))").alias("two"))
-    leaves = counted.where((F.col("all") >= docs) & (F.col("least") < docs)).groupBy("lines", "one", "two").agg(F.min("leaf").alias("leaf"))
-    return cut(paths.join(cut(leaves.select("leaf")), "leaf").select("h", "leaf", "c"))
+    counted = paths.groupBy("leaf").agg(F.sum("c").alias("all"), F.min("c").alias("least"))
+    some = cut(paths.join(small(cut(counted.where((F.col("all") >= docs) & (F.col("least") < docs)).select("leaf")), SMALL), "leaf"))
+    alike = some.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.expr("bit_xor(h)").alias("one"), F.expr("bit_xor(xxhash64(h))").alias("two"))
+    return cut(some.join(alike.groupBy("lines", "one", "two").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf").select("h", "leaf", "c"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -67,10 +70,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONST
     held = cut(held.groupBy("h", *PATHS).agg(F.min(F.struct("doc_id", "at.tk", "at.idx")).alias("at"), F.count(F.lit(1)).alias("c")))
     exact = held.where(F.col("c") >= min_docs).select("h")
     inner = _in_leaves(held, min_docs)
-    wanted = held.join(inner.select("h").distinct(), "h", "left_semi").select("h", "at.*")
+    wanted = held.join(small(cut(inner.select("h").distinct()), SMALL), "h", "left_semi").select("h", "at.*")
     wanted = cut(wanted.groupBy(F.col("doc_id").alias("id"), F.col("tk").alias("of")).agg(F.collect_list(F.struct("idx", "h")).alias("wanted")))
     texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["tk"] == wanted["of"]))
+    found = texts.join(small(wanted, SMALL), texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["tk"] == wanted["of"]))
     found = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.h", F.trim(F.get("lines", F.col("w.idx"))).alias("line"))
     found = found.dropDuplicates(["h"]).select("h", F.split("line", " ").alias("tokens"))
     hashes = F.transform("tokens", lambda t, i: F.xxhash64(i, t))
@@ -103,23 +106,26 @@ def clean_lines(docs: DataFrame, min_docs: int = DOCS, constant: float = CONSTAN
     """
     ready(docs.sparkSession)
     gone = dropped_lines(docs.select("doc_id", "text"), min_docs, constant)
-    dropped = cut(gone.groupBy("doc_id", "tk").agg(F.collect_set("idx").alias("gone")).select(F.col("doc_id").alias("id"), "tk", "gone"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("key"))
-    joined = rows.join(dropped, F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("tk")), "left")
-    lines = F.split("row.text", "\n")
     # Flags by line number are laid out as an array first, since a search of gone for every line would be quadratic.
-    at = F.array_sort(F.coalesce("gone", F.array().cast("array<int>")))
+    at = F.array_sort("gone")
     gaps = F.transform(at, lambda x, i: x - F.when(i == 0, F.lit(-1)).otherwise(F.get(at, i - 1)) - 1)
     flags = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
-    kept = F.filter(lines, lambda line, i: ~F.coalesce(F.get(F.col("flags"), i), F.lit(False)))
+    dropped = gone.groupBy("doc_id", "tk").agg(F.collect_set("idx").alias("gone"))
+    dropped = cut(dropped.select(F.col("doc_id").alias("id"), "tk", F.size("gone").cast("long").alias("n"), flags.alias("flags")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("key"))
+    joined = rows.join(dropped, F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("tk")), "left")
+    lines = F.split("row.text", "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.coalesce(F.get(F.col("flags"), i), F.lit(False))), "\n")
     size = F.size(F.filter(lines, lambda line: F.trim(line) != ""))
     known = F.col("row.text").isNotNull()
-    return joined.withColumn("flags", flags).select(
-        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")),
-        F.when(known, F.array_join(kept, "\n")).alias("text"),
-        F.coalesce(F.when(known, size), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_dropped"),
+    counted = joined.select(
+        "row",
+        F.when(F.col("flags").isNull(), F.col("row.text")).otherwise(kept).alias("stays"),
+        F.when(known, size).otherwise(0).cast("long").alias("lines"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("less"),
     )
+    others = (F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped"))
+    return counted.select(*others, F.col("stays").alias("text"), F.col("lines").alias("n_lines"), F.col("less").alias("n_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir):
