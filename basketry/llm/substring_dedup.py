@@ -8,8 +8,8 @@ suffixes that begin at windows are split by prefixes of variable length into gro
   lie next to each other travel as one bundle, with their words. Equal windows have equal prefixes; a prefix that
   no second document has holds no repeat and is pruned before any text moves.
 * A prefix with more than `held` suffixes (counted over all documents) is lengthened: to the HALF words that all
-  windows of one half of its bundles share, which splits the group and its bundles, and where that holds too
-  many still, to all WINDOW words. Below a prefix of that length stands a single node, of which only the least doc_id
+  windows of one half of its bundles share, which splits the group and its bundles; and one with more than LONGER times as
+  many to all WINDOW words. Below a prefix of that length stands a single node, of which only the least doc_id
   is asked: it is found by a combining aggregation, however many documents share it.
 
 In a group the suffixes, as deep as their bundles reach, are sorted; the common depths of neighbours are the depths of
@@ -36,8 +36,9 @@ from .common import cut, over_batches, partitions, ready, table
 #: Words of a window, of the first prefix and of the longer one; bundles hold so many windows at most at each length.
 WINDOW, GRAM, HALF = 50, 16, 33
 BUNDLES = (WINDOW - GRAM + 1, WINDOW - HALF + 1)
-#: Suffixes in memory at a time, and below a prefix before it is lengthened; a suffix takes up to 340 bytes of a tree.
-HELD = 40_000
+#: Suffixes in memory at a time, and below a prefix before it is lengthened, and how many times as many lengthen it to the whole window.
+#: A suffix takes up to 340 bytes of a tree, below a longer prefix up to 270: 14 and 43 MB, and a few times that while they are sorted.
+HELD, LONGER = 40_000, 4
 P, Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
@@ -145,40 +146,17 @@ def _counted(rows: DataFrame, kind: str) -> DataFrame:
     return over_batches(rows.select("doc_id", "text"), f"doc_id {kind}, name long, n long", make)
 
 
-def _counted_longer(rows: DataFrame, kind: str) -> DataFrame:
-    """The same for longer prefixes, of windows whose first prefix is one of the row's `many`."""
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            words, offsets = words_of(batch.column(1))
-            at, names, n = [], [], []
-            for d, (i, j, many) in enumerate(zip(offsets, offsets[1:], batch.column(2).to_pylist(), strict=False)):
-                first, place = prefixes(words[i:j])
-                if len(first):
-                    x, c = np.unique(longer_prefixes(words[i:j], place)[np.isin(first, _chosen(many))], return_counts=True)
-                    at.append(np.full(len(x), d))
-                    names.append(x)
-                    n.append(c)
-            if not at:
-                return None
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), _signed(np.concatenate(names)), pa.array(np.concatenate(n))], ["doc_id", "name", "n"])
-
-        return each
-
-    return over_batches(rows.select("doc_id", "text", "many"), f"doc_id {kind}, name long, n long", make)
-
-
 def _whole_windows(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, one, two): the windows, each once, whose longer prefix is one of the row's `many`, by the hash of all their words."""
+    """(doc_id, one, two): the windows, each once, whose first prefix is one of the row's `many`, by the hash of all their words."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             words, offsets = words_of(batch.column(1))
             at, found = [], []
             for d, (i, j, many) in enumerate(zip(offsets, offsets[1:], batch.column(2).to_pylist(), strict=False)):
-                first, place = prefixes(words[i:j])
+                first, _ = prefixes(words[i:j])
                 if len(first):
-                    mine = np.isin(longer_prefixes(words[i:j], place), _chosen(many))
+                    mine = np.isin(first, _chosen(many))
                     x = np.unique(np.stack([_rolled(words[i:j], WINDOW, b)[mine] for b in (P, Q)], axis=1), axis=0)
                     at.append(np.full(len(x), d))
                     found.append(x)
@@ -193,7 +171,7 @@ def _whole_windows(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _bundles(rows: DataFrame, kind: str) -> DataFrame:
-    """(name, doc_id, tk, start, n, words): runs of windows with one prefix of the row's `few` or `longer`, and their words as they stand."""
+    """(name, doc_id, tk, start, n, words): runs of windows with one prefix, one of the row's `few` or a longer one where the first is in `longer`, and their words as they stand."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -206,11 +184,12 @@ def _bundles(rows: DataFrame, kind: str) -> DataFrame:
                     continue
                 raw = batch.column(2)[d].as_buffer().to_pybytes()
                 begins, ends = bounds_of(raw)
-                for names, wanted, most in ((first, few, BUNDLES[0]), (longer_prefixes(words[i:j], place) if longer else first, longer, BUNDLES[1])):
+                for wanted, most in ((few, BUNDLES[0]), (longer, BUNDLES[1])):
                     if not wanted:
                         continue
-                    mine = np.isin(names, _chosen(wanted))
-                    cuts = np.nonzero(np.concatenate([[True], names[1:] != names[:-1]]))[0]
+                    mine = np.isin(first, _chosen(wanted))
+                    names = first if wanted is few else longer_prefixes(words[i:j], place)
+                    cuts = np.nonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (mine[1:] != mine[:-1])]))[0]
                     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
                         if mine[a]:
                             for lo in range(a, b, most):
@@ -312,17 +291,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(held))
 
 
-def _shared(names: DataFrame) -> DataFrame:
-    """(name, n): the prefixes that more than one document has, and how many suffixes lie below them."""
-    counted = names.groupBy("name").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return cut(counted.where("least < most").select("name", "n"))
-
-
-def _listed(names: DataFrame, shared: DataFrame, held: int, few: str) -> DataFrame:
-    """(doc_id, few, many): the document's shared prefixes of at most held suffixes, and those of more."""
-    hot = F.col("s") > held
-    joined = names.select("doc_id", "name").join(shared.withColumnRenamed("n", "s"), "name")
-    return cut(joined.groupBy("doc_id").agg(F.collect_list(F.when(~hot, F.col("name"))).alias(few), F.collect_list(F.when(hot, F.col("name"))).alias("many")))
+def _lists(names: DataFrame, held: int) -> DataFrame:
+    """(doc_id, few, longer, many): each document's first prefixes that another has too, by the suffixes below them: held at most, LONGER times that, and more."""
+    counted = names.groupBy("name").agg(F.sum("n").alias("s"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = cut(counted.where("least < most").select("name", "s"))
+    one, two = F.col("s") <= held, F.col("s") <= LONGER * held
+    listed = (F.collect_list(F.when(c, F.col("name"))).alias(n) for c, n in ((one, "few"), (~one & two, "longer"), (~two, "many")))
+    return cut(names.select("doc_id", "name").join(shared, "name").groupBy("doc_id").agg(*listed))
 
 
 def repeated(docs: DataFrame, held: int = HELD, dealt: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -334,23 +309,13 @@ def repeated(docs: DataFrame, held: int = HELD, dealt: DataFrame | None = None)
     spark = ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _docs(docs).where(F.col("doc_id").isNotNull()) if dealt is None else dealt
-    names = cut(_counted(_docs(docs).where(F.col("doc_id").isNotNull()), kind))
-    lists = _listed(names, _shared(names), held, "few")
-    again = None
-    hot = lists.where(F.size("many") > 0)
-    lists = lists.select("doc_id", "few")
-    if hot.isEmpty():
-        lists = lists.withColumn("longer", F.array().cast("array<long>"))
-    else:
-        longer = cut(_counted_longer(rows.join(hot.select("doc_id", "many"), "doc_id"), kind))
-        more = _listed(longer, _shared(longer), held, "longer")
-        lists = lists.join(more.select("doc_id", "longer"), "doc_id", "left")
-        hot = more.where(F.size("many") > 0)
-        if not hot.isEmpty():
-            whole = cut(_whole_windows(rows.join(hot.select("doc_id", "many"), "doc_id"), kind))
-            least = cut(whole.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
-            again = whole.join(least, ["one", "two"]).where("least < doc_id").select("doc_id", "one", "two")
-    some = rows.join(lists.where("size(few) > 0 OR size(longer) > 0"), "doc_id")
+    lists = _lists(cut(_counted(_docs(docs).where(F.col("doc_id").isNotNull()), kind)), held)
+    again, hot = None, lists.where(F.size("many") > 0)
+    if not hot.isEmpty():
+        whole = _whole_windows(rows.join(hot.select("doc_id", "many"), "doc_id"), kind)
+        least = whole.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+        again = whole.join(least, ["one", "two"]).where("least < doc_id").select("doc_id", "one", "two")
+    some = rows.join(lists.where("size(few) > 0 OR size(longer) > 0").select("doc_id", "few", "longer"), "doc_id")
     bundles = _bundles(some, kind).repartition(partitions(spark), "name").sortWithinPartitions("name")
     return bundles.mapInArrow(_search, f"doc_id {kind}, tk long, lo long, hi long"), again
 
