@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into the shared checkpoint folder and go on from there.
+
+    What checkpoint() returns keeps the estimates of the plan behind it. A join's size is the product of its sides', so that from one
+    checkpoint to the next estimates would double in digits and planning stall; so the rows go on without them.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -59,6 +67,19 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The words of all texts in a row, as places in a list of the different ones, that list, and where each text's words begin (one more for the end)."""
+    lists = pc.ascii_split_whitespace(texts)
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if "" in words:  # white space at either end of a text leaves an empty word
+        full = at != words.index("")
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        at = at[full]
+    return at.astype(np.int64), words, offsets
+
+
 _KEPT: dict[str, object] = {}
 
 

@@ -19,11 +19,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, packed, partitions, raw_text, ready, table, unpacked
+from .common import cut, let_go, over_batches, packed, partitions, raw_text, ready, table, unpacked, word_ids
 from .graph import components
 
 #: Shingles counted at a time, fingerprints in a leaf, and in an upper node that one task searches.
@@ -223,8 +224,8 @@ def near_groups(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
 #: For near_copies: the words of a shingle, bands of a text's shingles, least hashes in a band, and the similarity that makes
 #: near copies. Two texts at similarity s share a band with probability 1 - (1 - s ** WIDTH) ** BANDS: 0.99993 at 0.8.
 SHINGLE, BANDS, WIDTH, SIMILAR = 5, 24, 5, 0.8
-#: Neighbours in a band that a text is compared with before all that is left is, and texts kept by a task.
-NEXT, HELD = 4, 64
+#: Bytes of texts that are compared in memory at a time, and texts of a larger cluster that all of its blocks are compared with.
+BLOCK, PIVOTS = 8 << 20, 8
 _MIX, _TURN = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 _WAYS = np.random.default_rng(SEED).integers(1, 2**63, BANDS * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -234,14 +235,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _TURN)
 
 
-def _shingles(text: bytes) -> set[tuple[bytes, ...]]:
-    """The word shingles of a text (A-Z lower-cased); all its words where those are fewer than a shingle takes, none without words."""
-    words = text.lower().split()
-    if len(words) < SHINGLE:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-
-
 def bands(text: bytes) -> tuple[np.ndarray, int]:
     """The names of a text's BANDS bands, each made of the WIDTH least hashes of its shingles under other ways of mixing, and the number of its shingles."""
     words = text.lower().split()
@@ -260,32 +253,114 @@ def bands(text: bytes) -> tuple[np.ndarray, int]:
     return names, len(grams)
 
 
-def _similar(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts have SIMILAR or more of their shingles in common, by the shingles themselves."""
+def _shingles(texts: pa.Array, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first, n): the set of each text's shingles, tokens[first[i]:first[i] + n[i]], rarest first; shingles of different clusters differ.
 
-    def make():
-        held: dict[int, set] = {}
-
-        def of(key: int, text: bytes) -> set:
-            if key not in held:
-                if len(held) >= HELD:
-                    held.clear()
-                held[key] = _shingles(text)
-            return held[key]
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            near = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = of(a, x), of(b, y)
-                both = len(x & y)
-                every = len(x) + len(y) - both
-                near.append(both == every or both / every >= SIMILAR)
-            return batch.select(["a", "b"]).filter(pa.array(near))
+    A-Z are lower-cased. A text of fewer words than a shingle has is one shingle; so is one without words.
+    """
+    words, different, offsets = word_ids(pc.ascii_lower(texts))
+    size = np.diff(offsets)
+    longer = np.maximum(size, SHINGLE)
+    begin = np.cumsum(longer) - longer
+    line = np.full(int(longer.sum()), len(different), np.int64)
+    line[np.repeat(begin - offsets[:-1], size) + np.arange(len(words))] = words
+    # Runs of two, four and then five words, numbered exactly.
+    number = lambda x: np.unique(x, return_inverse=True)[1]
+    two = number(line[:-1] * (len(different) + 1) + line[1:])
+    four = number(two[:-2] * (two.max() + 1) + two[2:])
+    five = number(four[: len(line) - 4] * (len(different) + 1) + line[4:])
+    text = np.repeat(np.arange(len(size)), longer - SHINGLE + 1)
+    at = np.repeat(begin, longer - SHINGLE + 1) + np.arange(len(text)) - np.repeat(np.cumsum(longer - SHINGLE + 1) - (longer - SHINGLE + 1), longer - SHINGLE + 1)
+    kinds = number(cluster[text] * (five.max() + 1) + five[at])
+    pairs = np.unique(text * (kinds.max() + 1) + kinds)
+    text, kinds = pairs // (kinds.max() + 1), pairs % (kinds.max() + 1)
+    often = np.bincount(kinds)
+    rank = np.empty(len(often), np.int64)
+    rank[np.lexsort((np.arange(len(often)), often))] = np.arange(len(often))
+    tokens = np.sort(text * len(often) + rank[kinds]) % len(often)
+    n = np.bincount(text, minlength=len(size))
+    return tokens, np.cumsum(n) - n, n
+
+
+def _near(texts: pa.Array, cluster: np.ndarray, root: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """For each text the place of one that stands for its group: texts of a cluster are joined whose similarity is SIMILAR or more.
+
+    root: texts with the same are joined already; only pairs with a text that asks are compared. Two such texts share one of the
+    rarest shingles of each that leave fewer than it takes, so others aren't compared.
+    """
+    tokens, first, n = _shingles(texts, cluster)
+    prefix = n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
+    text = np.repeat(np.arange(len(n)), n)
+    early = np.arange(len(tokens)) - first[text] < prefix[text]
+    held, having = tokens[early], text[early]
+    order = np.argsort(held, kind="stable")
+    having = having[order]
+    count = np.bincount(held, minlength=int(tokens.max()) + 1)
+    begin = np.cumsum(count) - count
+    root = root.copy()
+    mark, met = np.zeros(len(count), bool), np.full(len(n), -1)
+    for x in np.unique(text[early][(count[held] > 1) & asks[text[early]]]).tolist():
+        mine = tokens[first[x] : first[x] + n[x]]
+        mark[mine] = True
+        for t in mine[: prefix[x]].tolist():
+            if count[t] < 2:
+                continue
+            others = having[begin[t] : begin[t] + count[t]]
+            others = others[(root[others] != root[x]) & (met[others] != x)]
+            others = others[(n[others] >= SIMILAR * n[x] - 1e-9) & (n[x] >= SIMILAR * n[others] - 1e-9) & (~asks[others] | (others < x))]
+            met[others] = x
+            some = 8
+            while len(others):
+                part, others = others[:some], others[some:]
+                at = np.repeat(first[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                both = np.add.reduceat(mark[tokens[at]].astype(np.int64), np.cumsum(n[part]) - n[part])
+                for y in part[both / (n[x] + n[part] - both) >= SIMILAR].tolist():
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                others = others[root[others] != root[x]]
+                some = min(2 * some, 4096)
+        mark[mine] = False
+    return root
+
+
+def _compared(dealt: DataFrame) -> DataFrame:
+    """(a, b): links of dealt (key, id, asks, joined, text), sorted by key: the texts of a key are compared, as many keys at a time as BLOCK holds."""
 
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not rows.num_rows:
+                return
+            rows = rows.combine_chunks()
+            key, joined = (np.unique(rows[c].to_numpy(), return_inverse=True)[1] for c in ("key", "joined"))
+            # A text that stands for those joined already must be one of the key.
+            _, stands = np.unique(key * (joined.max() + 1) + joined, return_index=True)
+            root = stands[np.unique(key * (joined.max() + 1) + joined, return_inverse=True)[1]]
+            after = _near(rows["text"].combine_chunks(), key, root, rows["asks"].to_numpy())
+            new = np.nonzero(after != np.arange(len(after)))[0]
+            if len(new):
+                ids = rows["id"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(ids[after[new]])], ["a", "b"])
 
-    first, second = (bodies.select(F.col("id").alias(c), F.col("b").alias(f"text_{c}")) for c in "ab")
-    return over_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b"), "a long, b long", make)
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(4).nbytes
+            if size >= BLOCK:
+                rows = pa.Table.from_batches(held)
+                keys = rows["key"].to_numpy()
+                whole = int(np.searchsorted(keys, keys[-1], "left"))
+                if whole:
+                    yield from work(rows.slice(0, whole))
+                    held = rows.slice(whole).combine_chunks().to_batches()
+                    size = sum(b.column(4).nbytes for b in held)
+        if held:
+            yield from work(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    return dealt.select("key", "id", "asks", "joined", "text").mapInArrow(run, "a long, b long")
 
 
 def named_texts(docs: DataFrame, name=lambda sha: F.xxhash64(sha)) -> DataFrame:
@@ -304,52 +379,64 @@ def named_texts(docs: DataFrame, name=lambda sha: F.xxhash64(sha)) -> DataFrame:
         rows = rows.withColumn("id", F.when(F.col("two"), F.xxhash64(F.lit(salt), "sha")).otherwise(F.col("id"))).drop("two")
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
+def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, root): those of the texts (id, text), each id the name of one text, that are near copies of others, with a name for their group.
 
-    Texts that share a band are candidates, and two are linked only if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, counted exactly. Within each band texts are first compared with a few neighbours, then
-    with every text of the band that links do not yet tie to the same text, so that a pair of candidates that is not
-    compared is already linked through others. Texts without words are near copies of each other.
+    Texts that share a band, directly or through others, make a cluster. Two texts of a cluster are linked if their sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more, counted exactly; what links join is a group. Every text goes once to where its cluster is compared
+    in memory. A cluster of more than block bytes is compared in blocks: at first each within itself and with PIVOTS texts of the cluster, then
+    those outside the cluster's largest group, block by block, with all of the cluster. Texts without words are near copies of each other.
     """
-    ready(texts.sparkSession)
+    spark = ready(texts.sparkSession)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, sizes = zip(*map(bands, batch.column(1).to_pylist()), strict=True)
+            names, _ = zip(*map(bands, batch.column(1).to_pylist()), strict=True)
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(names).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), BANDS))], ["id", "band", "n"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(names).view(np.int64))], ["id", "band"])
 
         return each
 
-    texts = texts.select("id", raw_text().alias("b"))
-    dealt = cut(over_batches(texts, "id long, band long, n int", make))
-    shared = dealt.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
-    members = cut(dealt.join(shared, "band").distinct())
-    bodies = cut(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    sizes_fit = f"least(n, m) >= {SIMILAR} * greatest(n, m)"
-
-    def compared(found: DataFrame) -> DataFrame:
-        pairs = found.where(sizes_fit).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        return cut(_similar(pairs, bodies))
-
-    order = Window.partitionBy("band").orderBy(F.xxhash64("id"), "id")
-    after = F.array(*(F.lead(F.struct("id", "n"), i).over(order) for i in range(1, NEXT + 1)))
-    found = members.select("id", "n", after.alias("after")).select("id", "n", F.explode("after").alias("o")).where("o IS NOT NULL")
-    some = compared(found.select("id", "n", F.col("o.id").alias("other"), F.col("o.n").alias("m")))
-    # Texts with the same root are linked through it; that not all linked texts have the same costs comparisons only.
-    both = some.union(some.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
-    roots = cut(both.select("id", F.least("id", "root").alias("root")))
-    for _ in range(2):
-        ends = roots.select(F.col("id").alias("root"), F.col("root").alias("end"))
-        roots = cut(roots.join(ends, "root").select("id", F.col("end").alias("root")))
-    now = cut(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    whole = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
-    whole = whole.where("groups > 1").select("band", F.col("most.root").alias("most"))
-    # All of a band against those outside its largest group.
-    few = now.join(whole, "band").where("root <> most").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("group"))
-    rest = compared(now.join(few, "band").where("root <> group"))
-    return components(some.union(rest)).withColumnRenamed("node", "id")
+    dealt = cut(over_batches(texts.select("id", raw_text().alias("b")), "id long, band long", make))
+    shared = dealt.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
+    clusters = components(dealt.join(shared, "band").where("id <> pivot").select("id", "pivot").distinct(), "id", "pivot")
+    clusters = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    bodies = texts.select("id", "text").join(clusters, "id").dropDuplicates(["id"])
+    sizes = clusters.join(texts.select("id", F.octet_length("text").alias("size")).dropDuplicates(["id"]), "id").groupBy("cluster").agg(F.sum("size").alias("size"))
+    large = sizes.where(F.col("size") > block).select("cluster", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    large = cut(large)
+    n = partitions(spark)
+
+    def in_keys(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key").sortWithinPartitions("key", "id")
+
+    some = large.isEmpty()
+    plain = bodies if some else bodies.join(large, "cluster", "left_anti")
+    row = lambda key, asks: (key.alias("key"), F.col("id"), asks.alias("asks"), F.col("id").alias("joined"), F.col("text"))
+    links = cut(_compared(in_keys(plain.select(*row(F.col("cluster"), F.lit(True))))))
+    if some:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    within = bodies.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    least = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id"))
+    pivots = within.select("cluster", "id").withColumn("r", least).where(F.col("r") <= PIVOTS).select("id")
+    first = within.select("cluster", "id", "text", "block").unionByName(
+        within.join(F.broadcast(cut(pivots)), "id").select("cluster", "id", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block").select("cluster", "id", "text", F.col("other").alias("block"))
+    )
+    links = links.unionByName(cut(_compared(in_keys(first.select(*row(F.xxhash64("cluster", "block"), F.lit(True)))))))
+    joined = components(links)
+    # The largest group of each large cluster; the others' texts ask all of the cluster, in blocks of both.
+    at = within.select("id", "cluster", "blocks", "block", F.octet_length("text").alias("size")).join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    at = cut(at)
+    most = at.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("most")).select("cluster", F.col("most.root").alias("most"))
+    asking = at.join(most, "cluster").where("root <> most")
+    turns = cut(asking.groupBy("cluster").agg(F.ceil(F.sum("size") / block).cast("int").alias("turns")))
+    asking = cut(asking.join(turns, "cluster").select("id", "root", "cluster", "blocks", F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn")))
+    every = at.join(turns, "cluster").select("id", "root", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"))
+    asks = asking.select("id", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "turn", F.lit(True).alias("asks"))
+    both = every.unionByName(asks).groupBy("id", "root", "cluster", "block", "turn").agg(F.max("asks").alias("asks"))
+    sent = both.join(within.select("id", "text"), "id").select(F.xxhash64("cluster", "block", "turn").alias("key"), "id", "asks", F.col("root").alias("joined"), "text")
+    links = links.unionByName(cut(_compared(in_keys(sent))))
+    return components(links).select(F.col("node").alias("id"), "root")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, partitions, ready, table
+from .common import cut, over_batches, partitions, ready, table, word_ids
 
 #: Words of a window, of the first prefix and of the longer one; bundles hold so many windows at most at each length.
 WINDOW, GRAM, HALF = 50, 16, 33
@@ -46,18 +46,8 @@ _WHITE[[32, *range(9, 14)]] = True
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a row, and where each text's words begin (one more for the end)."""
-    lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    coded = flat.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    at = coded.indices.to_numpy()
-    if "" in words:  # white space at either end of a text leaves an empty word
-        full = at != words.index("")
-        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
-        at = at[full]
-    return hashes[at], offsets
+    at, words, offsets = word_ids(texts)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[at], offsets
 
 
 def bounds_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Operators against brute-force versions, exact round trips and held-out labels, on the smallest tables and random inputs."""
 
+import functools
 import hashlib
 import math
 import random
@@ -168,6 +169,43 @@ def test_near_copies_of_every_kind_of_edit(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == sorted(set(wanted.values()))
 
 
+@functools.cache
+def grams(text: str) -> frozenset:
+    w = text.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def jaccard(a: str, b: str) -> float:
+    both = len(grams(a) & grams(b))
+    return both / (len(grams(a)) + len(grams(b)) - both)
+
+
+@pytest.mark.parametrize("block", [1 << 23, 3000])
+def test_groups_of_a_cluster_in_blocks(spark, block):
+    """Edited copies of three texts, from above to below the similarity, so that groups hang together by some pairs only."""
+    rng = random.Random(block)
+    texts = {}
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(60)]
+        for _ in range(60):
+            texts[len(texts)] = " ".join(w if rng.random() > 0.025 else f"n{rng.random()}" for w in words[: rng.randrange(50, 61)])
+    texts |= {500: "Short One", 501: "short one", 502: "short", 503: "", 504: " \n"}
+    want = brute_components(sorted(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    df = spark.createDataFrame(sorted(texts.items()), "id long, text string")
+    got = {r["id"]: r["root"] for r in simhash.near_copies(df, block).collect()}
+    groups = lambda of: sorted(tuple(sorted(k for k in of if of[k] == r)) for r in set(of.values()))
+    assert 20 < len(set(want.values())) < 150
+    assert groups({i: got.get(i, i) for i in texts}) == groups(want)
+
+
+def test_near_copies_of_all_documents(spark, texts):
+    """Every pair of the smallest table's texts that comes near 0.8, counted one by one."""
+    once = sorted({t: d for d, t in sorted(texts.items(), reverse=True)}.values())
+    want = brute_components(once, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    df = spark.createDataFrame([(d, texts[d]) for d in texts], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("block", [7, 8192])
 def test_block_names(docs, texts, block):
     groups = defaultdict(list)
