@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import html
 import math
 import random
 import re
@@ -551,6 +552,41 @@ def test_main_text(page, want):
     assert html_extract.extract(page) == want
 
 
+def test_odd_pages_are_read_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.extract("<div>" * 20_000 + "deep" + "</div>" * 20_000 + "<p>after") == "deep\n\nafter"
+    assert html_extract.extract("<div>" * 400 + "<nav>menu <b>bold</b></nav>kept" + "</div>" * 400) == "kept"
+    assert "end" in html_extract.extract('<a "' * 20_000 + "<p>end</p>")
+    assert html_extract.extract("<script" * 20_000 + "<p>x") is not None and html_extract.extract("x <script>" * 5000) == "x"
+    assert html_extract.extract("<!--" * 20_000) == "" and html_extract.extract("<p>a < b <p>c") == "a < b\n\nc"
+    assert html_extract.extract("<p title=\"a > b\">c</p><p title='>'>d</p><p title=\">e</p><p>f</p>") == "c\n\nd\n\ne\n\nf"
+    wrapper = html_extract.wrapper_of(html_extract.parse("<div>" * 20_000 + "x"))
+    html_extract.join_wrappers(wrapper, wrapper)
+    assert time.perf_counter() - began < 20
+
+
+def test_wrappers_don_t_grow_with_pages():
+    import json
+
+    wrapper = None
+    for i in range(600):
+        page = f"<body><div id=post-{i} class='c{i} post'><h1>t{i}</h1><p>x{i}</p></div>" + f"<b{'x' * (i % 599)}>z</b>"
+        wrapper = html_extract.join_wrappers(wrapper, html_extract.wrapper_of(html_extract.parse(page)))
+    assert len(json.dumps(wrapper)) < 200_000
+
+
+def test_text_of_every_page(spark):
+    """The texts of the test pages are their article elements, read by rule: tags off, references decoded, white space folded."""
+    block = re.compile(r"</?(?:p|h1|article)\b[^>]*>")
+    for r, got in ((r, None) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()):
+        inner = re.search(r"(?s)<article>(.*?)</article>", r["html"])
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x)))).strip() for x in block.split(inner[1])] if inner else []
+        got = html_extract.extract(r["html"])
+        assert got == "\n\n".join(x for x in parts if x) or not inner, r["page_id"]
+
+
 def test_registered():
     names = list(registry.queries())
     assert [next(n for n in names if n.startswith(f"op{i}_")) for i in range(1, 11)] and "pipeline" in names
