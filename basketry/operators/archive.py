@@ -103,6 +103,12 @@ def chart_history(rows: DataFrame) -> DataFrame:
     )
 
 
+def chart_years(charts: DataFrame, spine: DataFrame) -> DataFrame:
+    """charts (track, ...) with the release_year that the spine (track, release_year as text) has for the track; null where it has none or no number."""
+    years = spine.select("track", F.expr("try_cast(release_year AS int)").alias("release_year")).groupBy("track").agg(F.min("release_year").alias("release_year"))
+    return charts.join(years, "track", "left")
+
+
 def number_ones(history: DataFrame, low: int, high: int, k: int = 10) -> DataFrame:
     """The k number ones of the years with most streams in a week, each name once."""
     ones = history.where((F.col("chart_peak") == 1) & F.year("peak_date").between(low, high))

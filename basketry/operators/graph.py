@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,7 +29,13 @@ def cooccurrence(rows: DataFrame, basket: str, node: str, min_shared: int = 1, t
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) in both directions."""
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionAll(edges.select("b", "a", "weight"))
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return edges.select(F.explode(ends).alias("e"), "weight").select("e.src", "e.dst", "weight")
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    """(node): every node that has an edge, once."""
+    return edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def neighbours(edges: DataFrame, seeds: list, fan: int | None = None) -> DataFrame:
@@ -47,7 +56,7 @@ def compass(edges: DataFrame, node, k: int = 12) -> DataFrame:
 
 def overlap(edges: DataFrame, counts: DataFrame, pairs: list[tuple]) -> DataFrame:
     """For given pairs: shared baskets, their share of the smaller reach, and a verdict."""
-    wanted = " OR ".join(f"(a = {min(p)} AND b = {max(p)})" for p in pairs)
+    wanted = reduce(or_, ((F.col("a") == F.lit(min(p))) & (F.col("b") == F.lit(max(p))) for p in pairs), F.lit(False))
     reach = counts.select(F.col("owner"), "basket_count")
     found = edges.where(wanted).join(reach.toDF("a", "ca"), "a").join(reach.toDF("b", "cb"), "b")
     pct = F.round(F.col("weight") * 100.0 / F.greatest(F.least("ca", "cb"), F.lit(1)), 2)

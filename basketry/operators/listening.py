@@ -92,18 +92,18 @@ def concentration(plays: DataFrame) -> DataFrame:
     )
 
 
-def discovery(plays: DataFrame, what: str = "track") -> DataFrame:
-    """First-ever plays per user and week; each user's first week is left out."""
+def discovery(plays: DataFrame, what: str = "track", unit: str = "week") -> DataFrame:
+    """First-ever plays per user and unit of time (a week or a month, under its name); each user's first one is left out."""
     first = plays.groupBy("user_id", what).agg(F.min("ts").alias("first"))
-    weeks = first.select("user_id", F.to_date(F.date_trunc("week", "first")).alias("week"))
-    counted = weeks.groupBy("user_id", "week").agg(F.count(F.lit(1)).alias("discovered"))
-    return counted.withColumn("start", F.min("week").over(W.partitionBy("user_id"))).where("week > start").drop("start")
+    spans = first.select("user_id", F.to_date(F.date_trunc(unit, "first")).alias(unit))
+    counted = spans.groupBy("user_id", unit).agg(F.count(F.lit(1)).alias("discovered"))
+    return counted.withColumn("start", F.min(unit).over(W.partitionBy("user_id"))).where(F.col(unit) > F.col("start")).drop("start")
 
 
-def drift(plays: DataFrame, k: int = 8) -> DataFrame:
-    """ms per week of each of the k artists with most ms."""
+def drift(plays: DataFrame, k: int = 8, unit: str = "week") -> DataFrame:
+    """ms per unit of time (a week or a month, under its name) of each of the k artists with most ms."""
     best = plays.groupBy("artist").agg(F.sum("ms").alias("total")).orderBy(F.desc("total"), "artist").limit(k)
-    return plays.join(F.broadcast(best.select("artist")), "artist").groupBy("artist", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.sum("ms").alias("ms"))
+    return plays.join(F.broadcast(best.select("artist")), "artist").groupBy("artist", F.to_date(F.date_trunc(unit, "ts")).alias(unit)).agg(F.sum("ms").alias("ms"))
 
 
 def calendar(plays: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
+from ..session import ship
+
 # The bit of each source in source_flags.
 SOURCE_BITS = {"a": 1, "b": 4}
 
@@ -86,24 +93,49 @@ def min_excluding(spine: DataFrame, key: str, value: str, excluded: DataFrame, o
     return kept.groupBy(key).agg(F.min(value).alias("first_year")).where(F.col("first_year").between(low, high))
 
 
+#: Queries, and bytes of them, in one automaton.
+QUERIES, QUERY_BYTES = 100_000, 64 << 20
+
+
 def substring_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, hits): the texts that contain each query without regard to case; an empty query matches nothing.
+    """(query_id, hits): the distinct texts that contain each query without regard to case; an empty query matches nothing.
 
-    queries is a stated list, broadcast as long as it holds at most 100,000 rows; beyond that, in as many blocks as needed.
+    Texts are read once for as many queries as an automaton of bounded size holds: it finds all of them in one pass over a text.
     """
-    n = queries.count()
-    parts = max(1, -(-n // 50_000))
-    found = None
-    # Lower-cased before the join, once a row and not once a pair.
-    texts = texts.select("id", F.lower("text").alias("low"))
-    queries = queries.select("query_id", F.lower("query").alias("query"))
+    spark = ship(texts.sparkSession)
+    low = queries.select("query_id", F.lower("query").alias("query")).where("query <> ''")
+    n, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    parts = max(1, -(-n // QUERIES), -(-size // QUERY_BYTES))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((low, "query_id"), (texts, "id"))]
+    rows = texts.select("id", F.lower("text").alias("low")).where("low IS NOT NULL")
+    kind, found = to_arrow_type(low.schema["query_id"].dataType), None
     for i in range(parts):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).where("query <> ''")
-        hit = texts.join(F.broadcast(block), F.expr("contains(low, query)")).groupBy("query_id").agg(F.countDistinct("id").alias("hits"))
-        found = hit if found is None else found.unionAll(hit)
+        block = low.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "query")
+        asked = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
+        hits = rows.mapInArrow(partial(_contained, asked, kind), f"query_id {kinds[0]}, id {kinds[1]}").groupBy("query_id").agg(F.countDistinct("id").alias("hits"))
+        found = hits if found is None else found.unionAll(hits)
     return found
 
 
+def _contained(asked, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, id) of the queries that each text contains."""
+    import ahocorasick
+
+    automaton, ids = ahocorasick.Automaton(), {}
+    for query_id, query in asked.value:
+        ids.setdefault(query, []).append(query_id)
+    for query in ids:
+        automaton.add_word(query, query)
+    if not ids:
+        return
+    automaton.make_automaton()
+    for batch in batches:
+        pairs = [(q, i) for i, text in enumerate(batch.column(1).to_pylist()) for word in {w for _, w in automaton.iter(text)} for q in ids[word]]
+        if pairs:
+            where, at = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(where, kind), batch.column(0).take(pa.array(at))], ["query_id", "id"])
+
+
 def forensics(submission: DataFrame, reference: DataFrame) -> DataFrame:
     """One row: how many (title, artist) of a submission occur, as parts of title and artist, in a reference, and a verdict.
 
@@ -118,6 +150,32 @@ def forensics(submission: DataFrame, reference: DataFrame) -> DataFrame:
     return hits.crossJoin(total).select("hits", "total", pct.alias("pct")).withColumn("verdict", verdict)
 
 
+def resolve_pattern(names: DataFrame, wanted: str, by: str = "basket_count") -> DataFrame:
+    """The row that a name means where names of any length are looked for: equal without regard to case, else the one with the
+    greatest count in which wanted is found, read as a pattern; one that is no valid pattern is looked for as it stands."""
+    import re
+
+    low = wanted.lower()
+    try:
+        re.compile(low)
+        found = F.lower("name").rlike(low)
+    except re.error:
+        found = F.contains(F.lower("name"), F.lit(low))
+    rank = F.when(F.lower("name") == low, 0).when(found, 1)
+    return names.withColumn("prio", rank).where("prio IS NOT NULL").orderBy("prio", F.desc(by), "name").limit(1).drop("prio")
+
+
+def qualified_candidates(candidates: DataFrame, vocabulary: DataFrame, features: DataFrame, per_artist: int = 5) -> DataFrame:
+    """(uri, title, artist, fit, energy, valence): candidates that the vocabulary knows by title and artist, without regard to case, and
+    that have features; of each uri the row with the best fit (ties by artist, title), and of each artist the best per_artist."""
+    known = vocabulary.select(F.lower("title").alias("t"), F.lower("artist").alias("a"), "uri")
+    joined = candidates.join(known, (F.lower("title") == F.col("t")) & (F.lower("artist") == F.col("a"))).drop("t", "a").join(features, "uri")
+    best = F.row_number().over(W.partitionBy("uri").orderBy(F.desc("fit"), "artist", "title"))
+    once = joined.withColumn("r", best).where("r = 1")
+    place = F.row_number().over(W.partitionBy("artist").orderBy(F.desc("fit"), "uri"))
+    return once.withColumn("r", place).where(F.col("r") <= per_artist).select("uri", "title", "artist", "fit", "energy", "valence")
+
+
 def resolve(names: DataFrame, wanted: str, by: str = "basket_count", least: int = 3) -> DataFrame:
     """The row that a name means: equal without regard to case, else the one with the greatest count that contains it.
 

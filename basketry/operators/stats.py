@@ -57,10 +57,9 @@ def top_neighbours(edges: DataFrame, counts: DataFrame, k: int = 8) -> DataFrame
 def item_stats(rows: DataFrame, names: DataFrame, item: str, basket: str, k: int = 10) -> DataFrame:
     """(item, basket_count, top_names): distinct named baskets, and the first k of their names in order, repeats included."""
     named = rows.join(names.where(F.length(F.trim("name")) > 0), basket)
-    return named.groupBy(item).agg(
-        F.countDistinct(basket).alias("basket_count"),
-        F.slice(F.array_sort(F.collect_list("name")), 1, k).alias("top_names"),
-    )
+    # The first k names are picked in each task before the shuffle, so a very common item gathers nowhere.
+    first = named.select(item, "name", F.row_number().over(W.partitionBy(item).orderBy("name")).alias("r")).where(F.col("r") <= k)
+    return named.groupBy(item).agg(F.countDistinct(basket).alias("basket_count")).join(first.groupBy(item).agg(ordered_list([F.col("r")], "name").alias("top_names")), item)
 
 
 def two_level_flags(rows: DataFrame, owner: str, basket: str, flags: list[str]) -> DataFrame:
@@ -100,8 +99,9 @@ def signal_rank(signals: dict[str, DataFrame], name: str) -> DataFrame:
         one = df.select(F.col(name), F.col(s))
         out = one if out is None else out.join(one, name, "full")
     for s in signals:
-        has = F.coalesce(F.col(s) > 0, F.lit(False))
-        out = out.withColumn(f"{s}_pr", F.when(has, F.percent_rank().over(W.partitionBy(has).orderBy(s))))
+        place = value_ranks(out.where(F.col(s) > 0), s)
+        share_below = F.when(F.col("all") > 1, F.col("before") / (F.col("all") - 1)).otherwise(F.lit(0.0))
+        out = out.join(place.select(F.col(s).alias("at"), share_below.alias(f"{s}_pr")), F.col(s) == F.col("at"), "left").drop("at")
     count = sum((F.col(f"{s}_pr").isNotNull().cast("int") for s in signals), F.lit(0))
     mean = sum((F.coalesce(F.col(f"{s}_pr"), F.lit(0.0)) for s in signals), F.lit(0.0)) / F.nullif(F.col("signal_count"), F.lit(0))
     out = out.withColumn("signal_count", count).withColumn("current_pct", F.round(mean * 100, 3))
@@ -119,7 +119,19 @@ def rank_percentile(ranked: DataFrame) -> DataFrame:
 
 def cdf_scores(terms: DataFrame) -> DataFrame:
     """Each term's score: the share of terms that are as common or rarer, in percent."""
-    return terms.select("term", "n", F.round(F.cume_dist().over(W.orderBy("n")) * 100, 1).alias("score"))
+    place = value_ranks(terms, "n").select("n", F.round((F.col("before") + F.col("same")) / F.col("all") * 100, 1).alias("score"))
+    return terms.select("term", "n").join(place, "n").select("term", "n", "score")
+
+
+def value_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """(value, same, before, all): how many rows have each value, a smaller one, and any.
+
+    Rows are counted by value before a window runs over the values alone: of counts there are few different ones however many rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("same"))
+    upto = F.sum("same").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    every = F.sum("same").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return counts.select(value, "same", (upto - F.col("same")).alias("before"), every.alias("all"))
 
 
 def middle_half(terms: DataFrame, least: int = 10) -> DataFrame:

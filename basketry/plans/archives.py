@@ -18,7 +18,7 @@ TAGS = {"cold": ["cold", "blue", "small"], "warm": ["hot", "red", "large"], "ste
 
 def _removed(s, d):
     lines, orders = t.table(s, d, "lineitem"), t.table(s, d, "orders")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_linenumber = 1").select(
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("playlist"), F.to_date("o_orderdate").alias("added"), F.when(F.col("l_returnflag") != "N", F.to_date("l_shipdate")).alias("removed"), "l_orderkey", "l_quantity", "l_extendedprice"
     )
     names = t.table(s, d, "supplier").select(F.col("s_suppkey").alias("playlist"), F.col("s_name").alias("playlist_name"))
@@ -82,7 +82,7 @@ def _terms(s, d):
 
 def _habitat_blend(s, d):
     parts = t.table(s, d, "part")
-    tags = parts.where("p_size < 3").groupBy(F.col("p_brand").alias("owner")).agg(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))).alias("tags"))
+    tags = parts.groupBy(F.col("p_brand").alias("owner")).agg(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))).alias("tags"))
     own = parts.where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("owner")).agg(F.round(F.avg("p_size"), 1).alias("pct")).select("owner", F.lit("steel").alias("context"), "pct")
     return a.blend_scores(own, a.habitat_scores(tags, TAGS))
 
@@ -94,7 +94,14 @@ def _cleaned(s, d):
     return rows.select("p_partkey", cleaned.alias("cleaned"), text.similar(F.col("title"), F.col("p_name")).alias("similar"), text.genre_color(F.col("p_name")).alias("color"))
 
 
+def _chart_years(s, d):
+    year = F.when(F.col("p_partkey") % 3 == 0, "unknown").otherwise((F.col("p_size") + 1950).cast("string"))
+    spine = t.table(s, d, "part").select(F.col("p_partkey").cast("int").alias("track"), year.alias("release_year"))
+    return a.chart_years(_weeks(s, d).where("rank <= 10").select("week", "track", "rank"), spine)
+
+
 QUERIES = {
+    "chart_release_years": _chart_years,
     "editorial_removed": _removed,
     "forgotten_hits": _forgotten,
     "chart_history": _history,
@@ -116,7 +123,7 @@ def _bounded(words):
 
 
 _REMOVED = """lt AS (SELECT l_partkey AS id, l_suppkey AS playlist, CAST(o_orderdate AS DATE) AS added, CAST(l_shipdate AS DATE) AS removed, l_orderkey, l_quantity, l_extendedprice
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_returnflag <> 'N'),
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N'),
     removed AS (SELECT playlist, id, l_orderkey, l_quantity, l_extendedprice, s_name AS playlist_name, CAST(greatest(date_diff('day', added, removed), 0) AS INT) AS days_on,
         strftime(added, '%Y-%m-%d') AS date_added, strftime(removed, '%Y-%m-%d') AS date_removed FROM lt LEFT JOIN supplier ON s_suppkey = playlist)"""
 _WEEKS = f"""{t.PLAYS}, ws AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, track, CAST(sum(ms) AS BIGINT) AS streams FROM plays GROUP BY ALL),
@@ -137,6 +144,9 @@ ORACLE = {
         b AS (SELECT * FROM r WHERE days_on >= 500 AND CAST(date_removed AS DATE) < DATE '2001-06-01' - 365 ORDER BY days_on DESC, date_removed DESC, id LIMIT 40)
         SELECT b.*, chart_peak FROM b LEFT JOIN history ON track = id""",
     "chart_history": f"WITH {_WEEKS} SELECT * FROM history",
+    "chart_release_years": f"""WITH {t.PLAYS}, ws AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, track, sum(ms) AS streams FROM plays GROUP BY ALL),
+        r AS (SELECT week, track, row_number() OVER (PARTITION BY week ORDER BY streams DESC, track) AS rank FROM ws QUALIFY rank <= 10)
+        SELECT week, track, rank, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size + 1950 AS INT) END AS release_year FROM r LEFT JOIN part ON p_partkey = track""",
     "chart_number_ones": f"""WITH {_WEEKS}, o AS (SELECT track, name, max_streams_week, peak_date FROM history WHERE chart_peak = 1 AND year(peak_date) = 2024
             QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY max_streams_week DESC, track) = 1)
         SELECT * FROM o ORDER BY max_streams_week DESC, track LIMIT 10""",
@@ -157,7 +167,7 @@ ORACLE = {
         FROM h LEFT JOIN tw USING (category) GROUP BY 1""",
     "title_terms_df": f"WITH {_TERM_ROWS} SELECT * FROM trows",
     "term_related": f"WITH {_TERM_ROWS} SELECT 'red widget' AS of, term, theme, count FROM trows WHERE term <> 'red widget' AND theme = (SELECT theme FROM trows WHERE term = 'red widget') ORDER BY count DESC, term LIMIT 8",
-    "habitat_tag_blend": f"""WITH tags AS (SELECT p_brand AS owner, list_distinct(flatten(list(string_split(p_name, ' ')))) AS tags FROM part WHERE p_size < 3 GROUP BY 1),
+    "habitat_tag_blend": f"""WITH tags AS (SELECT p_brand AS owner, list_distinct(flatten(list(string_split(p_name, ' ')))) AS tags FROM part GROUP BY 1),
         sc AS ({_TAGS_SQL}), own AS (SELECT p_brand AS owner, 'steel' AS context, round(avg(p_size), 1) AS pct FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1)
         SELECT coalesce(own.owner, sc.owner) AS owner, coalesce(own.context, sc.context) AS context,
                round(CASE WHEN pct IS NULL THEN score WHEN coalesce(score, 0) > 0 THEN CAST(0.7 AS DOUBLE) * pct + (1 - CAST(0.7 AS DOUBLE)) * score ELSE pct END, 2) AS pct

@@ -14,7 +14,7 @@ def _edges(s, d):
 
 
 def _tags(s, d):
-    parts = t.table(s, d, "part").where("p_size < 5")
+    parts = t.table(s, d, "part")
     return parts.select(F.col("p_brand").alias("owner"), F.explode(F.array_union(F.split("p_name", " "), F.array("p_type"))).alias("tag")).distinct()
 
 
@@ -24,6 +24,7 @@ def _ancestry(s, d):
 
 
 QUERIES = {
+    "edge_endpoints": lambda s, d: graph.endpoints(_edges(s, d)),
     "cooccurrence_edges": lambda s, d: graph.cooccurrence(t.basket_items(s, d), "pid", "node", 2, 50),
     "compass_neighbors": lambda s, d: graph.compass(_edges(s, d), 1),
     "overlap_arena": lambda s, d: graph.overlap(_edges(s, d), t.supplier_reach(s, d), [(1, 2), (3, 7), (5, 4)]),
@@ -34,6 +35,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "edge_endpoints": f"WITH {edges_sql()} SELECT a AS node FROM edges UNION SELECT b FROM edges",
     "cooccurrence_edges": f"WITH {edges_sql(2, 50)} SELECT a, b, weight FROM edges",
     "compass_neighbors": f"""WITH {edges_sql()}, r AS (SELECT dst AS neighbour, weight FROM both_ways WHERE src = 1 ORDER BY weight DESC, dst LIMIT 12)
         SELECT neighbour, weight, round(weight * 1.0 / max(weight) OVER (), 3) AS strength FROM r""",
@@ -54,7 +56,7 @@ ORACLE = {
         best AS (SELECT path FROM walk WHERE node = 9 ORDER BY len(path), path LIMIT 1),
         hops AS (SELECT unnest(range(len(path))) AS hop, path FROM best)
         SELECT hop, path[hop + 1] AS node, weight AS shared FROM hops LEFT JOIN both_ways ON src = path[hop] AND dst = path[hop + 1]""",
-    "tag_jaccard_ancestry": """WITH tags AS (SELECT DISTINCT p_brand AS owner, unnest(string_split(p_name, ' ') || [p_type]) AS tag FROM part WHERE p_size < 5),
+    "tag_jaccard_ancestry": """WITH tags AS (SELECT DISTINCT p_brand AS owner, unnest(string_split(p_name, ' ') || [p_type]) AS tag FROM part),
         own AS (SELECT tag FROM tags WHERE owner = 'Brand#11'),
         sizes AS (SELECT owner, count(*) AS size FROM tags GROUP BY 1),
         reach AS (SELECT p_brand AS owner, count(DISTINCT l_orderkey) AS basket_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),

@@ -30,6 +30,8 @@ QUERIES = {
     "concentration_lorenz": lambda s, d: l.concentration(t.listens(s, d)),
     "discovery_weekly": lambda s, d: l.discovery(t.listens(s, d)),
     "taste_drift": lambda s, d: l.drift(t.listens(s, d)),
+    "discovery_monthly": lambda s, d: l.discovery(t.listens(s, d), "artist", "month"),
+    "taste_drift_monthly": lambda s, d: l.drift(t.listens(s, d), 8, "month"),
     "calendar_daily": lambda s, d: l.calendar(t.listens(s, d)),
     "chart_timing_lead": lambda s, d: l.chart_lead(t.listens(s, d), _charted(s, d), 20),
     "corpus_reference": lambda s, d: l.corpus_reference(t.listens(s, d), t.supplier_reach(s, d).where("owner <> 3")),
@@ -66,6 +68,11 @@ ORACLE = {
         SELECT * FROM w QUALIFY week > min(week) OVER (PARTITION BY user_id)""",
     "taste_drift": f"""WITH {PLAYS}, b AS (SELECT artist FROM plays GROUP BY 1 ORDER BY sum(ms) DESC, artist LIMIT 8)
         SELECT artist, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(sum(ms) AS BIGINT) AS ms FROM plays JOIN b USING (artist) GROUP BY ALL""",
+    "discovery_monthly": f"""WITH {PLAYS}, f AS (SELECT user_id, artist, min(ts) AS first FROM plays GROUP BY ALL),
+        w AS (SELECT user_id, CAST(date_trunc('month', first) AS DATE) AS month, count(*) AS discovered FROM f GROUP BY ALL)
+        SELECT * FROM w QUALIFY month > min(month) OVER (PARTITION BY user_id)""",
+    "taste_drift_monthly": f"""WITH {PLAYS}, b AS (SELECT artist FROM plays GROUP BY 1 ORDER BY sum(ms) DESC, artist LIMIT 8)
+        SELECT artist, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(sum(ms) AS BIGINT) AS ms FROM plays JOIN b USING (artist) GROUP BY ALL""",
     "calendar_daily": f"""WITH {PLAYS}, d AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(ms) AS BIGINT) AS ms FROM plays GROUP BY 1),
         c AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
         SELECT day, coalesce(ms, 0) AS ms FROM c LEFT JOIN d USING (day)""",

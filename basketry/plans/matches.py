@@ -71,7 +71,7 @@ def _substring(s, d):
 def _forensics(s, d):
     parts = t.table(s, d, "part")
     asked = parts.where("p_partkey < 12").select(F.col("p_partkey").alias("query_id"), F.split("p_name", " ")[1].alias("title"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_brand")).alias("artist"))
-    return m.forensics(asked, parts.where("p_size = 7").select(F.col("p_name").alias("r_title"), F.col("p_brand").alias("r_artist")))
+    return m.forensics(asked, parts.select(F.col("p_name").alias("r_title"), F.col("p_brand").alias("r_artist")))
 
 
 def _titles(s, d):
@@ -107,7 +107,23 @@ def _sets(s, d):
     return counts.withColumn("overlap_pct", F.round(F.col("common") * 100.0 / F.greatest("theirs", F.lit(1)), 2))
 
 
+def _variants(s, d):
+    names = t.rows(s, d).groupBy(F.col("title").alias("name")).agg(F.countDistinct("pid").alias("basket_count"))
+    found = [m.resolve_pattern(names, w).select(F.lit(w).alias("wanted"), "name", "basket_count") for w in ("r.d", "GIZMO", "t")]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def _candidates(s, d):
+    parts = t.table(s, d, "part")
+    asked = parts.select(F.upper("p_name").alias("title"), F.col("p_brand").alias("artist"), (F.col("p_partkey") % 17).cast("double").alias("fit"))
+    known = parts.select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title"), F.lower("p_brand").alias("artist"))
+    features = parts.where("p_size > 10").select(F.col("p_partkey").alias("uri"), (F.col("p_size") / 50).alias("energy"), F.round((F.col("p_retailprice") - 900) / 100, 4).alias("valence"))
+    return m.qualified_candidates(asked, known, features)
+
+
 QUERIES = {
+    "variant_resolver": _variants,
+    "candidate_dedup_qualify": _candidates,
     "spine_full_outer_flags": _spine,
     "coalesce_patch": _patch,
     "blank_backfill_flags": _backfill,
@@ -126,6 +142,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "variant_resolver": f"""WITH {ROWS}, n AS (SELECT title AS name, count(DISTINCT pid) AS basket_count FROM rows GROUP BY 1), w(wanted) AS (VALUES ('r.d'), ('GIZMO'), ('t')),
+        x AS (SELECT *, CASE WHEN lower(name) = lower(wanted) THEN 0 WHEN regexp_matches(lower(name), lower(wanted)) THEN 1 END AS prio FROM n, w)
+        SELECT wanted, name, basket_count FROM x WHERE prio IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY prio, basket_count DESC, name) = 1""",
+    "candidate_dedup_qualify": """WITH j AS (SELECT v.p_partkey AS uri, upper(c.p_name) AS title, c.p_brand AS artist, CAST(c.p_partkey % 17 AS DOUBLE) AS fit, v.p_size / 50 AS energy, round((v.p_retailprice - 900) / 100, 4) AS valence
+            FROM part c JOIN part v ON lower(c.p_name) = lower(v.p_name) AND lower(c.p_brand) = lower(v.p_brand) WHERE v.p_size > 10),
+        o AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY uri ORDER BY fit DESC, artist, title) = 1)
+        SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY artist ORDER BY fit DESC, uri) <= 5""",
     "spine_full_outer_flags": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.source, l.quality,
             CAST((CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE 0 END) | (CASE WHEN l.doc_id IS NOT NULL THEN 4 ELSE 0 END) AS INT) AS source_flags,
             CASE WHEN d.doc_id IS NULL THEN 'b_only' WHEN l.doc_id IS NULL THEN 'a_only' ELSE 'a+b' END AS match_method,
@@ -151,7 +174,7 @@ ORACLE = {
         WHERE o_orderstatus <> 'P' GROUP BY 1 HAVING min(year(o_orderdate)) BETWEEN 1996 AND 2001""",
     "substring_hits": """SELECT item_id AS query_id, count(DISTINCT doc_id) AS hits FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '' GROUP BY 1""",
     "substring_forensics": """WITH q AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[2] AS title, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS artist FROM part WHERE p_partkey < 12),
-        h AS (SELECT count(DISTINCT query_id) AS hits FROM part JOIN q ON p_size = 7 AND contains(lower(p_name), lower(title)) AND (artist = '' OR contains(lower(p_brand), lower(artist)))),
+        h AS (SELECT count(DISTINCT query_id) AS hits FROM part JOIN q ON contains(lower(p_name), lower(title)) AND (artist = '' OR contains(lower(p_brand), lower(artist)))),
         r AS (SELECT hits, (SELECT count(*) FROM q) AS total FROM h), p AS (SELECT *, round(hits * 100.0 / greatest(total, 1), 0) AS pct FROM r)
         SELECT *, CASE WHEN pct >= 70 THEN 'editorial' WHEN pct >= 40 THEN 'influenced' WHEN pct >= 20 THEN 'adjacent' ELSE 'original' END AS verdict FROM p""",
     "prefix_search_rank": """WITH t AS (SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_partkey * 7919 % 1009 AS rank, CAST(CASE WHEN starts_with(p_name, 're') THEN 0 ELSE 1 END AS INT) AS prio FROM part WHERE contains(p_name, 're')),

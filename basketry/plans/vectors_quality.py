@@ -14,13 +14,13 @@ def _vectors(s, d):
     return t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), F.col("embedding").alias("vector"))
 
 
-def _top(s, d, asked="id < 5"):
+def _top(s, d):
     vectors = _vectors(s, d).select("id", "vector")
-    return v.top_k(vectors, vectors.where(asked).toDF("query_id", "query"), 10)
+    return v.top_k(vectors, vectors.where("id % 100 = 0").toDF("query_id", "query"), 10)
 
 
 def _doppelganger(s, d):
-    parts = t.table(s, d, "part").where("p_size < 4").select((F.col("p_partkey") % 10).cast("int").alias("owner"), F.explode(F.split("p_name", " ")).alias("tag"))
+    parts = t.table(s, d, "part").select((F.col("p_partkey") % 10).cast("int").alias("owner"), F.explode(F.split("p_name", " ")).alias("tag"))
     tags = parts.groupBy("owner").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
     return v.doppelganger(_vectors(s, d), tags, 3)
 
@@ -60,9 +60,16 @@ def _guard(s, d):
     return q.blank_guard(titles, "name")
 
 
+def _lists(s, d):
+    """The ten vectors most like each one whose id is divisible by 100, by lists; the vector itself comes first."""
+    vectors = _vectors(s, d).select("id", "vector")
+    index, centres = v.list_index(vectors)
+    return v.search_lists(index, centres, vectors.where("id % 100 = 0").toDF("query_id", "query"), 10)
+
+
 QUERIES = {
+    "vector_lists_search": _lists,
     "vector_topk_cosine": _top,
-    "vector_topk_cosine_whole": lambda s, d: _top(s, d, "id % 100 = 0"),
     "vector_centroids": lambda s, d: v.centroids(_vectors(s, d), "owner").select("owner", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid")),
     "doppelganger_hybrid": _doppelganger,
     "transition_beam": lambda s, d: v.transition(s, _vectors(s, d).select("id", "vector"), 0, 7),
@@ -84,7 +91,7 @@ _CENTROIDS = """dims AS (SELECT label AS owner, generate_subscripts(embedding, 1
     means AS (SELECT owner, pos, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY ALL), mv AS (SELECT owner, list(x ORDER BY pos) AS m FROM means GROUP BY 1),
     cent AS (SELECT owner, [x / sqrt(list_sum([y * y for y in m])) for x in m] AS centroid FROM mv)"""
 ORACLE = {
-    "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id < 5 AND e.vec_id <> q.vec_id),
+    "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         s AS (SELECT query_id, id, round({_SIM}, 6) AS similarity FROM p)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""",
     "vector_centroids": f"WITH {_CENTROIDS} SELECT owner, [round(x, 6) for x in centroid] AS centroid FROM cent",
@@ -92,7 +99,7 @@ ORACLE = {
         o AS (SELECT vec_id AS id, label AS owner, embedding AS a, b FROM embeddings, own WHERE label <> 3), s AS (SELECT id, owner, round({_SIM}, 6) AS s FROM o ORDER BY s DESC, id LIMIT 300),
         r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY s DESC, id) AS r FROM s),
         p AS (SELECT owner, avg(s) FILTER (r <= 3) AS e, count(*) AS support FROM r GROUP BY 1),
-        tg0 AS (SELECT DISTINCT CAST(p_partkey % 10 AS INT) AS owner, unnest(string_split(p_name, ' ')) AS tag FROM part WHERE p_size < 4),
+        tg0 AS (SELECT DISTINCT CAST(p_partkey % 10 AS INT) AS owner, unnest(string_split(p_name, ' ')) AS tag FROM part),
         tg AS (SELECT owner, list(tag ORDER BY tag)[1:8] AS tags FROM tg0 GROUP BY 1), mine AS (SELECT tags AS m FROM tg WHERE owner = 3),
         j AS (SELECT p.owner, e, support, CASE WHEN len(list_distinct(coalesce(tags, []) || m)) = 0 THEN 0.0 ELSE len(list_intersect(coalesce(tags, []), m)) / len(list_distinct(coalesce(tags, []) || m)) END AS g FROM p LEFT JOIN tg ON tg.owner = p.owner, mine)
         SELECT owner, round(e * CAST(0.72 AS DOUBLE) + g * (1 - CAST(0.72 AS DOUBLE)), 4) AS similarity, round(e, 4) AS embedding_similarity, round(g, 4) AS tag_similarity, support
@@ -107,4 +114,3 @@ ORACLE = {
     "table_audit": "SELECT p_type, count(*) AS rows, count(*) FILTER (p_size > 25) AS flagged, round(avg(p_size), 3) AS mean, min(p_size) AS least, max(p_size) AS most FROM part GROUP BY 1",
     "inverted_index_search": """SELECT p_partkey AS id, CAST(2 AS BIGINT) AS score, p_partkey * 7919 % 1009 AS rank FROM part WHERE p_name = 'red widget' ORDER BY rank, id LIMIT 10""",
 }
-ORACLE["vector_topk_cosine_whole"] = ORACLE["vector_topk_cosine"].replace("q.vec_id < 5", "q.vec_id % 100 = 0")

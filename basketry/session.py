@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -11,11 +12,11 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, so that workers can import it."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
-        return
+        return spark
     _SHIPPED.add(sc.applicationId)
     here = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="basketry-", suffix=".zip")
@@ -26,14 +27,18 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a local one is made."""
+    """The shared folder of spark.checkpoint.dir; only where it is unset and the master is local (tests, one machine) a local one is made."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="basketry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from basketry.plans import merges, registry, vectors_quality
+from basketry.plans import registry, vectors_quality
 
 from .oracle import connect, differences
 
@@ -54,18 +54,43 @@ def test_clusters_cover_all_vectors(spark):
     assert sum(r["size"] for r in registry.queries()["umap_substitute_clusters"](spark, SF).collect()) == n
 
 
-def test_whole_queries_leave_no_rows_out(spark):
+def test_queries_read_whole_tables(spark):
     q = registry.queries()
     parts, orders, items = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("part", "orders", "lineitem"))
-    assert q["fill_empty_lists_whole"](spark, SF).count() == parts.count()
-    assert q["coerced_key_patch_whole"](spark, SF).count() == q["two_hop_counts_whole"](spark, SF).count() == orders.count()
-    assert q["song_passport_whole"](spark, SF).count() == items.select("l_partkey").distinct().count()
-    for name in ("playlist_profile_whole", "title_roast_whole"):
+    assert q["fill_empty_lists"](spark, SF).count() == parts.count()
+    assert q["coerced_key_patch"](spark, SF).count() == q["two_hop_counts"](spark, SF).count() == orders.count()
+    assert q["song_passport"](spark, SF).count() == items.select("l_partkey").distinct().count()
+    for name in ("playlist_profile", "title_roast"):
         assert q[name](spark, SF).select("id").distinct().count() == parts.count()
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").count()
-    assert q["vector_topk_cosine_whole"](spark, SF).count() == 10 * asked
-    for name in merges.SLICES:
-        assert "true" in registry.oracle_sql()[f"{name}_whole"] and merges.SLICES[name] not in registry.oracle_sql()[f"{name}_whole"]
+    assert q["vector_topk_cosine"](spark, SF).count() == 10 * asked
+
+
+def test_lists_find_what_all_vectors_have(spark):
+    q = registry.queries()
+    sf = "/root/testdata/sf0.01"
+    found = q["vector_lists_search"](spark, sf).collect()
+    asked = {r["query_id"] for r in found}
+    assert all(r["id"] == r["query_id"] for r in found if r["rank"] == 1) and len(asked) > 3
+    exact = {(r["query_id"], r["id"]) for r in q["vector_topk_cosine"](spark, sf).where("rank < 10").collect()}
+    got = {(r["query_id"], r["id"]) for r in found if r["rank"] > 1}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_substrings_by_brute_force(spark):
+    from basketry.operators import matching
+
+    texts = [(1, "An Apple a day"), (2, None), (3, ""), (4, "apple apple"), (4, "pie")]
+    asked = [(1, "APPLE"), (2, "a d"), (3, ""), (4, None), (5, "apple"), (6, "zzz")]
+    got = matching.substring_hits(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(asked, "query_id int, query string"))
+    assert {(r["query_id"], r["hits"]) for r in got.collect()} == {(1, 2), (2, 1), (5, 2)}
+
+
+def test_patterns_that_are_none_are_looked_for_as_they_stand(spark):
+    from basketry.operators import matching
+
+    names = spark.createDataFrame([("Sm(le", 3), ("smile", 9), ("Smi", 1)], "name string, basket_count int")
+    assert [matching.resolve_pattern(names, w).first()["name"] for w in ("m(", "s.i", "SMI", "i")] == ["Sm(le", "smile", "Smi", "smile"]
 
 
 def test_soundtrack_takes_the_whole_pool(spark, monkeypatch):
