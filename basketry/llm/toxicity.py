@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, words: int = 3
         over_batches(sample, "word string, toxic int, n long", make)
         .groupBy("word")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where((F.col("bad") >= max(8, bad // 200)) & (F.col("bad") > 2 * F.col("good")))
+        .where(F.col("bad") >= max(5, bad // 100))
         .select("word", lift.alias("lift"), "bad")
         .where("lift > 2")
         .orderBy(F.desc("bad"), F.desc("lift"), "word")
@@ -210,8 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 12_000, words: int = 3
 def score(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> DataFrame:
     """(doc_id, score): the probability of label 1 of every whole text; null and empty texts get that of no match.
 
-    The score reads the text alone. Labels that are null, or of documents not in docs, are passed over; with
-    fewer than ten labels of a kind the grammar's own weights hold. An empty table gives no rows.
+    The score reads the text alone, of any length. Labels that are null, or of documents not in docs, are passed over; with
+    fewer than ten labels of a kind the grammar's own weights hold. Equal texts have equal scores, and repeated rows are each answered.
+    An empty table gives no rows; other columns are passed over.
     """
     ready(docs.sparkSession)
     extra, weights, constant = learn(docs, labels, rows)
@@ -224,7 +225,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores below threshold, with all their columns, scored in place."""
+    """The rows of docs whose text scores below threshold, with all their columns, scored in place; null texts and repeated rows as in score."""
     ready(docs.sparkSession)
     extra, weights, constant = learn(docs, labels)
 
@@ -237,6 +238,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
 
 
 def op2_toxicity(spark, sf_dir):
+    """Each document's score and whether it is called toxic. Null and empty texts score as texts without a match; a null doc_id is not held
+    out; equal texts score alike; repeated rows are each answered; an empty table gives no rows."""
     docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
     scored = score(docs, labels)
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -422,6 +422,51 @@ def test_held_out_toxicity(spark):
     assert sum(b > g for b in bad for g in good) > 0.85 * len(bad) * len(good)
 
 
+@given(st.lists(st.integers(0, 5), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_the_composed_machine_is_its_transducers_in_turn(symbols):
+    """Each transducer rewrites the whole tape of the one before; what is left of insults and threats is what the machine counts."""
+    tape = list(symbols)
+    for start, _, step in ((0, 2, toxicity._reported), toxicity._near(toxicity.NEGATION, "negated", 3), toxicity._near(toxicity.TARGET, "targeted", 4)):
+        state, written = start, []
+        for x in tape:
+            state, y = step(state, x)
+            written.append(y)
+        tape = written
+    of = {toxicity.INSULT: "insult", toxicity.THREAT: "threat"} | {y: name for name, pair in toxicity.MARKED.items() for y in pair}
+    want = [of.get(x) and (of[x] if of[x] != "targeted" else f"targeted {'insult' if x == toxicity.MARKED['targeted'][0] else 'threat'}") for x in tape]
+    follow, kind = toxicity.machine()
+    state, got = 0, []
+    for x in symbols:
+        k = kind[state * 6 + x]
+        got.append(toxicity.KINDS[k] if k >= 0 else None)
+        state = follow[state * 6 + x]
+    assert got == want
+
+
+def test_clauses_decide_where_labels_say_so(spark):
+    """The same insults in every text; only the clause around them tells toxic ones from others."""
+    rng = random.Random(9)
+    insults = ["moron", "idiot", "clown", "loser"]
+    forms = [("you are such a {}", 1), ("this was never a {}", 0), ("anna said the {} left", 0), ("you stupid {}", 1)]
+    rows = []
+    for i in range(400):
+        form, toxic = forms[i % 4]
+        rows.append((i, f"some words {rng.randrange(99)}. {form.format(rng.choice(insults))}. and more", toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert all((scores[i] >= 0.3) == bool(toxic) for i, _, toxic in rows)
+
+
+def test_toxicity_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    rows = toxicity.op2_toxicity(spark, sf).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    for lang in ("en", "de", "fr", "es"):
+        bad, good = ([r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(bad) >= 0.8 * len(bad) > 0 and sum(good) <= 0.05 * len(good)
+
+
 def test_clause_grammar():
     grammar = toxicity.Grammar({"zorp": 2.0})
     kinds = lambda t: {k for k, c in zip((*toxicity.KINDS, "share"), grammar.features(t), strict=True) if c and k != "share"}
