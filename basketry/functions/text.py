@@ -130,6 +130,23 @@ def url_to_uri(url: Column) -> Column:
     return F.concat_ws(":", F.element_at(path, -2), F.element_at(path, -1))
 
 
+def list_id(c: Column) -> Column:
+    """The 22 letters and digits that name a playlist in its address or URI, or alone; null without such."""
+    named, bare = (F.regexp_extract(F.trim(c), p, 1) for p in (r"playlist[/:]([A-Za-z0-9]{22})", r"^([A-Za-z0-9]{22})$"))
+    return F.when(named != "", named).when(bare != "", bare)
+
+
+def first_name(c: Column) -> Column:
+    """The first of several names between commas."""
+    return F.trim(F.get(F.split(c, ","), F.lit(0)))
+
+
+def themed(terms: DataFrame, wanted: str | None, limit: int) -> DataFrame:
+    """The limit most frequent of title_terms, of one theme (without regard to case) or, for None, of any."""
+    some = terms if wanted is None else terms.where(F.lower("theme") == wanted.lower())
+    return some.orderBy(F.desc("count"), "term").limit(limit)
+
+
 def unfence(c: Column) -> Column:
     """JSON text without the code fences around it."""
     return F.regexp_replace(c, r"^\s*(?:```(?:json)?)?\s*|\s*(?:```)?\s*$", "")

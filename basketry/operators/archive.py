@@ -78,6 +78,19 @@ def forgotten(removed: DataFrame, charts: DataFrame, key: str, as_of: str, min_d
     return best.join(charts, key, "left")
 
 
+def removed_list(removed: DataFrame, by: str, limit: int, ties: list[str]) -> DataFrame:
+    """The limit removed rows that stayed longest (by longest) or went last (by recent; any other word too), nulls last, ties by the given columns."""
+    first = F.desc_nulls_last("days_on" if by == "longest" else "date_removed")
+    return removed.orderBy(first, *ties).limit(limit)
+
+
+def named_capsule(rows: DataFrame, names: DataFrame, wanted: str) -> DataFrame:
+    """Rows (playlist, added, ...) with a known date in the playlists (playlist, name) whose name contains wanted without regard to
+    case, without those that are no music. This is what a name that era does not know stands for."""
+    found = music_only(names.where(F.contains(F.lower("name"), F.lit(wanted.strip().lower()))), None, "name")
+    return rows.where(F.col("added").isNotNull()).join(found, "playlist")
+
+
 def era_tracks(spine: DataFrame, years: DataFrame, more_years: DataFrame, last: int) -> DataFrame:
     """spine (id, ...) with release_year from years, else more_years, and year_source; years past last are dropped, not clamped."""
     joined = spine.join(years.select("id", F.col("year").alias("y1")), "id", "left").join(more_years.select("id", F.col("year").alias("y2")), "id", "left")
@@ -166,6 +179,16 @@ def habitat_scores(tags: DataFrame, vocabulary: dict[str, list[str]], full: floa
     return tags.select("owner", F.explode(F.array(*out)).alias("s")).select("owner", "s.context", "s.score")
 
 
+def tag_only(own: DataFrame, scores: DataFrame, listeners: DataFrame, per: int = 1000) -> DataFrame:
+    """(owner, basket_count, context, pct): owners that own (owner) lacks, without regard to case, and that have any tag score; a
+    basket stands for per of their listeners (owner, listeners)."""
+    known = own.select(F.lower("owner").alias("_low")).distinct()
+    fresh = scores.join(known, F.lower("owner") == F.col("_low"), "left_anti")
+    some = fresh.where("score > 0").select("owner").distinct()
+    count = F.floor(F.coalesce("listeners", F.lit(0)) / per).cast("bigint")
+    return fresh.join(some, "owner", "left_semi").join(listeners, "owner", "left").select("owner", count.alias("basket_count"), "context", F.col("score").alias("pct"))
+
+
 def blend_scores(own: DataFrame, tags: DataFrame, weight: float = 0.7) -> DataFrame:
     """own (owner, context, pct) with tag scores blended in where there are any; owners with tags alone come with those."""
     both = own.join(tags, ["owner", "context"], "full")

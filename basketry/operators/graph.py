@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_dir
+from .stats import ladder
+
+# What the shared share, and the number of shared baskets, of two nodes say.
+OVERLAPS = [(30, "highly_entangled"), (15, "frequent_companions"), (5, "occasional_neighbors"), (0, "parallel_universes")]
+COLLISIONS = [(10_000, "direct_collision"), (2_000, "frequent_proximity"), (500, "occasional_contact"), (0, "parallel_orbits")]
 
 
 def cooccurrence(rows: DataFrame, basket: str, node: str, min_shared: int = 1, top: int | None = None) -> DataFrame:
@@ -60,8 +65,7 @@ def overlap(edges: DataFrame, counts: DataFrame, pairs: list[tuple]) -> DataFram
     reach = counts.select(F.col("owner"), "basket_count")
     found = edges.where(wanted).join(reach.toDF("a", "ca"), "a").join(reach.toDF("b", "cb"), "b")
     pct = F.round(F.col("weight") * 100.0 / F.greatest(F.least("ca", "cb"), F.lit(1)), 2)
-    verdict = F.when(F.col("overlap_pct") >= 30, "twins").when(F.col("overlap_pct") >= 15, "neighbours").when(F.col("overlap_pct") >= 5, "acquaintances").otherwise("strangers")
-    return found.select("a", "b", F.col("weight").alias("shared"), pct.alias("overlap_pct")).withColumn("verdict", verdict)
+    return found.select("a", "b", F.col("weight").alias("shared"), pct.alias("overlap_pct")).withColumn("verdict", ladder(F.col("overlap_pct"), OVERLAPS))
 
 
 def collision(edges: DataFrame, counts: DataFrame, a, b, k: int = 8) -> DataFrame:
@@ -75,11 +79,40 @@ def collision(edges: DataFrame, counts: DataFrame, a, b, k: int = 8) -> DataFram
     return joined.orderBy(F.desc("score"), F.desc("basket_count"), "dst").limit(k).select(F.col("dst").alias("bridge"), "wa", "wb", "score", "basket_count")
 
 
+def collision_verdict(edges: DataFrame, a, b) -> DataFrame:
+    """One row: the baskets that a and b share (0 without an edge), how many neighbours they have in common, and a verdict."""
+    near = neighbours(edges, [a, b])
+    shared = near.agg(F.coalesce(F.max(F.when((F.col("src") == F.lit(a)) & (F.col("dst") == F.lit(b)), F.col("weight"))), F.lit(0)).alias("shared"))
+    common = near.where(~F.col("dst").isin([a, b])).groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n = 2").agg(F.count(F.lit(1)).alias("bridge_count"))
+    return shared.crossJoin(common).withColumn("verdict", ladder(F.col("shared"), COLLISIONS))
+
+
+def common_ground(edges: DataFrame, seeds: list) -> DataFrame:
+    """One row: the nodes that blend takes from, all neighbours of the seeds (seeds among them), and the first's share of the second."""
+    n = len(seeds)
+    per = neighbours(edges, seeds).groupBy("dst").agg(F.count(F.lit(1)).alias("hits"))
+    other = ~F.col("dst").isin(list(seeds))
+    counts = per.agg(F.count_if(other & (F.col("hits") == n)).alias("full"), F.count_if(other & (F.col("hits") >= max(1, n // 2))).alias("some"), F.count(F.lit(1)).alias("neighbours"))
+    common = F.when(F.col("full") > 0, F.col("full")).otherwise(F.col("some"))
+    return counts.select(common.alias("common"), "neighbours", F.round(common * 100.0 / F.greatest("neighbours", F.lit(1)), 1).alias("pct"))
+
+
+def blend_items(blended: DataFrame, top_items: DataFrame, per: int = 2, most: int = 12) -> DataFrame:
+    """(rank, title, node, blend_score): the first per titles (owner, top_items) of each blended node in turn, until there are most.
+
+    Blended nodes are few, so they are numbered in one task.
+    """
+    few = blended.join(top_items, F.col("node") == F.col("owner")).withColumn("few", F.slice("top_items", 1, per))
+    before = F.coalesce(F.sum(F.size("few")).over(W.orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = few.withColumn("before", before).where(F.col("before") < most)
+    return taken.select("before", "node", "blend_score", F.posexplode("few").alias("i", "title")).select((F.col("before") + F.col("i") + 1).alias("rank"), "title", "node", "blend_score")
+
+
 def blend(edges: DataFrame, seeds: list, k: int = 10) -> DataFrame:
     """The k nodes that blend the seeds best: common neighbours by n-ary harmonic mean of their weights.
 
     Where no node neighbours all seeds, those of at least half of them take part, with score 0. Scores are
-    relative to the best one, or to 1 where that is less.
+    relative to the best one, or to 1 where that is less. place counts them from 1.
     """
     n = len(seeds)
     found = neighbours(edges, seeds).where(~F.col("dst").isin(list(seeds)))
@@ -88,9 +121,9 @@ def blend(edges: DataFrame, seeds: list, k: int = 10) -> DataFrame:
     pool = per.crossJoin(F.broadcast(full)).where(F.when(F.col("full") == 1, F.col("hits") == n).otherwise(F.col("hits") >= max(1, n // 2)))
     scored = pool.withColumn("h", F.when(F.col("hits") == n, n / F.col("inverse")).otherwise(0.0))
     top = scored.select(F.greatest(F.max("h"), F.lit(1.0)).alias("top"))
-    return scored.crossJoin(F.broadcast(top)).orderBy(F.desc(F.round("h", 6)), "dst").limit(k).select(
-        F.col("dst").alias("node"), F.col("hits").cast("bigint").alias("hits"), F.round(F.col("h") / F.col("top"), 3).alias("blend_score")
-    )
+    order = [F.desc(F.round("h", 6)), F.col("dst")]
+    best = scored.crossJoin(F.broadcast(top)).orderBy(*order).limit(k).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("bigint"))
+    return best.select("place", F.col("dst").alias("node"), F.col("hits").cast("bigint").alias("hits"), F.round(F.col("h") / F.col("top"), 3).alias("blend_score"))
 
 
 def strongest(edges: DataFrame, fan: int) -> DataFrame:

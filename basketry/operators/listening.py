@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .stats import placed
+
 SHORT = 2000
 
 
@@ -41,6 +43,23 @@ def top(plays: DataFrame, what: str, k: int = 10) -> DataFrame:
     return best.join(busiest, what)
 
 
+def top_detail(plays: DataFrame, what: str, k: int = 10) -> DataFrame:
+    """The k of a kind with most ms, with plays, the share of shuffled plays (null where none is known), the platform with most plays
+    (ties by name), and ms an active day. plays: also shuffle and platform."""
+    per = plays.groupBy(what).agg(
+        F.sum("ms").alias("ms"), F.count(F.lit(1)).alias("plays"), F.round(F.avg(F.col("shuffle").cast("int")), 4).alias("shuffle_rate"), F.countDistinct(F.to_date("ts")).alias("active_days")
+    )
+    best = per.orderBy(F.desc("ms"), what).limit(k)
+    where = plays.join(F.broadcast(best.select(what)), what).where(F.col("platform").isNotNull()).groupBy(what, "platform").agg(F.count(F.lit(1)).alias("n"))
+    first = where.groupBy(what).agg(F.min_by("platform", F.struct(-F.col("n"), "platform")).alias("platform"))
+    return best.join(first, what, "left").withColumn("ms_per_day", F.round(F.col("ms") / F.col("active_days"), 1))
+
+
+def session_summary(found: DataFrame) -> DataFrame:
+    """Per user of sessions: how many, and the median and longest of their minutes."""
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.percentile("minutes", F.lit(0.5)).alias("median_minutes"), F.max("minutes").alias("longest_minutes"))
+
+
 def sessions(plays: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """(user_id, session, start, start_hour, plays, ms, minutes): a gap of more than so many minutes starts a session."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -77,13 +96,9 @@ def obsessions(plays: DataFrame, days: int = 14, least: int = 2) -> DataFrame:
 
 
 def concentration(plays: DataFrame) -> DataFrame:
-    """The Lorenz curve of artists by ms: rank, share of artists and of ms, with the artists that make half and the top ten's share.
-
-    One row an artist is left before the window over all of them.
-    """
+    """The Lorenz curve of artists by ms: rank, share of artists and of ms, with the artists that make half and the top ten's share."""
     per = plays.groupBy("artist").agg(F.sum("ms").alias("ms"))
-    w = W.orderBy(F.desc("ms"), "artist")
-    run = per.withColumn("rank", F.row_number().over(w)).withColumn("running", F.sum("ms").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = placed(per, [F.desc("ms"), F.col("artist")], "ms").withColumnRenamed("place", "rank")
     sums = per.select(F.sum("ms").alias("all_ms"), F.count(F.lit(1)).alias("n"))
     curve = run.crossJoin(F.broadcast(sums))
     half = curve.select(F.min(F.when(F.col("running") * 2 >= F.col("all_ms"), F.col("rank"))).alias("artists_for_half"), F.round(F.max(F.when(F.col("rank") <= 10, F.col("running") * 100.0 / F.col("all_ms"))), 2).alias("top10_share"))
@@ -133,6 +148,11 @@ def corpus_reference(plays: DataFrame, reach: DataFrame, k: int = 8) -> DataFram
     return best.join(reach, best["artist"] == reach["owner"], "left").select("artist", "ms", "basket_count", F.col("owner").isNull().alias("absent"))
 
 
+def reference_summary(found: DataFrame) -> DataFrame:
+    """One row for the artists of corpus_reference: how many, how many of them the corpus knows, and the mean reach of those, null without one."""
+    return found.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("absent")).alias("matched"), F.round(F.avg("basket_count"), 3).alias("mean_reach"))
+
+
 def neighbouring_regions(points: DataFrame, k: int = 14) -> DataFrame:
     """Distances between the centroids of the k largest regions, nearest first for each; k is fixed, so pairs are few."""
     centroids = points.groupBy("region").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "region").limit(k)

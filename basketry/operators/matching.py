@@ -12,6 +12,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..session import ship
+from .stats import ladder
+
+# What the share of a list's tracks that a reference holds says, and of a list that is itself known.
+REFERENCE_OVERLAPS = [(70, "high_reference_overlap"), (40, "moderate_reference_overlap"), (20, "some_reference_overlap"), (0, "low_reference_overlap")]
+KNOWN_LIST = "known_editorial_playlist"
 
 # The bit of each source in source_flags.
 SOURCE_BITS = {"a": 1, "b": 4}
@@ -146,8 +151,15 @@ def forensics(submission: DataFrame, reference: DataFrame) -> DataFrame:
     low = lambda *names: [F.lower(n).alias(n) for n in names]
     hits = reference.select(*low("r_title", "r_artist")).join(F.broadcast(submission.select("query_id", *low("title", "artist"))), on).agg(F.countDistinct("query_id").alias("hits"))
     pct = F.round(F.col("hits") * 100.0 / F.greatest("total", F.lit(1)), 0)
-    verdict = F.when(F.col("pct") >= 70, "editorial").when(F.col("pct") >= 40, "influenced").when(F.col("pct") >= 20, "adjacent").otherwise("original")
-    return hits.crossJoin(total).select("hits", "total", pct.alias("pct")).withColumn("verdict", verdict)
+    return hits.crossJoin(total).select("hits", "total", pct.alias("pct")).withColumn("verdict", ladder(F.col("pct"), REFERENCE_OVERLAPS))
+
+
+def known_or_forensics(list_id, known: DataFrame, submission: DataFrame, reference: DataFrame) -> DataFrame:
+    """forensics of the submission, but for a list_id that known (list_id, num_tracks) holds: all of its tracks then count, without a look at them."""
+    found = known.where(F.col("list_id") == F.lit(list_id)).select(F.max("num_tracks").cast("bigint").alias("n")).first()["n"]
+    if found is None:
+        return forensics(submission, reference)
+    return known.sparkSession.range(1).select(*(F.lit(found).cast("bigint").alias(c) for c in ("hits", "total")), F.lit(100.0).alias("pct"), F.lit(KNOWN_LIST).alias("verdict"))
 
 
 def resolve_pattern(names: DataFrame, wanted: str, by: str = "basket_count") -> DataFrame:
@@ -176,13 +188,16 @@ def qualified_candidates(candidates: DataFrame, vocabulary: DataFrame, features:
     return once.withColumn("r", place).where(F.col("r") <= per_artist).select("uri", "title", "artist", "fit", "energy", "valence")
 
 
-def resolve(names: DataFrame, wanted: str, by: str = "basket_count", least: int = 3) -> DataFrame:
-    """The row that a name means: equal without regard to case, else the one with the greatest count that contains it.
+def resolve(names: DataFrame, wanted: str, by: str = "basket_count", least: int = 3, uri=None) -> DataFrame:
+    """The row that a name means: of that uri where one is given and known, else equal without regard to case, else the one with
+    the greatest count that contains it.
 
     Names shorter than least are looked for only as a whole.
     """
     low = F.lower("name")
     rank = F.when(low == wanted.lower(), 0).when(F.contains(low, F.lit(wanted.lower())) & F.lit(len(wanted) >= least), 1)
+    if uri is not None:
+        rank = F.when(F.col("uri") == F.lit(uri), -1).otherwise(rank)
     return names.withColumn("prio", rank).where("prio IS NOT NULL").orderBy("prio", F.desc(by), "name").limit(1).drop("prio")
 
 
@@ -240,6 +255,35 @@ def by_id_else_name(rows: DataFrame, lookup: DataFrame, value: str) -> DataFrame
     return joined.select(*rows.columns, F.coalesce("_by_id", "_by_name").alias(value))
 
 
+def standing(full: DataFrame, slim: DataFrame, wanted: str, least: int = 3) -> DataFrame:
+    """(name, basket_count, rank, detail_level): the row of full that a name means, as full, else that of slim, the wider and plainer
+    ranking, as rank_only: equal without regard to case, else the best-ranked that contains it. No rows where neither knows it."""
+    names = ["name", "basket_count", "rank"]
+    best = resolve(full, wanted, "basket_count", least).select(*names, F.lit("full").alias("detail_level"), F.lit(0).alias("_o"))
+    low = F.lower("name")
+    prio = F.when(low == wanted.lower(), 0).when(F.contains(low, F.lit(wanted.lower())) & F.lit(len(wanted) >= least), 1)
+    plain = slim.withColumn("_p", prio).where("_p IS NOT NULL").orderBy("_p", "rank", "name").limit(1).select(*names, F.lit("rank_only").alias("detail_level"), F.lit(1).alias("_o"))
+    return best.unionAll(plain).orderBy("_o").limit(1).drop("_o")
+
+
+def fill_by_map(rows: DataFrame, mapping: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with null values of column taken from mapping (key, column); of a key's values the least counts."""
+    once = mapping.where(F.col(column).isNotNull()).groupBy(key).agg(F.min(column).alias("_new"))
+    return rows.join(once, key, "left").select(*(F.coalesce(c, "_new").alias(c) if c == column else F.col(c) for c in rows.columns))
+
+
+def with_first_tag(vocabulary: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """vocabulary with top_tag, the first of its key's tags (key, tags, rank); of a key's rows the one of the least rank counts, null without tags."""
+    once = tags.groupBy(key).agg(F.min_by("tags", F.struct("rank", "tags")).alias("_tags"))
+    return vocabulary.join(once, key, "left").withColumn("top_tag", F.get("_tags", F.lit(0))).drop("_tags")
+
+
+def known_flags(flags: Column, names: dict[str, int]) -> Column:
+    """The names of the bits that are set, in order of their bits."""
+    each = F.array(*(F.when(flags.bitwiseAND(F.lit(bit)) != 0, name) for name, bit in sorted(names.items(), key=lambda x: x[1])))
+    return F.array_compact(each)
+
+
 def best_of_sources(sources: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
     """The rows of several sources, with columns that one lacks as null, and of a key the first in the given order."""
     whole = sources[0]

@@ -26,6 +26,15 @@ def collisions(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(value).alias("values"), F.count(F.lit(1)).alias("rows")).where("values > 1")
 
 
+def flag_report(df: DataFrame, flag: str, keys: list[str], required: list[str]) -> DataFrame:
+    """Per value of flag: rows, rows whose keys come again anywhere, and nulls of each required column."""
+    again = duplicates(df, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias("_again"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(again, on, "left").groupBy(flag).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_again").alias("repeated"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required)
+    )
+
+
 def blank_guard(df: DataFrame, column: str, most: float = 0.05) -> DataFrame:
     """One row: rows, blank values, their share, and whether that is within bounds."""
     empty = F.length(F.trim(F.coalesce(F.col(column), F.lit("")))) == 0

@@ -1,6 +1,6 @@
 """Reach, rank, top-list and distribution statistics of items and owners over baskets.
 
-Windows without a partition stand only after an aggregation to one row per owner or term, never over facts.
+Windows without a partition run only over counts of values, terms or tasks, never over facts or owners.
 """
 
 from __future__ import annotations
@@ -9,6 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text
+from ..session import checkpoint_dir
+
+# The standing of an owner by its percentile.
+STANDINGS = [(90, "top_decile"), (75, "high_reach"), (50, "above_median_reach"), (0, "focused_reach")]
+#: The rank of what no ranking knows, the greatest int.
+UNRANKED = 2147483647
+
+
+def ladder(value: Column, steps: list[tuple[float, str]]) -> Column:
+    """The name of the first step that value reaches; the last step's name for all others, null too."""
+    out = F.lit(steps[-1][1])
+    for least, name in reversed(steps[:-1]):
+        out = F.when(value >= least, name).otherwise(out)
+    return out
+
+
+def placed(rows: DataFrame, order: list[Column], total: str | None = None) -> DataFrame:
+    """rows with place, counted from 1 in the given order (make it total), and running, the sum of column total up to there.
+
+    Rows are sorted by range over all tasks and held, so that no task takes them all; what runs over them at one place are
+    the tasks' own counts and sums alone.
+    """
+    checkpoint_dir(rows.sparkSession)
+    held = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    held = held.withColumn("_part", F.shiftright("_at", 33))
+    sums = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), *([F.sum(total).alias("_sum")] if total else []))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums.columns[1:]))
+    out = held.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_rows_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    if total:
+        within = F.sum(total).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow))
+        out = out.withColumn("running", F.col("_sum_before") + within)
+    return out.select(*rows.columns, "place", *(["running"] if total else []))
+
 
 def share(part: Column, whole: Column, digits: int) -> Column:
     """part / whole as a percentage; integers first, so that both engines round the same value."""
@@ -30,12 +65,8 @@ def reach(joined: DataFrame, owner: str, basket: str) -> DataFrame:
 def reach_rank(joined: DataFrame, owner: str, basket: str) -> DataFrame:
     """Distinct baskets per owner, their share of all baskets, and the rank (ties by owner)."""
     total = joined.select(F.countDistinct(basket).alias("total"))
-    return reach(joined, owner, basket).crossJoin(F.broadcast(total)).select(
-        "owner",
-        "basket_count",
-        share(F.col("basket_count"), F.col("total"), 3).alias("basket_pct"),
-        F.row_number().over(W.orderBy(F.desc("basket_count"), "owner")).cast("bigint").alias("rank"),
-    )
+    ranked = placed(reach(joined, owner, basket), [F.desc("basket_count"), F.col("owner")])
+    return ranked.crossJoin(F.broadcast(total)).select("owner", "basket_count", share(F.col("basket_count"), F.col("total"), 3).alias("basket_pct"), F.col("place").alias("rank"))
 
 
 def top_items(joined: DataFrame, owner: str, basket: str, item: str, title: str, k: int = 5) -> DataFrame:
@@ -105,16 +136,21 @@ def signal_rank(signals: dict[str, DataFrame], name: str) -> DataFrame:
     count = sum((F.col(f"{s}_pr").isNotNull().cast("int") for s in signals), F.lit(0))
     mean = sum((F.coalesce(F.col(f"{s}_pr"), F.lit(0.0)) for s in signals), F.lit(0.0)) / F.nullif(F.col("signal_count"), F.lit(0))
     out = out.withColumn("signal_count", count).withColumn("current_pct", F.round(mean * 100, 3))
-    rank = F.row_number().over(W.orderBy(F.desc_nulls_last("current_pct"), name)).cast("bigint")
-    return out.select(name, *signals, "signal_count", "current_pct", rank.alias("current_rank"))
+    ranked = placed(out.select(name, *signals, "signal_count", "current_pct"), [F.desc_nulls_last("current_pct"), F.col(name)])
+    return ranked.withColumnRenamed("place", "current_rank")
 
 
 def rank_percentile(ranked: DataFrame) -> DataFrame:
     """basicness = (1 - (rank - 1) / N) * 100, with a verdict."""
     n = ranked.select(F.count(F.lit(1)).alias("n"))
     p = F.round((1 - (F.col("rank") - 1) * 1.0 / F.col("n")) * 100, 1)
-    status = F.when(F.col("basicness") >= 90, "main character").when(F.col("basicness") >= 75, "supporting lead").when(F.col("basicness") >= 50, "recurring").otherwise("extra")
-    return ranked.crossJoin(F.broadcast(n)).select("owner", "rank", p.alias("basicness")).withColumn("status", status)
+    return ranked.crossJoin(F.broadcast(n)).select("owner", "rank", p.alias("basicness")).withColumn("status", ladder(F.col("basicness"), STANDINGS))
+
+
+def main_character(ranked: DataFrame, neighbours: DataFrame, listeners: DataFrame, k: int = 5) -> DataFrame:
+    """rank_percentile with each owner's first k neighbours (owner, neighbours) and its listeners (owner, listeners); null where unknown."""
+    near = neighbours.select("owner", F.slice("neighbours", 1, k).alias("neighbours"))
+    return rank_percentile(ranked).join(near, "owner", "left").join(listeners, "owner", "left")
 
 
 def cdf_scores(terms: DataFrame) -> DataFrame:
@@ -143,8 +179,8 @@ def middle_half(terms: DataFrame, least: int = 10) -> DataFrame:
 
 
 def region_rollup(points: DataFrame, label: str, value: str) -> DataFrame:
-    """Per label: rows, sum, mean, and the name of the first row by id."""
-    return points.groupBy(label).agg(
+    """Per label: its slug, rows, sum, mean, and the name of the first row by id."""
+    return points.groupBy(label, F.lower(F.replace(F.col(label), F.lit(" "), F.lit("_"))).alias("slug")).agg(
         F.count(F.lit(1)).alias("clusters"),
         F.sum(value).alias("total"),
         F.round(F.avg(value), 4).alias("mean"),
@@ -159,6 +195,47 @@ def most_common(rows: DataFrame, value: str, k: int = 10) -> DataFrame:
     return best.crossJoin(F.broadcast(total)).select(value, "n", share(F.col("n"), F.col("total"), 1).alias("pct"))
 
 
+def basket_owners(rows: DataFrame, basket: str, owner: str, k: int = 10) -> DataFrame:
+    """(basket, owner, n, pct): the k owners with most rows in each basket (ties by owner) and their share of all of its rows."""
+    counts = rows.groupBy(basket, owner).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(basket).agg(F.sum("n").alias("all"))
+    r = F.row_number().over(W.partitionBy(basket).orderBy(F.desc("n"), owner))
+    named = counts.where(F.col(owner).isNotNull()).withColumn("r", r).where(F.col("r") <= k)
+    return named.join(sizes, basket).select(basket, owner, "n", share(F.col("n"), F.col("all"), 1).alias("pct"))
+
+
+def first_rows(rows: DataFrame, basket: str, order: list[str], k: int = 20) -> DataFrame:
+    """The first k rows of each basket, picked in each task before the shuffle."""
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(basket).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def exact_titles(titles: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """(id, title_key, exact_count, examples): how many titles equal each asked one (id, title) in normal form, and the first k
+    different ones of them. A title without letters or digits equals none. titles: (name)."""
+    key = text.title_key
+    named = titles.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("title_key", key(F.col("name")))
+    wanted = asked.select("id", key(F.col("title")).alias("title_key"))
+    # Titles are counted by name first; of a key's names the window keeps k in each task.
+    r = F.row_number().over(W.partitionBy("title_key").orderBy("name"))
+    known = named.where("title_key <> ''").join(wanted.select("title_key").distinct(), "title_key", "left_semi")
+    counts = known.groupBy("title_key").agg(F.sum("n").alias("n"))
+    some = known.withColumn("r", r).where(F.col("r") <= k).groupBy("title_key").agg(ordered_list([F.col("r")], "name").alias("examples"))
+    out = wanted.join(counts, "title_key", "left").join(some, "title_key", "left")
+    return out.select("id", "title_key", F.coalesce("n", F.lit(0)).alias("exact_count"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def ranked_or_last(rows: DataFrame, ranks: DataFrame, key: str, rank: str) -> DataFrame:
+    """rows with their rank, UNRANKED where ranks has none; of a key's ranks the least counts."""
+    best = ranks.groupBy(key).agg(F.min(rank).alias("_rank"))
+    return rows.join(best, key, "left").withColumn(rank, F.coalesce("_rank", F.lit(UNRANKED))).drop("_rank")
+
+
+def unpivot_flags(flags: DataFrame, names: list[str]) -> DataFrame:
+    """(owner, context, count, pct): two_level_flags with a row for each flag."""
+    each = F.array(*(F.struct(F.lit(c).alias("context"), F.col(c).alias("count"), F.col(f"{c}_pct").alias("pct")) for c in names))
+    return flags.select("owner", F.explode(each).alias("s")).select("owner", "s.context", "s.count", "s.pct")
+
+
 def frequent_without(rows: DataFrame, key: str, known: DataFrame, least: int) -> DataFrame:
     """(key, n): keys in at least least rows that known lacks."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -41,14 +41,14 @@ ORACLE = {
         SELECT neighbour, weight, round(weight * 1.0 / max(weight) OVER (), 3) AS strength FROM r""",
     "overlap_arena": f"""WITH {REACH}, {edges_sql()}, o AS (SELECT a, b, weight AS shared, round(weight * 100.0 / greatest(least(x.basket_count, y.basket_count), 1), 2) AS overlap_pct
             FROM edges JOIN reach x ON x.owner = a JOIN reach y ON y.owner = b WHERE (a = 1 AND b = 2) OR (a = 3 AND b = 7) OR (a = 4 AND b = 5))
-        SELECT *, CASE WHEN overlap_pct >= 30 THEN 'twins' WHEN overlap_pct >= 15 THEN 'neighbours' WHEN overlap_pct >= 5 THEN 'acquaintances' ELSE 'strangers' END AS verdict FROM o""",
+        SELECT *, CASE WHEN overlap_pct >= 30 THEN 'highly_entangled' WHEN overlap_pct >= 15 THEN 'frequent_companions' WHEN overlap_pct >= 5 THEN 'occasional_neighbors' ELSE 'parallel_universes' END AS verdict FROM o""",
     "collision_bridges": f"""WITH {REACH}, {edges_sql()}
         SELECT x.dst AS bridge, x.weight AS wa, y.weight AS wb, round(CAST(2.0 AS DOUBLE) * x.weight * y.weight / (x.weight + y.weight), 1) AS score, basket_count
         FROM both_ways x JOIN both_ways y ON x.dst = y.dst AND x.src = 1 AND y.src = 2 JOIN reach ON owner = x.dst WHERE x.dst NOT IN (1, 2)
         ORDER BY score DESC, basket_count DESC, bridge LIMIT 8""",
     "group_blend": f"""WITH {edges_sql()}, p AS (SELECT dst, count(*) AS hits, sum(CAST(1.0 AS DOUBLE) / weight) AS inverse FROM both_ways WHERE src IN (1, 2, 3) AND dst NOT IN (1, 2, 3) GROUP BY 1),
         k AS (SELECT *, CASE WHEN hits = 3 THEN 3 / inverse ELSE 0.0 END AS h FROM p WHERE CASE WHEN (SELECT max(hits) FROM p) = 3 THEN hits = 3 ELSE hits >= 1 END)
-        SELECT dst AS node, hits, round(h / greatest((SELECT max(h) FROM k), 1.0), 3) AS blend_score FROM k ORDER BY round(h, 6) DESC, dst LIMIT 10""",
+        SELECT row_number() OVER (ORDER BY round(h, 6) DESC, dst) AS place, dst AS node, hits, round(h / greatest((SELECT max(h) FROM k), 1.0), 3) AS blend_score FROM k ORDER BY place LIMIT 10""",
     "six_degrees_paths": f"""WITH RECURSIVE {edges_sql()},
         s AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM both_ways) WHERE r <= 8),
         walk AS (SELECT CAST(1 AS BIGINT) AS node, [CAST(1 AS BIGINT)] AS path UNION ALL

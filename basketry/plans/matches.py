@@ -176,7 +176,7 @@ ORACLE = {
     "substring_forensics": """WITH q AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[2] AS title, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS artist FROM part WHERE p_partkey < 12),
         h AS (SELECT count(DISTINCT query_id) AS hits FROM part JOIN q ON contains(lower(p_name), lower(title)) AND (artist = '' OR contains(lower(p_brand), lower(artist)))),
         r AS (SELECT hits, (SELECT count(*) FROM q) AS total FROM h), p AS (SELECT *, round(hits * 100.0 / greatest(total, 1), 0) AS pct FROM r)
-        SELECT *, CASE WHEN pct >= 70 THEN 'editorial' WHEN pct >= 40 THEN 'influenced' WHEN pct >= 20 THEN 'adjacent' ELSE 'original' END AS verdict FROM p""",
+        SELECT *, CASE WHEN pct >= 70 THEN 'high_reference_overlap' WHEN pct >= 40 THEN 'moderate_reference_overlap' WHEN pct >= 20 THEN 'some_reference_overlap' ELSE 'low_reference_overlap' END AS verdict FROM p""",
     "prefix_search_rank": """WITH t AS (SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_partkey * 7919 % 1009 AS rank, CAST(CASE WHEN starts_with(p_name, 're') THEN 0 ELSE 1 END AS INT) AS prio FROM part WHERE contains(p_name, 're')),
         o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY title, artist ORDER BY prio, rank, id) = 1)
         SELECT * FROM o ORDER BY prio, rank, id LIMIT 10""",

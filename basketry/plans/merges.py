@@ -60,7 +60,9 @@ def _standing(s, d):
 def _passport(s, d):
     named = stats.item_stats(t.basket_items(s, d), t.baskets(s, d), "item", "pid", 3)
     extra = t.table(s, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("listens"), F.slice(F.split("p_name", " "), 1, 8).alias("genres"), F.round("p_retailprice", 4).alias("energy"))
-    return named.join(extra, "item", "left").select("item", "basket_count", F.concat_ws("|", "top_names").alias("top_names"), "listens", F.concat_ws("|", "genres").alias("genres"), "energy")
+    total = t.baskets(s, d).select(F.countDistinct("pid").alias("total"))
+    shares = named.crossJoin(F.broadcast(total)).withColumn("pct", stats.share(F.col("basket_count"), F.col("total"), 3))
+    return shares.join(extra, "item", "left").select("item", "basket_count", "pct", F.concat_ws("|", "top_names").alias("top_names"), "listens", F.concat_ws("|", "genres").alias("genres"), "energy")
 
 
 def _profile(s, d):
@@ -138,7 +140,7 @@ ORACLE = {
         cu AS (SELECT p_brand AS owner, count(*) AS current FROM part GROUP BY 1)
         SELECT owner, basket_count, row_number() OVER (ORDER BY basket_count DESC, owner) AS rank, top_items, current FROM r JOIN tp USING (owner) LEFT JOIN cu USING (owner)""",
     "song_passport": f"""WITH {BASKETS}, n AS (SELECT l_partkey AS item, count(DISTINCT pid) AS basket_count, array_to_string(list(name ORDER BY name)[1:3], '|') AS top_names FROM lineitem JOIN baskets ON l_orderkey = pid GROUP BY 1)
-        SELECT item, basket_count, top_names, CASE WHEN p_size > 10 THEN p_size END AS listens, replace(p_name, ' ', '|') AS genres, round(p_retailprice, 4) AS energy FROM n LEFT JOIN part ON p_partkey = item""",
+        SELECT item, basket_count, round(basket_count * 100.0 / (SELECT count(DISTINCT pid) FROM baskets), 3) AS pct, top_names, CASE WHEN p_size > 10 THEN p_size END AS listens, replace(p_name, ' ', '|') AS genres, round(p_retailprice, 4) AS energy FROM n LEFT JOIN part ON p_partkey = item""",
     "playlist_profile": f"""WITH {TERMS}, w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ') || ['zebra']) AS term FROM part)
         SELECT id, term, coalesce(n, 0) AS n FROM w LEFT JOIN terms USING (term)""",
     "title_roast": f"""WITH {TERMS}, sc AS (SELECT term, round(cume_dist() OVER (ORDER BY n) * 100, 1) AS score FROM terms),

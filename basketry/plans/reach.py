@@ -94,11 +94,11 @@ ORACLE = {
         SELECT *, CAST(row_number() OVER (ORDER BY current_pct DESC NULLS LAST, name) AS BIGINT) AS current_rank FROM s""",
     "percentile_basicness": f"""WITH {_RANKED.format(owner='l_suppkey')},
         b AS (SELECT owner, rank, round((1 - (rank - 1) * 1.0 / (SELECT count(*) FROM ranked)) * 100, 1) AS basicness FROM ranked)
-        SELECT *, CASE WHEN basicness >= 90 THEN 'main character' WHEN basicness >= 75 THEN 'supporting lead' WHEN basicness >= 50 THEN 'recurring' ELSE 'extra' END AS status FROM b""",
+        SELECT *, CASE WHEN basicness >= 90 THEN 'top_decile' WHEN basicness >= 75 THEN 'high_reach' WHEN basicness >= 50 THEN 'above_median_reach' ELSE 'focused_reach' END AS status FROM b""",
     "cdf_roast_score": f"WITH {TERMS} SELECT term, n, round(cume_dist() OVER (ORDER BY n) * 100, 1) AS score FROM terms",
     "iqr_terms": f"""WITH {TERMS}, q AS (SELECT quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.75) AS p75 FROM terms),
         m AS (SELECT term, n, p25, p75, n BETWEEN p25 AND p75 AS mid FROM terms, q)
         SELECT term, n, p25, p75 FROM m WHERE mid OR (SELECT count(*) FILTER (mid) FROM m) < 10""",
-    "genre_regions": """SELECT p_type AS region, count(*) AS clusters, CAST(sum(p_size) AS BIGINT) AS total, round(avg(p_size), 4) AS mean, arg_min(p_name, p_partkey) AS first_name
+    "genre_regions": """SELECT p_type AS region, lower(replace(p_type, ' ', '_')) AS slug, count(*) AS clusters, CAST(sum(p_size) AS BIGINT) AS total, round(avg(p_size), 4) AS mean, arg_min(p_name, p_partkey) AS first_name
         FROM part GROUP BY 1""",
 }
