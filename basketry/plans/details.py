@@ -19,7 +19,7 @@ def _edges(s, d):
 
 def _blend_items(s, d):
     rows = t.rows(s, d)
-    return graph.blend_items(graph.blend(_edges(s, d), [1, 2, 3]), stats.top_items(rows.where("node <= 60"), "node", "pid", "item", "title", 5))
+    return graph.blend_items(graph.blend(_edges(s, d), [1, 2, 3]), stats.top_items(rows, "node", "pid", "item", "title", 5))
 
 
 def _main_character(s, d):
@@ -60,9 +60,9 @@ def _first_release(s, d):
     lines, orders, customer, nation = (t.table(s, d, x) for x in ("lineitem", "orders", "customer", "nation"))
     spine = t.items(s, d).join(lines, F.col("item") == F.col("l_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     spine = spine.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    spine = spine.select("title", "n_regionkey", "l_orderkey", F.year("o_orderdate").alias("year"))
+    spine = spine.select(F.concat_ws(" / ", "title", "n_name").alias("title"), "l_orderkey", F.year("o_orderdate").alias("year"))
     compilations = t.table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return m.min_excluding(spine.where("n_regionkey < 3"), "title", "year", compilations, "l_orderkey", 1992, 2010)
+    return m.min_excluding(spine, "title", "year", compilations, "l_orderkey", 1992, 2010)
 
 
 def _default_rank(s, d):
@@ -184,7 +184,7 @@ ORACLE = {
     "group_blend_items": f"""WITH {ROWS}, {edges_sql()}, b0 AS (SELECT dst, count(*) AS hits, sum(CAST(1.0 AS DOUBLE) / weight) AS inverse FROM both_ways WHERE src IN (1, 2, 3) AND dst NOT IN (1, 2, 3) GROUP BY 1),
         k AS (SELECT *, CASE WHEN hits = 3 THEN 3 / inverse ELSE 0.0 END AS h FROM b0 WHERE CASE WHEN (SELECT max(hits) FROM b0) = 3 THEN hits = 3 ELSE hits >= 1 END),
         bl AS (SELECT row_number() OVER (ORDER BY round(h, 6) DESC, dst) AS place, dst AS node, round(h / greatest((SELECT max(h) FROM k), 1.0), 3) AS blend_score FROM k ORDER BY place LIMIT 10),
-        c AS (SELECT node, item, title, count(DISTINCT pid) AS n FROM rows WHERE node <= 60 GROUP BY ALL), ti AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, item) AS r FROM c QUALIFY r <= 2),
+        c AS (SELECT node, item, title, count(DISTINCT pid) AS n FROM rows GROUP BY ALL), ti AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, item) AS r FROM c QUALIFY r <= 2),
         a AS (SELECT place, node, title, blend_score, r, row_number() OVER (ORDER BY place, r) AS rank FROM bl JOIN ti USING (node)),
         s AS (SELECT place, min(rank) - 1 AS before FROM a GROUP BY 1)
         SELECT rank, title, node, blend_score FROM a JOIN s USING (place) WHERE before < 12""",
@@ -212,8 +212,8 @@ ORACLE = {
     "profile_first_tracks": f"WITH {ROWS} SELECT pid, pos, item, title, node FROM rows QUALIFY row_number() OVER (PARTITION BY pid ORDER BY pos, item, node) <= 3",
     "habitat_top_owners": f"""WITH {ROWS}, {BASKETS}, {_HABITAT}, tp AS (SELECT owner FROM rows GROUP BY 1 ORDER BY count(DISTINCT pid) DESC, owner LIMIT 10) SELECT * FROM h WHERE owner IN (SELECT owner FROM tp)""",
     "habitat_contexts": f"WITH {ROWS}, {BASKETS}, {_HABITAT} " + " UNION ALL ".join(f"SELECT owner, '{c}' AS context, {c} AS count, {c}_pct AS pct FROM h" for c in reach.CONTEXTS),
-    "first_release_chain": """SELECT p_name AS title, CAST(min(year(o_orderdate)) AS INT) AS first_year FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
-        JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3 AND o_orderpriority <> '1-URGENT' GROUP BY 1 HAVING min(year(o_orderdate)) BETWEEN 1992 AND 2010""",
+    "first_release_chain": """SELECT p_name || ' / ' || n_name AS title, CAST(min(year(o_orderdate)) AS INT) AS first_year FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey
+        JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority <> '1-URGENT' GROUP BY 1 HAVING min(year(o_orderdate)) BETWEEN 1992 AND 2010""",
     "default_rank": """WITH r AS (SELECT p_name, CAST(min(p_partkey) AS INT) AS rank FROM part WHERE p_size > 25 GROUP BY 1)
         SELECT p_partkey AS id, p.p_name AS title, coalesce(rank, 2147483647) AS rank FROM part p LEFT JOIN r ON r.p_name = p.p_name""",
     "fill_by_map": """WITH n AS (SELECT p_brand, min(p_size) AS new FROM part WHERE p_size < 9 GROUP BY 1)

@@ -10,6 +10,11 @@ def parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
+def dump(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tab-separated without header or quotes, \\N for null, as readers.dump reads it; texts must hold no tabs or line ends."""
+    df.write.mode(mode).csv(path, sep="\t", header=False, quote="", escape="", nullValue="\\N", emptyValue="")
+
+
 def lookup(df: DataFrame, path: str, keys: list[str], partitions: int | None = None, group_bytes: int = 1 << 20) -> None:
     """Range-partitioned and sorted by keys in small row groups, so that point and prefix filters read little."""
     dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
