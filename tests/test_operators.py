@@ -207,3 +207,75 @@ def test_small_forms(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "x.json")).first()["rows"] == 3
     ids = spark.range(100)
     assert quality.sample(ids, "id", 7).collect() == quality.sample(ids.repartition(5), "id", 7).collect() and quality.sample(ids, "id", 200).count() == 100
+
+
+def test_places_and_running_sums_over_partitions(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 AS n").repartition(9)
+    got = stats.placed(rows, [F.desc("n"), F.col("id")], "n").collect()
+    want = sorted(((i, i % 7) for i in range(500)), key=lambda x: (-x[1], x[0]))
+    assert sorted((r["place"], r["id"]) for r in got) == [(p + 1, i) for p, (i, _) in enumerate(want)]
+    sums = [sum(n for _, n in want[: p + 1]) for p in range(500)]
+    assert [r["running"] for r in sorted(got, key=lambda r: r["place"])] == sums
+    assert stats.placed(rows.where("id < 0"), [F.col("id")], "n").count() == 0
+
+
+def test_query_blocks_change_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i % 3) - 1, 1.0]) for i in range(30)] + [(30, None)], "id int, vector array<double>")
+    asked = rows.where("id % 4 = 2").toDF("query_id", "query")
+    whole = sorted(map(tuple, vectors.top_k(rows, asked, 4).collect()))
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 200)
+    assert sorted(map(tuple, vectors.top_k(rows, asked, 4).collect())) == whole
+    assert {r[0] for r in whole} == {i for i in range(30) if i % 4 == 2}
+    assert vectors.top_k(rows, asked.where("query_id < 0"), 4).count() == 0
+
+
+def test_list_parts_change_nothing(spark):
+    rows = spark.createDataFrame([(i, [float(i % 11), float(i % 7) - 3, 1.0]) for i in range(200)], "id int, vector array<double>")
+    index, centres = vectors.list_index(rows, 4)
+    asked = rows.where("id % 20 = 0").toDF("query_id", "query")
+    few = sorted(map(tuple, vectors.search_lists(index, centres, asked, 5, 2).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert sorted(map(tuple, vectors.search_lists(index, centres, asked, 5, 2).collect())) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lookup_row_groups_are_apart(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    writers.lookup(spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "id"), str(tmp_path / "out"), ["k"], 4)
+    spans = []
+    for f in (tmp_path / "out").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(0).statistics
+            spans.append((s.min, s.max))
+    spans.sort()
+    assert len(spans) >= 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_details_of_empty_tables(spark):
+    titles = spark.createDataFrame([], "name string")
+    asked = spark.createDataFrame([(1, "!!"), (2, None)], "id int, title string")
+    got = {r["id"]: (r["exact_count"], r["examples"]) for r in stats.exact_titles(titles, asked).collect()}
+    assert got == {1: (0, []), 2: (0, [])}
+    rows = spark.createDataFrame([], "pid int, owner string")
+    assert stats.basket_owners(rows, "pid", "owner").count() == 0
+    edges = spark.createDataFrame([], "a int, b int, weight bigint")
+    assert tuple(graph.common_ground(edges, [1, 2]).first()) == (0, 0, 0.0)
+    assert tuple(graph.collision_verdict(edges, 1, 2).first()) == (0, 0, "parallel_orbits")
+
+
+def test_exact_titles_by_normal_form(spark):
+    titles = spark.createDataFrame([("Road Trip",), ("road-trip!",), ("road trip",), ("Road Trip",), ("",), (None,)], "name string")
+    asked = spark.createDataFrame([(1, "ROAD  trip"), (2, "other"), (3, "")], "id int, title string")
+    got = {r["id"]: (r["exact_count"], r["examples"]) for r in stats.exact_titles(titles, asked).collect()}
+    assert got == {1: (4, ["Road Trip", "road trip", "road-trip!"]), 2: (0, []), 3: (0, [])}
+
+
+def test_bits_ids_and_first_names(spark):
+    row = spark.createDataFrame([(5, "https://h/playlist/" + "a1" * 11 + "?x", "A , B")], "f int, u string, n string")
+    got = row.select(matching.known_flags(F.col("f"), {"x": 1, "y": 2, "z": 4}), text.list_id(F.col("u")), text.first_name(F.col("n"))).first()
+    assert tuple(got) == (["x", "z"], "a1" * 11, "A")
