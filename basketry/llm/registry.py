@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_extract, language, line_dedup, packing, simhash, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, html_extract, language, line_dedup, negatives, packing, simhash, substring_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,9 +19,11 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
+        "op11_whitening": whitening.op11_whitening,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_warc": warc.OP6_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_warc": warc.OP6_SQL, "op13_hard_negatives": negatives.OP13_SQL}
