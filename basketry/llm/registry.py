@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, html_extract, language, line_dedup, negatives, packing, simhash, substring_dedup, toxicity, warc, whitening
+from . import decontaminate, exact_dedup, html_extract, language, line_dedup, negatives, packing, scoring, simhash, substring_dedup, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_language": language.op10_language,
         "op11_whitening": whitening.op11_whitening,
+        "op12_scoring": scoring.op12_scoring,
         "op13_hard_negatives": negatives.op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
