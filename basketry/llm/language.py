@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
 Each language has a tree of byte contexts of up to three bytes with the counts of what followed,
-taken from a bounded sample of labelled texts and frozen. A byte's probability comes from the longest
+taken from a bounded sample of labelled texts (see sample) and frozen. A byte's probability comes from the longest
 context that the language has seen; a byte new there escapes, with the probability q / (n + q) that n
 occurrences of q different bytes give, to the next shorter context, without the bytes already ruled out
 (method C with exclusion), down to equal chances. What a byte costs after it escaped from a context is what it costs
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, raw_text, ready, table
+from .common import cut, over_batches, raw_text, ready, small, table
 
 ORDER, SPACE = 3, 32
-#: Labelled rows of a language that it is learned from at most, and bytes of texts of all languages together.
-ROWS, BYTES = 1000, 16 << 20
+#: Labelled rows of a language that it is learned from at most, bytes of texts of all languages together, bytes of a text that are taken in any
+#: case, and languages whose counts are broadcast.
+ROWS, BYTES, LEAST_BYTES, LANGUAGES = 1000, 16 << 20, 256, 100_000
 #: Bytes scored at a time.
 CHUNK = 1 << 18
 LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
@@ -121,21 +122,29 @@ def _held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
-    """The model of documents that have a lang and are not held out: of each language the first by hash, at most rows and, of all languages
-    together, size bytes of whole texts. So a rare language is learned from as much as it has."""
+def sample(docs: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """(lang, b): what the model is learned from, of documents that have a lang and are not held out.
+
+    Of each language at most rows texts, the first by hash. Languages share size bytes evenly, and so do a language's texts, which may
+    have LEAST_BYTES in any case; of a longer text a stretch is taken that begins at a place drawn by hash. So no text, however long, leaves another
+    one or a language out, and a rare language is learned from as much as it has.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(~_held_out())
-    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    usable = usable.select("doc_id", "lang", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))).alias("hash"), raw_text().alias("b"))
+    known = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")))
+    each = F.floor(F.lit(size // max(1, known.count())) / F.least(F.lit(rows), F.col("n"))).cast("int")
     # Of a common language only hashes in the least part of their range can be among the first; some four times as many rows as wanted lie there.
-    share = usable.groupBy("lang").agg((F.lit(4.0 * rows) / F.count(F.lit(1))).alias("share"))
-    first = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    near = usable.join(F.broadcast(share), "lang").where(first < F.col("share"))
-    some = near.select("doc_id", "lang", first.alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    some = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
-    some = cut(some.withColumn("upto", F.sum("size").over(order)))
-    languages = sorted(r["lang"] for r in some.select("lang").distinct().collect())
-    chosen = some.where(F.col("upto") <= size // max(1, len(languages))).select("doc_id", "lang").distinct()
-    sample = cut(usable.select("doc_id", "lang", raw_text().alias("b")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "b"))
+    near = usable.join(small(known, LANGUAGES), "lang").where((F.col("hash") * F.col("n") < 4.0 * rows) | (F.col("hash") == F.col("least")))
+    near = near.withColumn("most", F.greatest(F.lit(LEAST_BYTES), each))
+    begin = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.lit(1), F.octet_length("b") - F.col("most") + 1)).cast("int")
+    near = near.withColumn("begin", begin + 1).select("lang", "hash", "doc_id", F.expr("substring(b, begin, most)").alias("b"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id", "b")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("lang", "b")
+
+
+def learn(docs: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
+    """The model of the sample of documents."""
+    some = cut(sample(docs, rows, size))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,7 +159,7 @@ def learn(docs: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
 
         return each
 
-    counted = over_batches(sample, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    counted = over_batches(some, "lang string, code long, n long", make).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(counted["lang"].unique().to_pylist())
     lang = np.searchsorted(np.array(names, object), counted["lang"].to_numpy()) if names else np.empty(0, int)
     return Model(names, lang, counted["code"].to_numpy(), counted["n"].to_numpy())

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basketry.llm import decontaminate, exact_dedup, html_extract, language, line_dedup, packing, registry, simhash, substring_dedup, toxicity
 from basketry.llm.graph import components
@@ -635,3 +636,18 @@ def test_text_of_every_page(spark):
 def test_registered():
     names = list(registry.queries())
     assert [next(n for n in names if n.startswith(f"op{i}_")) for i in range(1, 11)] and "pipeline" in names
+
+
+def test_a_long_text_leaves_no_language_out(spark):
+    """One text of 10 MB in each language, first or not by hash, and a language of one text."""
+    from basketry.llm import language
+
+    said = {"en": "the river went over the stones and under the bridge ", "de": "der Fluss ging über die Steine und unter der Brücke ", "fr": "la rivière passait sur les pierres et sous le pont "}
+    rows = [(i * 3 + j, t[i % 20 :] + t, lang) for i in range(130) for j, (lang, t) in enumerate(said.items())]
+    rows += [(1000 + j, t * (10_000_000 // len(t)), lang) for j, (lang, t) in enumerate(said.items())]
+    rows += [(2001, "xyzzy plugh qwerty zork " * 400_000, "zz"), (2002, "zork plugh xyzzy", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert {i: lang for i, _, lang in rows if lang} == {i: got[i] for i, _, lang in rows if lang} and got[2002] == "zz"
+    sizes = {r["lang"]: (r["n"], r["size"]) for r in language.sample(docs, 50, 40_000).groupBy("lang").agg(F.count("b").alias("n"), F.sum(F.octet_length("b")).alias("size")).collect()}
+    assert sizes.keys() == {"en", "de", "fr", "zz"} and sizes["zz"] == (1, 10_000) and all(n <= 50 and size <= 50 * 256 for n, size in sizes.values())
