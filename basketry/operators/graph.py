@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import checkpoint_dir
+from ..session import scratch, written
+from ..sources import keyed
 from .stats import ladder
 
 # What the shared share, and the number of shared baskets, of two nodes say.
@@ -32,6 +33,37 @@ def cooccurrence(rows: DataFrame, basket: str, node: str, min_shared: int = 1, t
     return joined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_shared)
 
 
+def seed_edges(rows: DataFrame, basket: str, node: str, seeds: list, min_shared: int = 1) -> DataFrame:
+    """(a, b, weight) as from cooccurrence, but only the edges that a seed has: the seeds' baskets first, then what else lies in them.
+
+    Rows of other baskets go in a semi-join before anything is made distinct, and the pairs are seed by node, so the work is that of the
+    seeds' baskets. seeds is a short list.
+    """
+    seeds = list(seeds)
+    held = rows.select(F.col(basket).alias("pid"), F.col(node).alias("node")).where(F.col("node").isNotNull())
+    mine = held.where(F.col("node").isin(seeds)).distinct()
+    near = held.join(mine.select("pid").distinct(), "pid", "left_semi").distinct()
+    seed = F.col("seed")
+    # Of two seeds each basket counts once.
+    met = near.join(mine.withColumnRenamed("node", "seed"), "pid").where((F.col("node") != seed) & (~F.col("node").isin(seeds) | (seed < F.col("node"))))
+    pairs = met.groupBy(F.least("node", "seed").alias("a"), F.greatest("node", "seed").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_shared)
+
+
+def keep_edges(rows: DataFrame, basket: str, node: str, path: str, batch: str) -> None:
+    """Add the co-occurrence of a batch of new baskets to the edge table at path (src, dst, weight; both directions, in buckets by src). A batch whose
+    baskets were added before under the same name adds nothing."""
+    edges = symmetric(cooccurrence(rows, basket, node))
+    keyed.change(edges, path, ["src", "dst"], keyed.summed("weight"), batch, by=["src"])
+
+
+def kept_edges(spark: SparkSession, path: str, nodes: list) -> DataFrame:
+    """(a, b, weight) of the edges that the given nodes have, read from their buckets of the edge table alone."""
+    found = keyed.lookup(spark, path, [(n,) for n in nodes])
+    one = ~F.col("dst").isin(list(nodes)) | (F.col("src") < F.col("dst"))
+    return found.where(one).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) in both directions."""
     ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
@@ -133,30 +165,41 @@ def strongest(edges: DataFrame, fan: int) -> DataFrame:
 
 
 def six_degrees(spark: SparkSession, edges: DataFrame, start, goal, max_depth: int = 6, fan: int = 100) -> DataFrame:
-    """(hop, node, shared): a shortest path within each node's fan strongest edges, level by level from start.
+    """(hop, node, shared): a shortest path within each node's fan strongest edges, by a search from both ends.
 
-    Each level is a join of the frontier, one row per newly reached node with its path (the smallest
-    of equals by node order), and is cut with a checkpoint. No path within max_depth: no rows. start = goal: hop 0 alone.
+    Each side has a table of the nodes that it has met, with the smallest path (by node order) to them. The side that has met fewer nodes goes one
+    level on: from start along the links, from goal against them. When the two depths add up to the distance the sides meet; of the meeting
+    nodes' whole paths the smallest wins. Levels are written to the shared folder and gone when the path is found. No path
+    within max_depth: no rows. start = goal: hop 0 alone.
     """
-    checkpoint_dir(spark)
     kind = edges.schema["a"].dataType.simpleString()
-    level = spark.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
-    links = strongest(edges, fan).select("src", "dst").checkpoint()
-    seen = level.select("node")
-    found = level.where(F.col("node") == F.lit(goal))
-    for _ in range(max_depth):
-        if not found.isEmpty():
-            break
-        step = level.join(links, level["node"] == links["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        level = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).checkpoint()
-        if level.isEmpty():
-            break
-        seen = seen.union(level.select("node")).checkpoint()
-        found = level.where(F.col("node") == F.lit(goal))
-    hops = found.select(F.posexplode("path").alias("hop", "node"), "path")
-    hops = hops.select("hop", "node", F.when(F.col("hop") > 0, F.get("path", F.col("hop") - 1)).alias("before"))
-    both = symmetric(edges).select(F.col("src").alias("before"), F.col("dst").alias("node"), F.col("weight").alias("shared"))
-    return hops.join(both, ["before", "node"], "left").select(F.col("hop").cast("bigint").alias("hop"), "node", "shared")
+    with scratch(spark, "paths") as at:
+        links = written(strongest(edges, fan).select("src", "dst"), f"{at}/links")
+        ends = [(F.col("src"), F.col("dst"), lambda path, to: F.concat(path, F.array(to))), (F.col("dst"), F.col("src"), lambda path, to: F.concat(F.array(to), path))]
+        met = [spark.createDataFrame([(n, [n], 0)], f"node {kind}, path array<{kind}>, depth int") for n in (start, goal)]
+        depth, size = [0, 0], [1, 1]
+        best = [start] if start == goal else None
+        while best is None and sum(depth) < max_depth:
+            side = 0 if size[0] <= size[1] else 1
+            near, far, longer = ends[side]
+            level = met[side].where(F.col("depth") == depth[side])
+            step = level.join(links.select(near.alias("node"), far.alias("to")), "node").select(F.col("to").alias("node"), longer(F.col("path"), F.col("to")).alias("path"))
+            depth[side] += 1
+            fresh = step.join(met[side].select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+            fresh = written(fresh.withColumn("depth", F.lit(depth[side])), f"{at}/{side}-{depth[side]}")
+            n = fresh.count()
+            if not n:
+                break
+            size[side] += n
+            met[side] = met[side].unionByName(fresh)
+            both = fresh.select("node", F.col("path").alias("one")).join(met[1 - side].select("node", F.col("path").alias("two")), "node")
+            one, two = (F.col("one"), F.col("two")) if side == 0 else (F.col("two"), F.col("one"))
+            best = both.select(F.concat(one, F.slice(two, 2, F.size(two))).alias("path")).agg(F.min(F.struct(F.size("path"), "path")).alias("x")).first()["x"]
+            best = best and list(best["path"])
+    path = spark.createDataFrame([(i, n, best[i - 1] if i else None) for i, n in enumerate(best or [])], f"hop bigint, node {kind}, before {kind}")
+    shared = symmetric(edges.where(F.col("a").isin(best or []) & F.col("b").isin(best or [])))
+    both = shared.select(F.col("src").alias("before"), F.col("dst").alias("node"), F.col("weight").alias("shared"))
+    return path.join(both, ["before", "node"], "left").select("hop", "node", "shared")
 
 
 def tag_ancestry(tags: DataFrame, counts: DataFrame, subject, limit: int = 5, least: float = 0.05, keep: int = 60) -> DataFrame:

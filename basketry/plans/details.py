@@ -17,9 +17,13 @@ def _edges(s, d):
     return graph.cooccurrence(t.basket_items(s, d), "pid", "node")
 
 
+def _seeded(s, d, *seeds):
+    return graph.seed_edges(t.basket_items(s, d), "pid", "node", seeds)
+
+
 def _blend_items(s, d):
     rows = t.rows(s, d)
-    return graph.blend_items(graph.blend(_edges(s, d), [1, 2, 3]), stats.top_items(rows, "node", "pid", "item", "title", 5))
+    return graph.blend_items(graph.blend(_seeded(s, d, 1, 2, 3), [1, 2, 3]), stats.top_items(rows, "node", "pid", "item", "title", 5))
 
 
 def _main_character(s, d):
@@ -141,9 +145,9 @@ def _choices(s, d):
 
 
 QUERIES = {
-    "group_blend_ground": lambda s, d: graph.common_ground(_edges(s, d), [1, 2, 3]),
+    "group_blend_ground": lambda s, d: graph.common_ground(_seeded(s, d, 1, 2, 3), [1, 2, 3]),
     "group_blend_items": _blend_items,
-    "collision_verdict": lambda s, d: graph.collision_verdict(_edges(s, d), 1, 2),
+    "collision_verdict": lambda s, d: graph.collision_verdict(_seeded(s, d, 1, 2), 1, 2),
     "main_character": _main_character,
     "standing_or_rank_only": _standings,
     "name_resolution_uri": _uri,

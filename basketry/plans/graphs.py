@@ -13,6 +13,11 @@ def _edges(s, d):
     return graph.cooccurrence(t.basket_items(s, d), "pid", "node")
 
 
+def _seeded(s, d, *seeds):
+    """The edges of a few nodes, found from their baskets."""
+    return graph.seed_edges(t.basket_items(s, d), "pid", "node", seeds)
+
+
 def _tags(s, d):
     parts = t.table(s, d, "part")
     return parts.select(F.col("p_brand").alias("owner"), F.explode(F.array_union(F.split("p_name", " "), F.array("p_type"))).alias("tag")).distinct()
@@ -26,10 +31,10 @@ def _ancestry(s, d):
 QUERIES = {
     "edge_endpoints": lambda s, d: graph.endpoints(_edges(s, d)),
     "cooccurrence_edges": lambda s, d: graph.cooccurrence(t.basket_items(s, d), "pid", "node", 2, 50),
-    "compass_neighbors": lambda s, d: graph.compass(_edges(s, d), 1),
-    "overlap_arena": lambda s, d: graph.overlap(_edges(s, d), t.supplier_reach(s, d), [(1, 2), (3, 7), (5, 4)]),
-    "collision_bridges": lambda s, d: graph.collision(_edges(s, d), t.supplier_reach(s, d), 1, 2),
-    "group_blend": lambda s, d: graph.blend(_edges(s, d), [1, 2, 3]),
+    "compass_neighbors": lambda s, d: graph.compass(_seeded(s, d, 1), 1),
+    "overlap_arena": lambda s, d: graph.overlap(_seeded(s, d, 1, 2, 3, 4, 5, 7), t.supplier_reach(s, d), [(1, 2), (3, 7), (5, 4)]),
+    "collision_bridges": lambda s, d: graph.collision(_seeded(s, d, 1, 2), t.supplier_reach(s, d), 1, 2),
+    "group_blend": lambda s, d: graph.blend(_seeded(s, d, 1, 2, 3), [1, 2, 3]),
     "six_degrees_paths": lambda s, d: graph.six_degrees(s, _edges(s, d), 1, 9, 4, 8),
     "tag_jaccard_ancestry": _ancestry,
 }

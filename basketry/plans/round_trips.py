@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from ..sources import readers, writers
+from ..operators import graph
+from ..session import checkpoint_dir, delete
+from ..sources import keyed, readers, writers
+from . import graphs
 from . import tables as t
+from .tables import edges_sql
 
 
 def _at(s, name: str) -> str:
@@ -66,7 +69,32 @@ def _columns(s, d):
     return readers.columns(s, path, ["p_partkey", "p_brand"])
 
 
+def _edge_table(s, d) -> str:
+    """The edge table of all baskets, added in two batches, the second one twice."""
+    path = _at(s, "edges")
+    delete(s, path)
+    rows = t.basket_items(s, d)
+    for batch, some in (("even", "pid % 2 = 0"), ("odd", "pid % 2 = 1"), ("odd", "pid % 2 = 1")):
+        graph.keep_edges(rows.where(some), "pid", "node", path, batch)
+    return path
+
+
+def _upsert(s, d):
+    """All parts, then those of a size over 40 again at another price, twice."""
+    path = _at(s, "upsert")
+    delete(s, path)
+    rows = t.table(s, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    dearer = t.table(s, d, "part").where("p_size > 40").select("p_partkey", "p_name", (F.col("p_retailprice") + 1000).alias("p_retailprice"))
+    for batch, some in (("all", rows), ("dearer", dearer), ("dearer", dearer)):
+        keyed.change(some, path, ["p_partkey"], keyed.latest(["p_retailprice"]), batch)
+    return keyed.read(s, path)
+
+
 QUERIES = {
+    "edge_table": lambda s, d: keyed.read(s, _edge_table(s, d)),
+    "edge_table_compass": lambda s, d: graph.compass(graph.kept_edges(s, _edge_table(s, d), [1]), 1),
+    "edge_table_blend": lambda s, d: graph.blend(graph.kept_edges(s, _edge_table(s, d), [1, 2, 3]), [1, 2, 3]),
+    "keyed_upsert": _upsert,
     "dump_round_trip": _dump,
     "guarded_lines_round_trip": _lines,
     "slices_lists": _slice_lists,
@@ -76,6 +104,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "edge_table": f"WITH {edges_sql()} SELECT src, dst, weight FROM both_ways",
+    "edge_table_compass": graphs.ORACLE["compass_neighbors"],
+    "edge_table_blend": graphs.ORACLE["group_blend"],
+    "keyed_upsert": "SELECT p_partkey, p_name, CASE WHEN p_size > 40 THEN p_retailprice + 1000 ELSE p_retailprice END AS p_retailprice FROM part",
     "dump_round_trip": "SELECT p_partkey, p_name, CASE WHEN p_size > 10 THEN p_size END AS p_size FROM part",
     "guarded_lines_round_trip": "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0",
     "slices_lists": "SELECT CAST(l_orderkey AS INT) AS pid, l_orderkey % 2 = 0 AS collaborative, count(*) AS tracks FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",

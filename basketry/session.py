@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -42,3 +45,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="basketry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the cluster's file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet at path, read back: rows that a lost executor doesn't take away, without the plan behind them."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder in the shared checkpoint folder that is gone when the block ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete(spark, path)
