@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import maps, neighbours, skipgram
 from ..operators import quality as q
 from ..operators import vectors as v
+from ..session import checkpoint_dir, delete
 from . import tables as t
 
 
@@ -67,7 +69,30 @@ def _lists(s, d):
     return v.search_lists(index, centres, vectors.where("id % 100 = 0").toDF("query_id", "query"), 10)
 
 
+def _at(s, name: str) -> str:
+    """A folder for what a query stores, emptied of what its last run left."""
+    path = f"{checkpoint_dir(s)}/stored-{s.sparkContext.applicationId}/{name}"
+    delete(s, path)
+    return path
+
+
+def _graph_search(s, d):
+    """The ten vectors most like each one whose id is divisible by 100, by the stored graph index; the vector itself comes first."""
+    vectors, at = _vectors(s, d).select("id", "vector"), _at(s, "graph")
+    neighbours.build(vectors, f"{at}/index")
+    return neighbours.search(s, f"{at}/index", vectors.where("id % 100 = 0").toDF("query_id", "query"), f"{at}/found").drop("compared")
+
+
+def _orders(s, d):
+    rows = t.basket_items(s, d).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("x"))
+    return rows.select(F.col("pid").alias("sequence"), F.transform("x", lambda e: e["item"].cast("string")).alias("tokens"))
+
+
 QUERIES = {
+    "vector_graph_search": _graph_search,
+    "neighbour_map": lambda s, d: maps.neighbour_map(_vectors(s, d).select("id", "vector"), _at(s, "map")),
+    "track2vec_sgns": lambda s, d: skipgram.skip_gram(_orders(s, d), _at(s, "skip-gram"), passes=1),
+    "track2vec_vocabulary": lambda s, d: skipgram.vocabulary(_orders(s, d)),
     "vector_lists_search": _lists,
     "vector_topk_cosine": _top,
     "vector_centroids": lambda s, d: v.centroids(_vectors(s, d), "owner").select("owner", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid")),
@@ -91,6 +116,7 @@ _CENTROIDS = """dims AS (SELECT label AS owner, generate_subscripts(embedding, 1
     means AS (SELECT owner, pos, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY ALL), mv AS (SELECT owner, list(x ORDER BY pos) AS m FROM means GROUP BY 1),
     cent AS (SELECT owner, [x / sqrt(list_sum([y * y for y in m])) for x in m] AS centroid FROM mv)"""
 ORACLE = {
+    "track2vec_vocabulary": "SELECT CAST(l_partkey AS VARCHAR) AS word, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 5",
     "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         s AS (SELECT query_id, id, round({_SIM}, 6) AS similarity FROM p)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""",
