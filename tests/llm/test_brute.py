@@ -651,3 +651,46 @@ def test_a_long_text_leaves_no_language_out(spark):
     assert {i: lang for i, _, lang in rows if lang} == {i: got[i] for i, _, lang in rows if lang} and got[2002] == "zz"
     sizes = {r["lang"]: (r["n"], r["size"]) for r in language.sample(docs, 50, 40_000).groupBy("lang").agg(F.count("b").alias("n"), F.sum(F.octet_length("b")).alias("size")).collect()}
     assert sizes.keys() == {"en", "de", "fr", "zz"} and sizes["zz"] == (1, 10_000) and all(n <= 50 and size <= 50 * 256 for n, size in sizes.values())
+
+
+PAGE = """<html><body><nav>Home</nav><article><h1>Title {0}</h1><h2 id="related-work">Related work {0}</h2><section id="menu-costs"><p>Menus cost {0}</p></section>
+<p class="social-history">History {0}</p><div class="advert">Buy</div><div class="comment-list"><p>me too {0}</p></div><div class="promo-corner"><p>Read our best stories</p></div>
+<p class="newsletter">Sign up now</p><p>The end of {0}.</p></article><footer>Rights</footer></body></html>"""
+
+
+def test_words_of_subjects_stay_and_the_wrapper_tells_what_repeats():
+    wrapper = None
+    for i in range(5):
+        wrapper = html_extract.join_wrappers(wrapper, html_extract.wrapper_of(html_extract.parse(PAGE.format(f"n{i}"))))
+    kept = "Title z|Related work z|Menus cost z|History z".split("|")
+    assert html_extract.extract(PAGE.format("z"), wrapper).split("\n\n") == [*kept, "The end of z."]
+    # Without the wrapper nothing says that the last two are on every page.
+    assert html_extract.extract(PAGE.format("z")).split("\n\n") == [*kept, "Read our best stories", "Sign up now", "The end of z."]
+
+
+@pytest.mark.parametrize("deep", [100, 160, 1000, 70_000])
+def test_articles_at_any_depth(deep):
+    page = "<div>" * deep + "<article><p>first</p><div><nav>menu</nav>kept</div></article>" + "</div>" * deep + "<p>outside"
+    wrapper = html_extract.wrapper_of(html_extract.parse(page))
+    for _ in range(3):
+        wrapper = html_extract.join_wrappers(wrapper, html_extract.wrapper_of(html_extract.parse(page.replace("first", "other"))))
+    assert html_extract.extract(page, wrapper) == html_extract.extract(page) == "first\n\nkept"
+
+
+def test_stray_tags_at_depth_take_no_long():
+    assert html_extract.extract("<div><article>" + "<b>" * 30_000 + "x</div><li>" * 30_000 + "end").endswith("end")
+
+
+def test_pages_through_spark_equal_pages_by_hand(spark):
+    """Wrappers folded page by page in one place, and every page read with its host's."""
+    rows = [(i, f"http://h{i % 3}.x/{i}", PAGE.format(f"n{i}") if i % 3 < 2 else f"<div><p>Welcome to us</p><h2>News</h2><p>story {i} told</p><p>All rights kept</p></div>") for i in range(36)]
+    rows += [(100, None, "<p>alone"), (101, "http://h0.x/e", None), (102, "http://h1.x/e", "")]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    by = {}
+    for _, url, page in rows:
+        host = re.sub(r"^http://([^/]*).*", r"\1", url or "")
+        by[host] = html_extract.join_wrappers(by.get(host), html_extract.wrapper_of(html_extract.parse(page or "")))
+    for i, url, page in rows:
+        text = html_extract.extract(page or "", by[re.sub(r"^http://([^/]*).*", r"\1", url or "")])
+        assert got[i] == (text, len(text))
+    assert got[0][0].startswith("Title n0") and "best stories" not in got[0][0] and "story 2 told" in got[2][0]
