@@ -75,9 +75,8 @@ def profile_words(c: Column) -> Column:
 
 
 def bounded(terms: list[str]) -> str:
-    """A pattern for any of the terms as whole words."""
-    word = "[A-Za-z0-9_]"
-    return f"(?:^|(?!{word})[\\s\\S])({'|'.join(map(re.escape, terms))})(?:$|(?!{word})[\\s\\S])"
+    """A pattern for any of the terms as whole words; letters of any script belong to words."""
+    return rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, terms))})(?!\w)"
 
 
 def loose(terms: list[str]) -> str:

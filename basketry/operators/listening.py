@@ -12,7 +12,8 @@ from pyspark.sql.window import Window as W
 
 from .stats import placed
 
-SHORT = 2000
+#: Half a minute.
+SHORT = 30_000
 
 
 def totals(plays: DataFrame, short: int = SHORT) -> DataFrame:

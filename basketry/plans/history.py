@@ -20,7 +20,14 @@ def _points(s, d):
     return p.select(F.col("p_brand").alias("region"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
+def _bought(s, d):
+    """Orders as plays: a customer's purchase from a supplier on a day, over seven years."""
+    orders = t.table(s, d, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
+    return orders.join(t.basket_items(s, d).select("pid", F.col("node").alias("artist")), "pid")
+
+
 QUERIES = {
+    "discovery_monthly_orders": lambda s, d: l.discovery(_bought(s, d), "artist", "month"),
     "listening_summary": lambda s, d: l.totals(t.listens(s, d)),
     "listening_hours": lambda s, d: l.hours(t.listens(s, d)),
     "listening_top": lambda s, d: l.top(t.listens(s, d), "track"),
@@ -40,7 +47,7 @@ QUERIES = {
 
 _PI = "3.141592653589793"
 ORACLE = {
-    "listening_summary": f"""WITH {PLAYS} SELECT user_id, CAST(sum(ms) AS BIGINT) AS ms, count(*) FILTER (ms >= 2000) AS plays, count(DISTINCT artist) FILTER (ms >= 2000) AS artists,
+    "listening_summary": f"""WITH {PLAYS} SELECT user_id, CAST(sum(ms) AS BIGINT) AS ms, count(*) FILTER (ms >= 30000) AS plays, count(DISTINCT artist) FILTER (ms >= 30000) AS artists,
         count(DISTINCT CAST(ts AS DATE)) AS active_days FROM plays GROUP BY 1""",
     "listening_hours": f"""WITH {PLAYS}, h AS (SELECT isodow(ts) >= 6 AS weekend, CAST(hour(ts) AS INT) AS hour, CAST(sum(ms) AS BIGINT) AS ms, count(*) AS plays FROM plays GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY weekend ORDER BY ms DESC, hour) = 1 AS peak FROM h""",
@@ -68,6 +75,9 @@ ORACLE = {
         SELECT * FROM w QUALIFY week > min(week) OVER (PARTITION BY user_id)""",
     "taste_drift": f"""WITH {PLAYS}, b AS (SELECT artist FROM plays GROUP BY 1 ORDER BY sum(ms) DESC, artist LIMIT 8)
         SELECT artist, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(sum(ms) AS BIGINT) AS ms FROM plays JOIN b USING (artist) GROUP BY ALL""",
+    "discovery_monthly_orders": """WITH f AS (SELECT o_custkey AS user_id, l_suppkey AS artist, min(o_orderdate) AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+        w AS (SELECT user_id, CAST(date_trunc('month', first) AS DATE) AS month, count(*) AS discovered FROM f GROUP BY ALL)
+        SELECT * FROM w QUALIFY month > min(month) OVER (PARTITION BY user_id)""",
     "discovery_monthly": f"""WITH {PLAYS}, f AS (SELECT user_id, artist, min(ts) AS first FROM plays GROUP BY ALL),
         w AS (SELECT user_id, CAST(date_trunc('month', first) AS DATE) AS month, count(*) AS discovered FROM f GROUP BY ALL)
         SELECT * FROM w QUALIFY month > min(month) OVER (PARTITION BY user_id)""",

@@ -115,7 +115,27 @@ _SIM = f"list_sum([CAST(a[i] AS DOUBLE) * b[i] for i in range(1, len(a) + 1)]) /
 _CENTROIDS = """dims AS (SELECT label AS owner, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings),
     means AS (SELECT owner, pos, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY ALL), mv AS (SELECT owner, list(x ORDER BY pos) AS m FROM means GROUP BY 1),
     cent AS (SELECT owner, [x / sqrt(list_sum([y * y for y in m])) for x in m] AS centroid FROM mv)"""
+
+
+def _soundtrack_sql() -> str:
+    """A stage for each role: the cheapest routes so far with every candidate, the eighty cheapest go on."""
+    stages = ["r0 AS (SELECT CAST([] AS STRUCT(less DOUBLE, id BIGINT)[]) AS path, CAST([] AS VARCHAR[]) AS artists, CAST(NULL AS DOUBLE) AS last, CAST(0.0 AS DOUBLE) AS cost)"]
+    for n, target in enumerate(v.CURVES["medium"], 1):
+        t_ = f"CAST({target} AS DOUBLE)"
+        cost = f"cost + base + CAST(0.52 AS DOUBLE) * abs(energy - {t_}) + CAST(0.16 AS DOUBLE) * abs(energy - coalesce(last, {t_})) + CAST(0.12 AS DOUBLE) * CASE WHEN list_contains(artists, artist) THEN 1.0 ELSE 0.0 END"
+        stages.append(f"""r{n} AS (SELECT list_append(path, {{'less': -fit, 'id': id}}) AS path, list_append(artists, artist) AS artists, energy AS last, {cost} AS cost
+            FROM r{n - 1}, c WHERE NOT list_contains([x.id for x in path], id) ORDER BY 4, 1 LIMIT 80)""")
+    mood = v.VALENCE[v.prompt_context("a rainy late-night drive")]
+    roles, curve = str(v.ROLES), ", ".join(f"CAST({x} AS DOUBLE)" for x in v.CURVES["medium"])
+    return f"""WITH p AS (SELECT p_partkey AS id, p_brand AS artist, p_size / 50 AS energy, (p_retailprice - 900) / 100 AS valence, CAST(p_partkey % 17 AS DOUBLE) AS fit FROM part ORDER BY fit DESC, id LIMIT 10000),
+        c AS (SELECT id, artist, energy, fit, CAST(0.18 AS DOUBLE) * abs(valence - CAST({mood} AS DOUBLE)) + CAST(0.14 AS DOUBLE) * (1.0 - fit / greatest((SELECT max(fit) FROM p), 1.0)) AS base FROM p),
+        {", ".join(stages)}, best AS (SELECT path, artists FROM r{len(v.ROLES)} ORDER BY cost, path LIMIT 1),
+        n AS (SELECT unnest(range(1, {len(v.ROLES) + 1})) AS stage, path, artists FROM best)
+        SELECT stage, ({roles})[stage] AS role, path[stage].id AS id, artists[stage] AS artist, ([{curve}])[stage] AS target_energy FROM n"""
+
+
 ORACLE = {
+    "soundtrack_beam": _soundtrack_sql(),
     "track2vec_vocabulary": "SELECT CAST(l_partkey AS VARCHAR) AS word, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 5",
     "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         s AS (SELECT query_id, id, round({_SIM}, 6) AS similarity FROM p)

@@ -48,6 +48,8 @@ def test_bounded_and_loose_keywords(spark):
     low = F.lower("t")
     assert [r[0] for r in df.where(low.rlike(text.loose(["run"]))).collect()] == ["brunch", "Run club"]
     assert [r[0] for r in df.where(low.rlike(text.bounded(["work"]))).collect()] == ["work hard"]
+    df = spark.createDataFrame([("sadé mix",), ("so sad",), ("sad_one",), ("sad-ish",), ("ésad",), ("sad",)], "t string")
+    assert [r[0] for r in df.where(F.lower("t").rlike(text.bounded(["sad", "none"]))).collect()] == ["so sad", "sad-ish", "sad"]
 
 
 @pytest.mark.parametrize(
@@ -279,3 +281,27 @@ def test_bits_ids_and_first_names(spark):
     row = spark.createDataFrame([(5, "https://h/playlist/" + "a1" * 11 + "?x", "A , B")], "f int, u string, n string")
     got = row.select(matching.known_flags(F.col("f"), {"x": 1, "y": 2, "z": 4}), text.list_id(F.col("u")), text.first_name(F.col("n"))).first()
     assert tuple(got) == (["x", "z"], "a1" * 11, "A")
+
+
+def test_soundtrack_route_by_brute_force(spark):
+    """A beam that holds every route finds the cheapest of all; a narrow one a route of distinct ids."""
+    from itertools import permutations
+
+    rows = [(i, f"a{i % 3}", (i * 37 % 11) / 10, (i * 29 % 7) / 7, float(i * 13 % 5)) for i in range(8)]
+    df = spark.createDataFrame([*rows, (3, "zz", 0.1, 0.1, -1.0), (99, "n", None, 0.5, 9.0)], "id long, artist string, energy double, valence double, fit double")
+    curve, mood, best = vectors.CURVES["medium"], vectors.VALENCE["sleep"], max(r[4] for r in rows)
+
+    def cost(route):
+        total, before, met = 0.0, None, set()
+        for (_, artist, e, valence, fit), target in zip(route, curve, strict=True):
+            total = total + (0.18 * abs(valence - mood) + 0.14 * (1 - fit / max(best, 1.0))) + 0.52 * abs(e - target) + 0.16 * abs(e - (target if before is None else before)) + 0.12 * (artist in met)
+            before = e
+            met.add(artist)
+        return total
+
+    got = [r["id"] for r in vectors.soundtrack(spark, df, "lullaby", beam=100_000).orderBy("stage").collect()]
+    by = {r[0]: r for r in rows}
+    assert abs(cost([by[i] for i in got]) - min(cost(p) for p in permutations(rows, 6))) < 1e-9
+    narrow = vectors.soundtrack(spark, df, "lullaby", beam=2).collect()
+    assert len({r["id"] for r in narrow}) == 6 and {r["stage"]: r["role"] for r in narrow}[1] == "opener"
+    assert vectors.soundtrack(spark, df.limit(5), "lullaby").collect() == []
