@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import maps, neighbours, skipgram
+from ..operators import maps, neighbours, search_index, skipgram
 from ..operators import quality as q
 from ..operators import vectors as v
 from ..session import checkpoint_dir, delete
@@ -88,7 +88,21 @@ def _orders(s, d):
     return rows.select(F.col("pid").alias("sequence"), F.transform("x", lambda e: e["item"].cast("string")).alias("tokens"))
 
 
+def _document_index(s, d) -> str:
+    path = _at(s, "documents")
+    search_index.store(t.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return path
+
+
+def _document_search(s, d, query: str, prefix: bool):
+    ranks = t.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rank"))
+    return search_index.search(s, _document_index(s, d), ranks, query, 20, prefix)
+
+
 QUERIES = {
+    "search_index_tokens": lambda s, d: search_index.tokens(s, _document_index(s, d)),
+    "search_index_words": lambda s, d: _document_search(s, d, "The and OF", False),
+    "search_index_prefix": lambda s, d: _document_search(s, d, "the wo", True),
     "vector_graph_search": _graph_search,
     "neighbour_map": lambda s, d: maps.neighbour_map(_vectors(s, d).select("id", "vector"), _at(s, "map")),
     "track2vec_sgns": lambda s, d: skipgram.skip_gram(_orders(s, d), _at(s, "skip-gram"), passes=1),
@@ -134,7 +148,13 @@ def _soundtrack_sql() -> str:
         SELECT stage, ({roles})[stage] AS role, path[stage].id AS id, artists[stage] AS artist, ([{curve}])[stage] AS target_energy FROM n"""
 
 
+_TOKENS = "w AS (SELECT doc_id AS id, n_chars AS rank, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL)"
 ORACLE = {
+    "search_index_tokens": f"WITH {_TOKENS} SELECT token, count(DISTINCT id) AS texts, count(*) AS times FROM w GROUP BY token",
+    "search_index_words": f"""WITH {_TOKENS}, h AS (SELECT id, rank, count(DISTINCT token) AS words, count(*) AS score FROM w WHERE token IN ('the', 'and', 'of') GROUP BY ALL)
+        SELECT id, score, rank FROM h WHERE words = 3 ORDER BY score DESC, rank, id LIMIT 20""",
+    "search_index_prefix": f"""WITH {_TOKENS}, h AS (SELECT id, rank, count(*) FILTER (token = 'the') AS a, count(*) FILTER (starts_with(token, 'wo')) AS b FROM w GROUP BY ALL)
+        SELECT id, a + b AS score, rank FROM h WHERE a > 0 AND b > 0 ORDER BY score DESC, rank, id LIMIT 20""",
     "soundtrack_beam": _soundtrack_sql(),
     "track2vec_vocabulary": "SELECT CAST(l_partkey AS VARCHAR) AS word, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 5",
     "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
