@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
@@ -31,3 +33,17 @@ def positional_json(df: DataFrame, order: list[str]) -> DataFrame:
 def manifest_json(manifest: DataFrame) -> DataFrame:
     """One row json for a one-row manifest."""
     return manifest.select(F.to_json(F.struct(*manifest.columns)).alias("json"))
+
+
+def dated_csv(df: DataFrame, date: str, path: str) -> None:
+    """A CSV file with header for each value of a date column, under its name, as charts come; a file that is there already stays. The dates are few."""
+    spark = df.sparkSession
+    with scratch(spark, "dated") as at:
+        df.withColumn("_date", F.col(date).cast("string")).drop(date).repartition("_date").write.option("header", True).partitionBy("_date").csv(f"{at}/all")
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(at).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(hadoop(path))
+        for folder in fs.globStatus(hadoop(f"{at}/all/_date=*")):
+            day = folder.getPath().getName().partition("=")[2]
+            for i, part in enumerate(fs.globStatus(hadoop(f"{folder.getPath()}/part-*"))):
+                fs.rename(part.getPath(), hadoop(f"{path}/charts-{day}.csv" if not i else f"{path}/charts-{i}-{day}.csv"))
