@@ -148,6 +148,25 @@ def _soundtrack_sql() -> str:
         SELECT stage, ({roles})[stage] AS role, path[stage].id AS id, artists[stage] AS artist, ([{curve}])[stage] AS target_energy FROM n"""
 
 
+def _transition_sql() -> str:
+    """From vector 0 to vector 7 in three stages: candidates near both and their midpoint, sixty routes kept at each stage."""
+    dot = lambda x, y: f"list_sum([{x}[i] * {y}[i] for i in range(1, len({x}) + 1)])"
+    unit = lambda x: f"[y / sqrt(list_sum([z * z for z in {x}])) for y in {x}]"
+    mixed = lambda n: unit(f"[CAST({1 - n / 4} AS DOUBLE) * s[i] + CAST({n / 4} AS DOUBLE) * t[i] for i in range(1, len(s) + 1)]")
+    stages = ["r0 AS (SELECT CAST([] AS BIGINT[]) AS path, CAST([] AS DOUBLE[]) AS near, s AS last, CAST(0.0 AS DOUBLE) AS cost FROM e)"]
+    for n in (1, 2, 3):
+        stages.append(f"""p{n} AS (SELECT {mixed(n)} AS p FROM e),
+            r{n} AS (SELECT list_append(path, id) AS path, list_append(near, {dot("v", "last")}) AS near, v AS last, cost + CAST(0.7 AS DOUBLE) * (1 - {dot("v", "last")}) + CAST(0.3 AS DOUBLE) * (1 - {dot("v", "p")}) AS cost
+            FROM r{n - 1}, c, p{n} WHERE NOT list_contains(path, id) ORDER BY 4, 1 LIMIT 60)""")
+    return f"""WITH d AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) for x in embedding] AS w FROM embeddings), u AS (SELECT id, {unit("w")} AS v FROM d),
+        e AS (SELECT x.v AS s, y.v AS t FROM u x, u y WHERE x.id = 0 AND y.id = 7),
+        q AS (SELECT 0 AS k, s AS q FROM e UNION ALL SELECT 1, {unit("[s[i] + t[i] for i in range(1, len(s) + 1)]")} FROM e UNION ALL SELECT 2, t FROM e),
+        g AS (SELECT k, id FROM u, q WHERE id NOT IN (0, 7) QUALIFY row_number() OVER (PARTITION BY k ORDER BY round({dot("v", "q")}, 6) DESC, id) <= 40),
+        c AS (SELECT id, v FROM u WHERE id IN (SELECT id FROM g)), {", ".join(stages)},
+        best AS (SELECT path, near FROM r3, e ORDER BY cost + CAST(0.8 AS DOUBLE) * (1 - {dot("last", "t")}), path LIMIT 1)
+        SELECT n AS stage, path[n] AS id, round(near[n], 6) AS similarity FROM best, (SELECT unnest(range(1, 4)) AS n)"""
+
+
 _TOKENS = "w AS (SELECT doc_id AS id, n_chars AS rank, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL)"
 ORACLE = {
     "search_index_tokens": f"WITH {_TOKENS} SELECT token, count(DISTINCT id) AS texts, count(*) AS times FROM w GROUP BY token",
@@ -156,6 +175,7 @@ ORACLE = {
     "search_index_prefix": f"""WITH {_TOKENS}, h AS (SELECT id, rank, count(*) FILTER (token = 'the') AS a, count(*) FILTER (starts_with(token, 'wo')) AS b FROM w GROUP BY ALL)
         SELECT id, a + b AS score, rank FROM h WHERE a > 0 AND b > 0 ORDER BY score DESC, rank, id LIMIT 20""",
     "soundtrack_beam": _soundtrack_sql(),
+    "transition_beam": _transition_sql(),
     "track2vec_vocabulary": "SELECT CAST(l_partkey AS VARCHAR) AS word, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) >= 5",
     "vector_topk_cosine": f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.embedding AS a, q.embedding AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         s AS (SELECT query_id, id, round({_SIM}, 6) AS similarity FROM p)
