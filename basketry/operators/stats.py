@@ -45,9 +45,14 @@ def placed(rows: DataFrame, order: list[Column], total: str | None = None) -> Da
     return out.select(*rows.columns, "place", *(["running"] if total else []))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL's round() does it, on its product with the power of ten; Spark rounds the digits that it would print."""
+    return F.round(value * float(10**digits)) / float(10**digits)
+
+
 def share(part: Column, whole: Column, digits: int) -> Column:
     """part / whole as a percentage; integers first, so that both engines round the same value."""
-    return F.round(part * 100.0 / whole, digits)
+    return rounded(part * 100.0 / whole, digits)
 
 
 def ordered_list(order: list[Column], value: str, k: int | None = None) -> Column:
@@ -143,7 +148,7 @@ def signal_rank(signals: dict[str, DataFrame], name: str) -> DataFrame:
 def rank_percentile(ranked: DataFrame) -> DataFrame:
     """basicness = (1 - (rank - 1) / N) * 100, with a verdict."""
     n = ranked.select(F.count(F.lit(1)).alias("n"))
-    p = F.round((1 - (F.col("rank") - 1) * 1.0 / F.col("n")) * 100, 1)
+    p = rounded((1 - (F.col("rank") - 1) * 1.0 / F.col("n")) * 100, 1)
     return ranked.crossJoin(F.broadcast(n)).select("owner", "rank", p.alias("basicness")).withColumn("status", ladder(F.col("basicness"), STANDINGS))
 
 
