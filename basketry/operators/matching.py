@@ -179,9 +179,14 @@ def resolve_pattern(names: DataFrame, wanted: str, by: str = "basket_count") ->
 
 def qualified_candidates(candidates: DataFrame, vocabulary: DataFrame, features: DataFrame, per_artist: int = 5) -> DataFrame:
     """(uri, title, artist, fit, energy, valence): candidates that the vocabulary knows by title and artist, without regard to case, and
-    that have features; of each uri the row with the best fit (ties by artist, title), and of each artist the best per_artist."""
+    that have features; of each uri the row with the best fit (ties by artist, title), and of each artist the best per_artist.
+
+    What a uri meets are the candidates of its title and artist, so of those that are alike in both the best is taken before they are joined: many
+    candidates and many uris of one title make no pairs of each with each.
+    """
     known = vocabulary.select(F.lower("title").alias("t"), F.lower("artist").alias("a"), "uri")
-    joined = candidates.join(known, (F.lower("title") == F.col("t")) & (F.lower("artist") == F.col("a"))).drop("t", "a").join(features, "uri")
+    first = keep_first(candidates.withColumns({"t": F.lower("title"), "a": F.lower("artist")}), ["t", "a"], [F.desc("fit"), F.col("artist"), F.col("title")])
+    joined = known.join(first, ["t", "a"]).drop("t", "a").join(features, "uri")
     best = F.row_number().over(W.partitionBy("uri").orderBy(F.desc("fit"), "artist", "title"))
     once = joined.withColumn("r", best).where("r = 1")
     place = F.row_number().over(W.partitionBy("artist").orderBy(F.desc("fit"), "uri"))
