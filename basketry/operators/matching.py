@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
-from ..session import ship
+from ..session import ship, tasks
 from .stats import ladder
 
 # What the share of a list's tracks that a reference holds says, and of a list that is itself known.
@@ -79,8 +79,10 @@ def append_new(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(side, key): keys of either side that the other lacks."""
-    one = left.select(key).distinct().join(right.select(key), key, "left_anti").select(F.lit("left").alias("side"), key)
-    return one.unionAll(right.select(key).distinct().join(left.select(key), key, "left_anti").select(F.lit("right").alias("side"), key))
+    n = tasks(left, right)
+    a, b = (df.select(key).repartition(n, key).distinct() for df in (left, right))
+    one = a.join(b, key, "left_anti").select(F.lit("left").alias("side"), key)
+    return one.unionAll(b.join(a, key, "left_anti").select(F.lit("right").alias("side"), key))
 
 
 def two_stage(wanted: DataFrame, exact: DataFrame, keys: list[str], fallback: str, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, tasks
 
 # The standing of an owner by its percentile.
 STANDINGS = [(90, "top_decile"), (75, "high_reach"), (50, "above_median_reach"), (0, "focused_reach")]
@@ -92,7 +92,8 @@ def top_neighbours(edges: DataFrame, counts: DataFrame, k: int = 8) -> DataFrame
 
 def item_stats(rows: DataFrame, names: DataFrame, item: str, basket: str, k: int = 10) -> DataFrame:
     """(item, basket_count, top_names): distinct named baskets, and the first k of their names in order, repeats included."""
-    named = rows.join(names.where(F.length(F.trim("name")) > 0), basket)
+    n = tasks(rows)
+    named = rows.repartition(n, basket).join(names.where(F.length(F.trim("name")) > 0).repartition(n, basket), basket)
     # The first k names are picked in each task before the shuffle, so a very common item gathers nowhere.
     first = named.select(item, "name", F.row_number().over(W.partitionBy(item).orderBy("name")).alias("r")).where(F.col("r") <= k)
     return named.groupBy(item).agg(F.countDistinct(basket).alias("basket_count")).join(first.groupBy(item).agg(ordered_list([F.col("r")], "name").alias("top_names")), item)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import archive as a
 from ..operators import stats
-from ..session import checkpoint_dir, delete
+from ..session import checkpoint_dir, delete, tasks
 from ..sources import writers
 from ..streaming import charts
 from . import tables as t
@@ -58,8 +58,10 @@ def _kept_history(s, d):
 
 
 def _era(s, d):
-    orders = t.table(s, d, "orders")
-    years = t.table(s, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.year("o_orderdate")).alias("year"), F.countDistinct("l_orderkey").alias("basket_count"))
+    orders, lines = t.table(s, d, "orders").select("o_orderkey", "o_orderdate"), t.table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    n = tasks(lines)
+    joined = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    years = joined.groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.year("o_orderdate")).alias("year"), F.countDistinct("l_orderkey").alias("basket_count"))
     spine = t.items(s, d).select(F.col("item").alias("id"), "title", "owner").join(years.select("id", "basket_count"), "id")
     first = years.where("id % 3 <> 0")
     second = t.table(s, d, "part").where("p_partkey % 4 <> 1").select(F.col("p_partkey").alias("id"), (F.lit(1990) + F.col("p_size")).alias("year"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, stats
+from ..session import tasks
 from . import tables as t
 from .tables import BASKETS, ROWS
 
@@ -16,7 +17,8 @@ CONTEXTS = {"home": ["house", "furn"], "work": ["mach", "build"], "rush": ["urge
 def _habitat(s, d):
     flags = [F.col("name").rlike("|".join(words)).alias(c) for c, words in CONTEXTS.items()]
     labelled = t.baskets(s, d).select("pid", *flags)
-    return stats.two_level_flags(t.rows(s, d).join(labelled, "pid"), "owner", "pid", list(CONTEXTS))
+    n = tasks(t.basket_items(s, d))
+    return stats.two_level_flags(t.rows(s, d).repartition(n, "pid").join(labelled.repartition(n, "pid"), "pid"), "owner", "pid", list(CONTEXTS))
 
 
 def _coartists(s, d):
