@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import scratch, written
+
 #: Buckets of a new table, and parts that a bucket is written in side by side, so that one of very many rows fills no single task.
 BUCKETS, PARTS = 16, 4
 
@@ -78,13 +80,16 @@ def change(rows: DataFrame, path: str, keys: list[str], merge: Callable[[DataFra
     if batch in state["batches"]:
         return state
     fresh = rows.dropna(subset=keys).withColumn("bucket", _bucket(state["by"], state["buckets"])).withColumn("_new", F.lit(True))
-    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
-    old = _open(spark, path, state, touched)
-    merged = merge(fresh if old is None else fresh.unionByName(old.withColumn("_new", F.lit(False))), keys)
-    version = state["version"] + 1
-    part = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(PARTS))
-    out = merged.repartition("bucket", part).sortWithinPartitions("bucket", *keys)
-    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+    with scratch(spark, "change") as at:
+        # Held, as both the buckets that it touches and the merge ask for it.
+        fresh = written(fresh, f"{at}/fresh")
+        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+        old = _open(spark, path, state, touched)
+        merged = merge(fresh if old is None else fresh.unionByName(old.withColumn("_new", F.lit(False))), keys)
+        version = state["version"] + 1
+        part = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(PARTS))
+        out = merged.repartition("bucket", part).sortWithinPartitions("bucket", *keys)
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
     folders = state["folders"] | {str(b): f"version={version}/bucket={b}" for b in touched}
     state = state | {"version": version, "folders": folders, "batches": [*state["batches"], batch]}
     _publish(spark, path, state)
