@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -36,15 +37,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.empty((0, 0))
 
 
-def _best(ids: np.ndarray, own: np.ndarray, similarity: np.ndarray, k: int) -> pa.RecordBatch:
-    """For the node of each row the k most similar of the columns' nodes, itself left out."""
+def _best(ids: np.ndarray, own: np.ndarray, similarity: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.RecordBatch:
+    """For the node of each row the k most similar of the columns' nodes, itself left out, and those that are less similar than its least."""
     similarity = np.where(own[:, None] == ids[None], -np.inf, similarity)
     k = min(k, len(ids))
     at = np.argpartition(-similarity, k - 1, axis=1)[:, :k]
     row, col = np.repeat(np.arange(len(own)), k), at.ravel()
-    value = similarity[row, col]
-    ok = np.isfinite(value)
-    return pa.RecordBatch.from_arrays([pa.array(own[row[ok]]), pa.array(ids[col[ok]]), pa.array(np.round(value[ok], 9))], ["id", "near", "similarity"])
+    value = np.round(similarity[row, col], 9)
+    ok = np.isfinite(value) if least is None else np.isfinite(value) & (value >= least[row])
+    return pa.RecordBatch.from_arrays([pa.array(own[row[ok]]), pa.array(ids[col[ok]]), pa.array(value[ok])], ["id", "near", "similarity"])
 
 
 def _blocks(k: int):
@@ -67,14 +68,24 @@ def _blocks(k: int):
 
 
 def _local(k: int):
-    """Among the nodes of each row (ids, vectors) each one's k nearest."""
+    """Among the nodes of each row (ids, vectors, least) each one's k nearest, if they aren't less similar than the last that it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0).to_pylist():
-                if len(members) > 1:
-                    ids, rows = np.array([m["id"] for m in members]), np.array([m["vector"] for m in members])
-                    yield _best(ids, ids, rows @ rows.T, k)
+            if not batch.num_rows:
+                continue
+            # The lists' own arrays, without an object for each entry.
+            near, vectors = batch.column(0), batch.column(1)
+            size = pc.list_value_length(near).to_numpy()
+            ends = np.cumsum(size)
+            ids, rows, least = near.flatten().to_numpy(), vectors.flatten(), batch.column(2).flatten().to_numpy()
+            rows = rows.flatten().to_numpy().reshape(len(ids), -1)
+            found = []
+            for end, n in zip(ends[size > 1], size[size > 1], strict=True):
+                own, some = ids[end - n : end], rows[end - n : end]
+                found.append(_best(own, own, some @ some.T, k, least[end - n : end]))
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
 
     return run
 
@@ -118,8 +129,11 @@ def graph(vectors: DataFrame, at: str, k: int = K, rounds: int = ROUNDS, seed: i
         naming = named.select(F.col("near").alias("id"), F.col("id").alias("near"))
         r = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("near", F.lit(n)), "near"))
         about = named.unionAll(naming.withColumn("r", r).where(F.col("r") <= k).drop("r")).unionAll(unit.select("id", F.col("id").alias("near"))).distinct()
-        members = about.join(unit.toDF("near", "vector"), "near").groupBy("id").agg(F.collect_list(F.struct(F.col("near").alias("id"), "vector")).alias("members"))
-        found = members.select("members").mapInArrow(_local(k), EDGE)
+        # What a node's k edges all surpass can't change them and is not put out.
+        last = edges.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+        known = unit.join(last, "id", "left").select(F.col("id").alias("near"), "vector", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        members = about.join(known, "near").groupBy("id").agg(F.collect_list(F.struct(F.col("near").alias("id"), "vector", "least")).alias("members"))
+        found = members.select("members.id", "members.vector", "members.least").mapInArrow(_local(k), EDGE)
         after = written(_top(edges.unionAll(found).distinct(), k), f"{at}/{n}")
         changed, whole = after.join(edges, ["id", "near"], "left_anti").count(), after.count()
         delete(spark, f"{at}/{n - 1}")
