@@ -43,11 +43,6 @@ def _names(s, d):
     return v.generate_names(s, terms, "all", 8)
 
 
-def _w2v(s, d):
-    rows = t.basket_items(s, d).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("x"))
-    return v.sequence_embeddings(rows.select(F.transform("x", lambda e: e["item"].cast("string")).alias("tokens")))
-
-
 def _labelled(s, d):
     return t.table(s, d, "documents").join(t.table(s, d, "labels"), "doc_id", "left").select("doc_id", "text", "source", "quality", "toxic")
 
@@ -114,7 +109,7 @@ QUERIES = {
     "transition_beam": lambda s, d: v.transition(s, _vectors(s, d).select("id", "vector"), 0, 7),
     "soundtrack_beam": _soundtrack,
     "name_generator": _names,
-    "track2vec_w2v": _w2v,
+    "track2vec_w2v": lambda s, d: v.sequence_embeddings(_orders(s, d), _at(s, "track2vec")),
     "umap_substitute_clusters": _clusters,
     "quality_manifest": lambda s, d: q.manifest(_labelled(s, d), ["source", "quality", "toxic"]),
     "null_blank_guard": _guard,
