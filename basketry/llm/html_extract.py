@@ -44,9 +44,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 START, QUOTED = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))"), re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS, SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
-#: Pages that a constant text must have been seen on, the longest repeated group, hosts held at once, the deepest nesting that a
-#: wrapper knows (what lies deeper is a page's own), and children of an element that a wrapper remembers at most (others are a page's own).
-SURE, PERIOD, HOSTS, DEEP, KIDS = 3, 4, 2000, 150, 300
+#: Pages that a constant text must have been seen on, the longest repeated group, hosts held at once, and the deepest nesting that a
+#: wrapper knows (what lies deeper is a page's own).
+SURE, PERIOD, HOSTS, DEEP = 3, 4, 2000, 150
 #: Bytes of all wrappers that are broadcast; beyond, hosts are joined in so many salts.
 WRAPPERS, SALTS = 32 << 20, 64
 
@@ -223,11 +223,7 @@ def _align(a: list[list], b: list[list], pages: bool) -> list[list]:
             out += [merge(p, q, pages) for p, q in zip(a[i:j], b[k:m], strict=True)]
         else:
             out += [[p[0], p[1] | OPTIONAL, *p[2:]] for p in a[i:j] + b[k:m]]
-    out = _fold_repeats(out)
-    if len(out) > KIDS:  # those seen on fewest pages decide nothing
-        least = sorted((-k[4], i) for i, k in enumerate(out))[:KIDS]
-        out = [out[i] for i in sorted(i for _, i in least)]
-    return out
+    return _fold_repeats(out)
 
 
 def join_wrappers(a: list | None, b: list) -> list:
