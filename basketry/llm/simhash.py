@@ -382,7 +382,8 @@ def named_texts(docs: DataFrame, name=lambda sha: F.xxhash64(sha)) -> DataFrame:
 def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, root): those of the texts (id, text), each id the name of one text, that are near copies of others, with a name for their group.
 
-    Texts that share a band, directly or through others, make a cluster. Two texts of a cluster are linked if their sets of five-word shingles
+    Texts whose SimHash fingerprints of five-word shingles differ in at most two bits (found by the Gray-order index), or that share a band, directly
+    or through others, make a cluster: bands find what was cut, lengthened or is short. Two texts of a cluster are linked if their sets of five-word shingles
     have a Jaccard similarity of 0.8 or more, counted exactly; what links join is a group. Every text goes once to where its cluster is compared
     in memory. A cluster of more than block bytes is compared in blocks: at first each within itself and with PIVOTS texts of the cluster, then
     those outside the cluster's largest group, block by block, with all of the cluster. Texts without words are near copies of each other.
@@ -399,7 +400,13 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
     dealt = cut(over_batches(texts.select("id", raw_text().alias("b")), "id long, band long", make))
     shared = dealt.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
-    clusters = components(dealt.join(shared, "band").where("id <> pivot").select("id", "pivot").distinct(), "id", "pivot")
+    prints = cut(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), SHINGLE).distinct())
+    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("pivot")))
+    alike = prints.join(firsts, "fp").select(F.col("doc_id").alias("id"), "pivot")
+    near = links(firsts.select(F.lit(0).alias("seed"), F.col("fp").alias("id"), "fp"))
+    near = near.join(firsts.toDF("a", "id"), "a").join(firsts.toDF("b", "pivot"), "b").select("id", "pivot")
+    joined = dealt.join(shared, "band").select("id", "pivot").unionByName(alike).unionByName(near)
+    clusters = components(joined.where("id <> pivot").distinct(), "id", "pivot")
     clusters = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     bodies = texts.select("id", "text").join(clusters, "id").dropDuplicates(["id"])
     sizes = clusters.join(texts.select("id", F.octet_length("text").alias("size")).dropDuplicates(["id"]), "id").groupBy("cluster").agg(F.sum("size").alias("size"))
@@ -413,17 +420,17 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     some = large.isEmpty()
     plain = bodies if some else bodies.join(large, "cluster", "left_anti")
     row = lambda key, asks: (key.alias("key"), F.col("id"), asks.alias("asks"), F.col("id").alias("joined"), F.col("text"))
-    links = cut(_compared(in_keys(plain.select(*row(F.col("cluster"), F.lit(True))))))
+    found = cut(_compared(in_keys(plain.select(*row(F.col("cluster"), F.lit(True))))))
     if some:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        return found.select(F.col("a").alias("id"), F.col("b").alias("root"))
     within = bodies.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     least = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id"))
     pivots = within.select("cluster", "id").withColumn("r", least).where(F.col("r") <= PIVOTS).select("id")
     first = within.select("cluster", "id", "text", "block").unionByName(
         within.join(F.broadcast(cut(pivots)), "id").select("cluster", "id", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block").select("cluster", "id", "text", F.col("other").alias("block"))
     )
-    links = links.unionByName(cut(_compared(in_keys(first.select(*row(F.xxhash64("cluster", "block"), F.lit(True)))))))
-    joined = components(links)
+    found = found.unionByName(cut(_compared(in_keys(first.select(*row(F.xxhash64("cluster", "block"), F.lit(True)))))))
+    joined = components(found)
     # The largest group of each large cluster; the others' texts ask all of the cluster, in blocks of both.
     at = within.select("id", "cluster", "blocks", "block", F.octet_length("text").alias("size")).join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     at = cut(at)
@@ -435,8 +442,8 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     asks = asking.select("id", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "turn", F.lit(True).alias("asks"))
     both = every.unionByName(asks).groupBy("id", "root", "cluster", "block", "turn").agg(F.max("asks").alias("asks"))
     sent = both.join(within.select("id", "text"), "id").select(F.xxhash64("cluster", "block", "turn").alias("key"), "id", "asks", F.col("root").alias("joined"), "text")
-    links = links.unionByName(cut(_compared(in_keys(sent))))
-    return components(links).select(F.col("node").alias("id"), "root")
+    found = found.unionByName(cut(_compared(in_keys(sent))))
+    return components(found).select(F.col("node").alias("id"), "root")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
