@@ -180,15 +180,17 @@ def links(rows: DataFrame, k: int = 2, n: int | None = None, node: int = NODE) -
     )
     dealt = dealt.select("key", F.expr("shiftrightunsigned(code, 64 - width)").alias("block"), _gray_rank(F.col("code")).alias("rank"), "seed", "id", "fp")
     sizes = cut(dealt.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    dealt = cut(dealt.join(sizes, ["key", "block"]))
-    total = dealt.count()
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     most = max(node, total // n)
+    dealt = dealt.join(sizes, ["key", "block"])
+    if largest > most:
+        dealt = cut(dealt)
     small = dealt.where(F.col("n") <= most)
     small = small.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rank", "id")
     found = small.select("key", "block", "id", "fp").mapInArrow(_search_groups(k), "a long, b long")
-    dense = dealt.where(F.col("n") > most).select("seed", "id", "fp").distinct()
-    if dense.isEmpty():
+    if largest <= most:
         return found.distinct()
+    dense = dealt.where(F.col("n") > most).select("seed", "id", "fp").distinct()
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     places = F.sequence(F.lit(0), F.lit(63))
     if k == 2:
@@ -392,21 +394,22 @@ def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, _ = zip(*map(bands, batch.column(1).to_pylist()), strict=True)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(names).view(np.int64))], ["id", "band"])
+            texts = batch.column(1).to_pylist()
+            names, _ = zip(*map(bands, texts), strict=True)
+            prints = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), BANDS + 1)))
+            printed = np.tile(np.arange(BANDS + 1) == BANDS, len(texts))
+            return pa.RecordBatch.from_arrays([ids, pa.array(printed), pa.array(np.column_stack([np.stack(names), prints]).ravel().view(np.int64))], ["id", "printed", "name"])
 
         return each
 
-    dealt = cut(over_batches(texts.select("id", raw_text().alias("b")), "id long, band long", make))
-    shared = dealt.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
-    prints = cut(fingerprints(texts.select(F.col("id").alias("doc_id"), "text"), SHINGLE).distinct())
-    firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("pivot")))
-    alike = prints.join(firsts, "fp").select(F.col("doc_id").alias("id"), "pivot")
-    near = links(firsts.select(F.lit(0).alias("seed"), F.col("fp").alias("id"), "fp"))
-    near = near.join(firsts.toDF("a", "id"), "a").join(firsts.toDF("b", "pivot"), "b").select("id", "pivot")
-    joined = dealt.join(shared, "band").select("id", "pivot").unionByName(alike).unionByName(near)
-    clusters = components(joined.where("id <> pivot").distinct(), "id", "pivot")
+    # A text's fingerprint goes with the names of its bands.
+    dealt = cut(over_batches(texts.select("id", raw_text().alias("b")), "id long, printed boolean, name long", make))
+    shared = dealt.groupBy("printed", "name").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").drop("most")
+    firsts = cut(dealt.where("printed").groupBy("name").agg(F.min("id").alias("id")))
+    near = links(firsts.select(F.lit(0).alias("seed"), "id", F.col("name").alias("fp")))
+    joined = dealt.join(shared, ["printed", "name"]).select("id", "pivot").unionByName(near.toDF("id", "pivot"))
+    clusters = components(joined.where("id <> pivot"), "id", "pivot")
     clusters = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     bodies = texts.select("id", "text").join(clusters, "id").dropDuplicates(["id"])
     sizes = clusters.join(texts.select("id", F.octet_length("text").alias("size")).dropDuplicates(["id"]), "id").groupBy("cluster").agg(F.sum("size").alias("size"))
