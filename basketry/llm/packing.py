@@ -41,8 +41,8 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so words can be encoded apart. It also
     parts letters from marks and lower-cases, so a word of letters and closing marks has the ids of its
-    letters, with A-Z in lower case, then those of its marks. Arrow tells words apart and parts them, and
-    only what is new among a batch's distinct words goes to the tokenizer.
+    letters, with A-Z in lower case, then those of its marks. Arrow tells words apart; only those not
+    remembered whole are parted, and only what is new among their parts goes to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,6 +52,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
 
     def _ids(self, words: pa.Array) -> list[bytes]:
         """The ids of each of some words."""
@@ -66,16 +67,25 @@ class Encoder:
             del known[w]
         return [ids[i] for i in coded.indices.to_numpy().tolist()]
 
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary
+    def _parted(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of some words, from those of their letters and their marks."""
         core = pc.utf8_rtrim(words, MARKS)
         letters = pc.match_substring_regex(core, LETTERS)
         core = pc.if_else(letters, pc.ascii_lower(core), words)
         marks = pc.if_else(letters, pc.replace_substring_regex(words, r"^.*?([" + re.escape(MARKS) + "]*)$", r"\1"), "")
-        ids = [a + b for a, b in zip(self._ids(core), self._ids(marks), strict=True)]
+        return [a + b for a, b in zip(self._ids(core), self._ids(marks), strict=True)]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.whole.get, words))
+        if new := [i for i, x in enumerate(ids) if x is None]:
+            for i, x in zip(new, self._parted(coded.dictionary.take(pa.array(new))), strict=True):
+                ids[i] = x
+                if len(words[i]) <= CACHED and len(self.whole) < CACHE:
+                    self.whole[words[i]] = x
         pool = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
